@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +66,23 @@ def crc_mod(column: str, mod: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(mod)
 
 
+_shipped: set[str] = set()
+
+
+def arrow_stage(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow whose workers can import this package, however the driver found it."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        top = Path(__file__).parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="matchyard-")) / f"{top.name}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted(top.rglob("*.py")):
+                z.write(p, p.relative_to(top.parent))
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)
+    return df.mapInArrow(function, schema)
+
+
 def ints(values) -> np.ndarray:
     """uint64 hashes as the signed longs that Spark stores."""
     return np.asarray(values, np.uint64).view(np.int64)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchyard.llm.base import running_before, stash
+from matchyard.llm.base import arrow_stage, running_before, stash
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -236,7 +236,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"row long, doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * payload
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    pieces = rows.mapInArrow(tokenize(tokenizer, capacity, payload), schema)
+    pieces = arrow_stage(rows, tokenize(tokenizer, capacity, payload), schema)
     at = (F.xxhash64("row", "doc_id", "piece").bitwiseAND(F.lit((1 << 52) - 1)).cast("double")) / F.lit(2.0**52)
     pieces = stash(pieces.withColumns({"at": at, "one": F.lit(1)}), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -266,4 +266,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     ranked = running_before(pieces, ["length"], "at", ["row", "piece"], "one")
     out = f"length long, doc_id {kind}, piece int, start long, ids_crc32 long" + ", ids binary" * payload
     ranked = ranked.select("length", "doc_id", "piece", "start", "ids_crc32", *["ids"] * payload, "row", "at", "one", F.col("before").cast("long").alias("before"))
-    return ranked.mapInArrow(place, f"{out}, sequence_id long, offset long").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * payload)
+    return arrow_stage(ranked, place, f"{out}, sequence_id long, offset long").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * payload)
