@@ -43,7 +43,7 @@ def stash(df: DataFrame, what: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/matchyard-{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
