@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchyard.llm import mixing, packing, suffixes
+from matchyard.llm import jaccard, mixing, packing, suffixes
 from matchyard.llm.base import documents
 
 
@@ -12,6 +12,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(documents(spark, sf_dir)).drop("kept")
 
@@ -20,7 +24,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op7_suffix_dedup, op9_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op7_suffix_dedup, op9_source_mixing)}
 
 OP9_SQL = r"""
 WITH sizes AS (
