@@ -1,10 +1,105 @@
-"""A corpus pipeline out of the operators of matchyard.llm."""
+"""A corpus pipeline out of the operators of matchyard.llm: classify, join near duplicates, remove repeats, mix, pack.
+
+Each stage works on all rows that its predecessor kept and returns the columns of documents; the last returns pieces."""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from matchyard.llm import jaccard, mixing, packing, quality, suffixes
+from matchyard.llm.base import documents, release, scratch_root, small, stash, written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: No SQL states a trained classifier's decisions, so none states the rows of run().
 ORACLE_SQL = None
 
+_finished: dict[str, list[str]] = {}
+
+
+def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    """Deletes the intermediate tables of the stage before, whose result has been written when the next stage begins."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        session = spark.sparkContext.applicationId
+        release(spark, _finished.pop(session, []))
+        before = set(written(spark))
+        out = function(spark, docs, sf_dir)
+        _finished[session] = [p for p in written(spark) if p not in before]
+        return out
+
+    return run_stage
+
+
+@_stage
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    others = tuple(c for c in docs.columns if c != "doc_id")
+    return quality.classify(spark, docs, sf_dir, keep=others).where("predicted = 1").select(*docs.columns)
+
+
+@_stage
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the least id.
+
+    Of rows that repeat with id and text one stays. Rows without an id can't be told apart by it and stay."""
+    found = stash(jaccard.near_duplicates(docs), "found")
+    gone = stash(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    left = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    ids = found.where("component_id = doc_id").agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    return left if ids[0] == ids[1] else left.dropDuplicates(["doc_id", "text"])
+
+
+@_stage
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every text loses the bytes that stand elsewhere too; n_chars follows. A text that loses all stays, empty."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    out = suffixes.remove_repeats(docs, keep=others).withColumn("text", F.col("kept"))
+    if "n_chars" in others:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+@_stage
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as the mix takes them, 0 to 3 times; the one that a source's target cuts comes whole if at
+    least half of it is taken."""
+    keyed = docs.withColumn("_text", F.xxhash64("text"))
+    taken = mixing.mix(keyed, keep=("_text",)).where("size > 0").select("doc_id", "_text", F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
+    grouped = stash(taken.groupBy("doc_id", "_text").agg(F.sum("_copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0"), "taken")
+    if grouped.where("_rows > 1").limit(1).count():  # rows that repeat are taken together
+        keyed = keyed.dropDuplicates(["doc_id", "_text"])
+    b = small(grouped.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), "_copies"))
+    out = keyed.join(b, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+
+
+@_stage
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows in as few sequences as can be found."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("ngram_jaccard_join", near_duplicate_stage),
+    ("suffix_dedup", suffix_stage),
+    ("source_mixing", mixing_stage),
+    ("best_fit_packing", packing_stage),
+]
+
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents; what a stage returns is written to the shared folder and read by the next."""
+    docs = documents(spark, sf_dir).select(*COLUMNS)
+    root = f"{scratch_root(spark).rstrip('/')}/matchyard-pipeline-{uuid.uuid4().hex}"
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{root}/{i}")
+        docs = spark.read.schema(out.schema).parquet(f"{root}/{i}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of (id, hash) that a broadcast may hold: 16 bytes each, 32 MB. Above it the operators use a shuffle join.
-BROADCAST_KEYS = 2_000_000
+#: Rows of (id, hash) that a broadcast may hold: 16 bytes each, 16 MB. Above it the operators use a shuffle join.
+BROADCAST_KEYS = 1_000_000
 
 _written: list[tuple[SparkSession, str]] = []
 _own_root: str | None = None
@@ -48,13 +48,18 @@ def stash(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes every intermediate table of this session; call it once the results are written elsewhere."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for entry in [e for e in _written if e[0] is spark]:
-        path = jvm.org.apache.hadoop.fs.Path(entry[1])
+def written(spark: SparkSession) -> list[str]:
+    """The intermediate tables of this session that still exist."""
+    return [path for owner, path in _written if owner is spark]
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes intermediate tables; call it once what was computed from them is written elsewhere."""
+    conf = spark._jsc.hadoopConfiguration()
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
-        _written.remove(entry)
+    _written[:] = [e for e in _written if e[0] is not spark or e[1] not in paths]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +88,11 @@ def arrow_stage(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def pull(df: DataFrame):
+    """A result of bounded size as a pandas frame, by Arrow."""
+    return df.toArrow().to_pandas()
+
+
 def ints(values) -> np.ndarray:
     """uint64 hashes as the signed longs that Spark stores."""
     return np.asarray(values, np.uint64).view(np.int64)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchyard.llm.base import arrow_stage, text_blocks
+from matchyard.llm.base import arrow_stage, pull, text_blocks
 from matchyard.llm.labelled import held_out, sample
 from matchyard.llm.words import LOWER, mix, span_hashes, word_spans
 
@@ -154,7 +154,7 @@ def _sampled(batches):
 
 def train(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = SAMPLE) -> dict:
     """Learns from a bounded sample of labelled documents; passages are encoded where the documents are."""
-    table = arrow_stage(sample(spark, docs, sf_dir, "quality", most), _sampled, "y int, bag binary").where("bag is not null").toPandas()
+    table = pull(arrow_stage(sample(spark, docs, sf_dir, "quality", most), _sampled, "y int, bag binary").where("bag is not null"))
     order = sorted(range(len(table)), key=lambda i: (table.bag[i], table.y[i]))  # no matter how partitions came in
     bags = [np.frombuffer(table.bag[i], np.float32).reshape(-1, FEATURES) for i in order]
     at = np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(int)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchyard.llm.base import arrow_stage, stash
+from matchyard.llm.base import arrow_stage, pull, stash
 from matchyard.llm.vectors import matrix, valid
 
 #: Best scores of a query; a query's id is divisible by EVERY; a component x becomes floor(SCALE * x).
@@ -131,7 +131,7 @@ def search(vectors: DataFrame, best: int = BEST, every: int = EVERY, scale: int
     parts = F.create_map(*[x for (p, r), m in counts.items() for x in (F.lit(p * 100 + r), F.lit(-(-m // (2 * annulus))))])
     keyed = keyed.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(9)), parts[F.col("pivot") * 100 + F.col("ring")]).cast("int"))
     keyed = stash(keyed, "rings")
-    cells = keyed.groupBy("pivot", "ring", "part").agg(F.min("distance").alias("lo"), F.max("distance").alias("hi"), F.count(F.lit(1)).alias("n")).toPandas().sort_values(["pivot", "ring", "part"], ignore_index=True)
+    cells = pull(keyed.groupBy("pivot", "ring", "part").agg(F.min("distance").alias("lo"), F.max("distance").alias("hi"), F.count(F.lit(1)).alias("n"))).sort_values(["pivot", "ring", "part"], ignore_index=True)
     # The directory of cells is n / annulus rows of bounds; it is broadcast to the queries' tasks.
     directory = spark.sparkContext.broadcast((centre, top, cells[["pivot", "ring", "part"]].to_numpy(np.int64), cells.lo.to_numpy(), cells.hi.to_numpy(), cells.n.to_numpy()))
     queries = keyed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max("v").alias("v")).withColumnRenamed("vec_id", "query_id")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchyard.llm.base import arrow_stage, ints, text_blocks
+from matchyard.llm.base import arrow_stage, ints, pull, text_blocks
 from matchyard.llm.labelled import held_out, sample
 from matchyard.llm.words import LOWER, mix, span_hashes, word_spans
 
@@ -278,17 +278,17 @@ def train(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = SAMPLE)
     rate, n = n_toxic / max(1, n_toxic + n_clean), F.col("toxic") + F.col("clean")
     part = lambda k, p: F.when(k > 0, k * F.log(k / (n * max(p, 1e-9)))).otherwise(0.0)
     evidence = part(F.col("toxic"), rate) + part(F.col("clean"), 1 - rate)
-    top = counts.withColumns({"odds": odds, "evidence": evidence}).orderBy(F.desc("evidence"), "feature").limit(VOCABULARY).toPandas()
+    top = pull(counts.withColumns({"odds": odds, "evidence": evidence}).orderBy(F.desc("evidence"), "feature").limit(VOCABULARY))
     vocabulary = np.sort(top.feature.to_numpy(np.int64).view(np.uint64))
     likely = np.sort(top.feature[(top.evidence >= LEAST_EVIDENCE) & (top.odds >= LEAST_ODDS)][:CANDIDATES].to_numpy(np.int64).view(np.uint64))
-    held = arrow_stage(rows, _hits(put(likely)), "y int, ids binary").toPandas()
+    held = pull(arrow_stage(rows, _hits(put(likely)), "y int, ids binary"))
     holds = np.zeros((len(held), len(likely) + 1), bool)
     for i, ids in enumerate(held.ids):
         holds[i, np.frombuffer(ids, np.int32)] = True
     lexicon = likely[choose(holds[:, 1:], held.y.to_numpy())]
     found = arrow_stage(rows, _training_chains(put(lexicon)), "words binary, tags binary, toxic boolean")
-    clean = found.where("not toxic").orderBy(F.xxhash64("words"), "words").limit(CLEAN_CHAINS).toPandas()
-    toxic = found.where("toxic").orderBy(F.xxhash64("words"), "words").limit(CLEAN_CHAINS).toPandas()
+    clean = pull(found.where("not toxic").orderBy(F.xxhash64("words"), "words").limit(CLEAN_CHAINS))
+    toxic = pull(found.where("toxic").orderBy(F.xxhash64("words"), "words").limit(CLEAN_CHAINS))
     both = [*zip(toxic.words, toxic.tags), *zip(clean.words, clean.tags)]
     features = np.frombuffer(b"".join(x for x, _ in both), np.uint64).reshape(-1, 1 + len(PREFIXES))
     tags = np.frombuffer(b"".join(t for _, t in both), np.uint8).astype(int)
@@ -296,7 +296,7 @@ def train(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = SAMPLE)
     model = fit(features, np.cumsum(length) - length, length, tags, vocabulary)
     model["vocabulary"] = vocabulary
     if n_toxic and n_clean:
-        x = arrow_stage(rows, _aggregates(put(model)), "y int, most double, total double").toPandas().sort_values(["y", "most", "total"])
+        x = pull(arrow_stage(rows, _aggregates(put(model)), "y int, most double, total double")).sort_values(["y", "most", "total"])
         model["document"] = calibrate(x[["most", "total"]].to_numpy(), x.y.to_numpy(float))
     else:
         rate = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
