@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
@@ -16,7 +17,7 @@ from matchyard.llm.base import arrow_stage, running_before, stash
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a Python worker keeps between batches.
-WORD_CACHE = 300_000
+WORD_CACHE = 1_000_000
 #: Completions tried at a node, and nodes visited, before the best packing found so far is taken.
 BRANCH, NODES = 12, 20_000
 
@@ -185,9 +186,51 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, branch: int
     return best
 
 
-def tokenize(tokenizer: str, capacity: int, payload: bool):
+#: Stands between words that are encoded together: a word of its own that is one token, found in no other word.
+MARK = "\x01"
+_known: dict[str, dict[bytes, bytes]] = {}
+
+
+def encode_words(tokenizer, words: list[bytes]) -> dict[bytes, bytes]:
+    """Ids (little-endian, 4 bytes each) of words without ASCII white space. Many are encoded as one text, cut at MARK."""
+    out = {}
+    mark = tokenizer.encode(MARK, add_special_tokens=False).ids[0]
+    odd = [w for w in words if MARK.encode() in w]
+    plain = [w for w in words if MARK.encode() not in w] if odd else words
+    for i in range(0, len(plain), 4096):
+        some = plain[i : i + 4096]
+        ids = np.array(tokenizer.encode_batch_fast([f" {MARK} ".join(w.decode() for w in some)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (np.flatnonzero(ids == mark) * 4).tolist()
+        raw = ids.tobytes()
+        out.update(zip(some, (raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)]))))
+    for w in odd:
+        out[w] = np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    return out
+
+
+#: ASCII marks; the tokenizer always parts a run of them from a letter before it. (The apostrophe can belong to one after.)
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
+
+
+def learn(tokenizer, words: set[bytes], known: dict[bytes, bytes]) -> None:
+    """Adds words to `known`. A word that is letters and then marks gets the ids of the two parts, one after the other."""
+    parted, fresh = [], set()
+    for w in words:
+        head = w.rstrip(MARKS)
+        if head and len(head) < len(w) and (head[-1:].isalnum() if head[-1] < 128 else unicodedata.normalize("NFC", head[-4:].decode(errors="ignore")[-1:]).lower().isalpha()) and b"<|" not in w:
+            tail = w[len(head) :]
+            parted.append((w, head, tail))
+            fresh.update(x for x in (head, tail) if x not in known)
+        else:
+            fresh.add(w)
+    known.update(encode_words(tokenizer, list(fresh)))
+    for w, head, tail in parted:
+        known[w] = known[head] + known[tail]
+
+
+def tokenize(path: str, capacity: int, payload: bool):
     """A mapInArrow function: (row, doc_id, text) to pieces. Ids are looked up by words between ASCII white space; the
-    tokenizer drops white space and never joins words over it, so that is exact."""
+    tokenizer drops white space and never joins words over it, so that is exact. A worker keeps the ids of words."""
 
     def run(batches):
         import os
@@ -195,27 +238,32 @@ def tokenize(tokenizer: str, capacity: int, payload: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        encode = Tokenizer.from_file(tokenizer).encode_batch
-        known: dict[bytes, bytes] = {}
+        tokenizer = Tokenizer.from_file(path)
+        known = _known.setdefault(path, {})
         end = (0).to_bytes(4, "little")
+        types = (pa.int64(), None, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        names = ("row", "doc_id", "piece", "start", "length", "ids_crc32", "ids")
+        keep = 7 if payload else 6
         for batch in batches:
             out: list[list] = [[], [], [], [], [], [], []]
-            for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                words = (text.as_py() or "").encode().split()
-                if len(known) > WORD_CACHE:
-                    known.clear()
-                if new := list({w for w in words if w not in known}):
-                    for w, e in zip(new, encode([w.decode() for w in new], add_special_tokens=False)):
-                        known[w] = np.array(e.ids, "<u4").tobytes()
-                ids = b"".join([*map(known.__getitem__, words), end])
+            texts = batch.column(2).cast(pa.large_binary() if pa.types.is_large_string(batch.schema.field(2).type) else pa.binary())
+            for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
+                text = text.as_py() or b""
+                if not (b"<|" in text or b"\xcc" in text or b"\xcd" in text):
+                    text = text.lower()  # the tokenizer does so too; only its own marks and combining marks come before
+                words = text.split()
+                found = list(map(known.get, words))
+                if None in found:
+                    if len(known) > WORD_CACHE:
+                        known.clear()
+                    learn(tokenizer, {w for w in words if w not in known}, known)
+                    found = map(known.__getitem__, words)
+                ids = b"".join([*found, end])
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for column, x in zip(out, (row, doc, piece, at // 4, len(part) // 4, zlib.crc32(part), part if payload else None)):
                         column.append(x)
-            types = (pa.int64(), batch.schema.field(1).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            names = ("row", "doc_id", "piece", "start", "length", "ids_crc32", "ids")
-            arrays = [pa.array(x, t) for x, t in zip(out, types)]
-            keep = 7 if payload else 6
+            arrays = [pa.array(x, t or batch.schema.field(1).type) for x, t in zip(out, types)]
             yield pa.RecordBatch.from_arrays(arrays[:keep], names=names[:keep])
 
     return run
