@@ -2,5 +2,491 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from matchyard import schema as S
+from matchyard.functions import quality, text
+from matchyard.operators import checks, comparing, layout, matching, reporting
+from matchyard.sources.adapters import BARS_SQL, ELEMENTS_SQL, LEVELS_SQL, NOTES_SQL, WORDS_SQL, bars, elements, levels, notes, table, words
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+def with_tables(*parts: str) -> str:
+    return "WITH " + ",".join(parts)
+
+KEY_SQL = """concat_ws('|', type, level, "row", regexp_replace(CAST(col AS VARCHAR), '\\.0$', ''))"""
+
+# ---- checks of one source
+
+PEER_SQL = f"""
+long AS (
+  SELECT id, source, file, page, level, overall, 'count' AS field, CAST("count" AS VARCHAR) AS value FROM elements
+  UNION ALL SELECT id, source, file, page, level, overall, 'size', size FROM elements
+  UNION ALL SELECT id, source, file, page, level, overall, 'tie_size', tie_size FROM elements
+  UNION ALL SELECT id, source, file, page, level, overall, 'spacing_mm', CAST(spacing_mm AS VARCHAR) FROM elements),
+members AS (SELECT source, file, page, level, count(*) AS members FROM elements GROUP BY ALL HAVING count(*) >= {S.PEER_GROUP}),
+counts AS (SELECT source, file, page, level, field, value, count(*) AS n FROM long WHERE value IS NOT NULL GROUP BY ALL),
+ranked AS (SELECT *, SUM(n) OVER g AS known, first_value(value) OVER (PARTITION BY source, file, page, level, field ORDER BY n DESC, value) AS mode, max(n) OVER g AS mode_n
+  FROM counts WINDOW g AS (PARTITION BY source, file, page, level, field)),
+rare AS (SELECT r.*, round(mode_n / known * (1 - n / known), 3) AS score FROM ranked r JOIN members USING (source, file, page, level)
+  WHERE known >= {S.PEER_GROUP} AND value <> mode AND mode_n / known >= {S.PEER_MODE_SHARE} AND n / known <= {S.PEER_RARE_SHARE}),
+peers AS (SELECT l.id, l.field, l.value, r.mode, r.score, l.overall FROM long l JOIN rare r USING (source, file, page, level, field, value))"""
+
+@query(with_tables(ELEMENTS_SQL, PEER_SQL) + " SELECT id, field, value, mode, score FROM peers")
+def peer_outliers(spark, sf_dir):
+    return checks.peer_outliers(elements(spark, sf_dir))
+
+HEIGHTS_SQL = """
+heights AS (SELECT level, height_mm FROM (SELECT level, lead(elevation_mm) OVER (ORDER BY elevation_mm, level) - elevation_mm AS height_mm FROM levels) WHERE height_mm IS NOT NULL)"""
+TIES_SQL = """
+ties AS (SELECT id, e.level, overall, round(tie_count * spacing_mm / height_mm, 3) AS ratio FROM elements e JOIN heights h ON e.level = h.level
+  WHERE source = 'shop' AND tie_count IS NOT NULL AND spacing_mm IS NOT NULL AND height_mm <> 0),
+med AS (SELECT median(ratio) AS med, count(*) AS n FROM ties),
+band AS (SELECT CASE WHEN n < 20 THEN 0.8 ELSE med - 6.0 * greatest(1.4826 * mad, 0.05 * med) END AS lo,
+  CASE WHEN n < 20 THEN 1.3 ELSE med + 6.0 * greatest(1.4826 * mad, 0.05 * med) END AS hi, CASE WHEN n < 20 THEN 'fallback' ELSE 'learned' END AS how
+  FROM (SELECT any_value(med) AS med, any_value(n) AS n, median(abs(ratio - med)) AS mad FROM ties, med)),
+odd AS (SELECT id, level, ratio, how, overall AS trust FROM ties, band WHERE NOT (ratio BETWEEN lo AND hi))"""
+
+@query(with_tables(LEVELS_SQL, HEIGHTS_SQL) + " SELECT * FROM heights")
+def storey_heights(spark, sf_dir):
+    return checks.storey_heights(levels(spark, sf_dir))
+
+@query(with_tables(ELEMENTS_SQL, LEVELS_SQL, HEIGHTS_SQL, TIES_SQL) + " SELECT * FROM ties")
+def tie_ratios(spark, sf_dir):
+    return checks.tie_ratios(elements(spark, sf_dir), levels(spark, sf_dir))
+
+@query(with_tables(ELEMENTS_SQL, LEVELS_SQL, HEIGHTS_SQL, TIES_SQL) + " SELECT round(lo, 6) AS lo, round(hi, 6) AS hi, how FROM band")
+def learned_band(spark, sf_dir):
+    out = checks.learned_band(checks.tie_ratios(elements(spark, sf_dir), levels(spark, sf_dir)))
+    return out.select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "how")
+
+@query(with_tables(ELEMENTS_SQL, LEVELS_SQL, HEIGHTS_SQL, TIES_SQL) + " SELECT * FROM odd")
+def internal_consistency(spark, sf_dir):
+    return checks.internal_consistency(elements(spark, sf_dir), levels(spark, sf_dir))
+
+#: The adapter's sizes are all known; a vocabulary without the rarer one makes the check fire.
+COMMON_SIZES = ("10M", "15M", "20M", "25M", "30M")
+PLAUSIBLE_SQL = """
+implausible AS (SELECT id, failed, overall AS trust FROM (SELECT id, overall, concat_ws(',',
+  CASE WHEN NOT ("count" BETWEEN 1 AND 60) THEN 'count_plausible' END, CASE WHEN size NOT IN ('10M','15M','20M','25M','30M') THEN 'size_in_vocabulary' END,
+  CASE WHEN NOT (spacing_mm BETWEEN 25.0 AND 600.0) THEN 'spacing_plausible' END) AS failed FROM elements) WHERE failed <> '')"""
+
+@query(with_tables(ELEMENTS_SQL, PLAUSIBLE_SQL) + " SELECT * FROM implausible")
+def plausibility(spark, sf_dir):
+    return checks.plausibility(elements(spark, sf_dir), COMMON_SIZES)
+
+def diffs_sql(a: str, b: str) -> str:
+    return f"""concat_ws(',', CASE WHEN {a}."count" <> {b}."count" THEN 'count' END, CASE WHEN {a}.size <> {b}.size THEN 'size' END,
+  CASE WHEN {a}.tie_size <> {b}.tie_size THEN 'tie_size' END, CASE WHEN abs(round({b}.spacing_mm - {a}.spacing_mm, 3)) > 1.0 THEN 'spacing_mm' END)"""
+
+TWICE_SQL = f"""
+keyed AS (SELECT *, {KEY_SQL} AS key FROM elements),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, key ORDER BY file, page, id) AS k FROM keyed) WHERE k = 1),
+twice AS (SELECT * FROM (SELECT CASE WHEN e.source = 'shop' AND e.file <> f.file THEN 'cross.shop_vs_shop' ELSE 'self.duplicate' END AS check_type, e.source, e.key,
+  f.id AS first_id, e.id AS other_id, {diffs_sql("f", "e")} AS fields, round(least(f.overall, e.overall), 3) AS trust
+  FROM keyed e JOIN firsts f ON e.source = f.source AND e.key = f.key AND e.id <> f.id) WHERE fields <> '')"""
+
+@query(with_tables(ELEMENTS_SQL, TWICE_SQL) + " SELECT * FROM twice")
+def duplicate_conflicts(spark, sf_dir):
+    return checks.duplicate_conflicts(elements(spark, sf_dir))
+
+@query(with_tables(ELEMENTS_SQL, LEVELS_SQL, PEER_SQL, HEIGHTS_SQL, TIES_SQL, PLAUSIBLE_SQL, TWICE_SQL) + """,
+f AS (SELECT 'self.peer_outlier' AS c, id || '|' || field AS parts, id AS record, overall AS trust, score AS probability FROM peers
+  UNION ALL SELECT 'self.internal_consistency', id, id, trust, 1.0 FROM odd UNION ALL SELECT 'self.plausibility', id, id, trust, 1.0 FROM implausible
+  UNION ALL SELECT check_type, first_id || '|' || other_id, first_id, trust, 1.0 FROM twice)
+SELECT 'F-' || substr(sha1(c || '|' || parts), 1, 12) AS id, c AS check_type, 'needs_review' AS status, record, trust, CAST(probability AS DOUBLE) AS probability FROM f""")
+def self_findings(spark, sf_dir):
+    return comparing.self_findings(elements(spark, sf_dir), levels(spark, sf_dir), COMMON_SIZES)
+
+# ---- matching
+
+PRIMARY_SQL = f"""
+primaries AS (SELECT * FROM (SELECT *, {KEY_SQL} AS key, row_number() OVER (PARTITION BY source, {KEY_SQL} ORDER BY overall DESC, file, page, id) AS k,
+  count(*) OVER (PARTITION BY source, {KEY_SQL}) - 1 AS extras FROM elements) WHERE k = 1),
+p AS (SELECT * FROM primaries WHERE source = 'plan'), s AS (SELECT * FROM primaries WHERE source = 'shop')"""
+
+@query(with_tables(ELEMENTS_SQL, PRIMARY_SQL) + " SELECT key, p.id AS plan_id, s.id AS shop_id, p.extras AS plan_extras, s.extras AS shop_extras FROM p JOIN s USING (key)")
+def key_match_primary(spark, sf_dir):
+    return matching.key_match(elements(spark, sf_dir)).select("key", "plan_id", "shop_id", "plan_extras", "shop_extras")
+
+@query()
+def near_column_match(spark, sf_dir):
+    return matching.near_columns(elements(spark, sf_dir))
+
+CROSS_SQL = f"""
+lv AS (SELECT DISTINCT source, level FROM elements),
+o AS (SELECT key, p.id AS plan_id, s.id AS shop_id, COALESCE(p.type, s.type) AS type, COALESCE(p.level, s.level) AS level,
+  concat_ws('-', COALESCE(p."row", s."row"), regexp_replace(CAST(COALESCE(p.col, s.col) AS VARCHAR), '\\.0$', '')) AS grid,
+  CASE WHEN p.id IS NOT NULL AND s.id IS NOT NULL THEN {diffs_sql("p", "s")} END AS fields,
+  p.file AS plan_file, s.file AS shop_file, round(least(p.overall, s.overall), 3) AS trust FROM p FULL JOIN s USING (key)),
+k AS (SELECT *, CASE WHEN plan_id IS NOT NULL AND shop_id IS NOT NULL THEN 'field_diff' WHEN plan_id IS NOT NULL AND level NOT IN (SELECT level FROM lv WHERE source = 'shop') THEN 'level_not_covered'
+  WHEN shop_id IS NOT NULL AND level NOT IN (SELECT level FROM lv WHERE source = 'plan') THEN 'level_not_covered' WHEN plan_id IS NOT NULL THEN 'missing' ELSE 'added' END AS kind FROM o),
+findings AS (SELECT 'F-' || substr(sha1('cross.plan_vs_shop|' || COALESCE(plan_id, '') || '|' || COALESCE(shop_id, '') || '|' || kind), 1, 12) AS id, 'cross.plan_vs_shop' AS check_type,
+  CASE WHEN kind = 'field_diff' AND fields <> '' THEN CASE WHEN trust >= 0.7 THEN 'non_compliant' ELSE 'needs_review' END
+       WHEN kind = 'field_diff' THEN CASE WHEN trust >= 0.7 THEN 'compliant' ELSE 'needs_review' END
+       WHEN kind IN ('missing', 'added') AND trust >= 0.7 THEN kind ELSE 'needs_review' END AS status,
+  type, level, grid, plan_id, shop_id, kind, fields, trust, CASE WHEN fields = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS probability, trust AS confidence, plan_file, shop_file FROM k)"""
+
+def _cross(spark, sf_dir):
+    e = elements(spark, sf_dir)
+    return comparing.cross(matching.full_outer(e), e)
+
+@query(with_tables(ELEMENTS_SQL, PRIMARY_SQL, CROSS_SQL) + " SELECT * FROM findings")
+def cross_findings(spark, sf_dir):
+    return _cross(spark, sf_dir)
+
+@query()
+def cross_findings_near(spark, sf_dir):
+    e = elements(spark, sf_dir)
+    return comparing.cross(matching.full_outer(e, matching.near_columns(e)), e)
+
+@query(with_tables(ELEMENTS_SQL, PRIMARY_SQL) + f""" SELECT * FROM (SELECT key, p.id AS plan_id, s.id AS shop_id, {diffs_sql("p", "s")} AS fields FROM p JOIN s USING (key)) WHERE fields <> ''""")
+def profile_diffs(spark, sf_dir):
+    out = matching.key_match(elements(spark, sf_dir)).withColumn("diffs", checks.profile_diffs("plan_", "shop_")).where(F.size("diffs") > 0)
+    return out.select("key", "plan_id", "shop_id", F.array_join(F.col("diffs.field"), ",").alias("fields"))
+
+BAR_TEXT = "array_to_string(list_transform({0}, lambda x: CASE WHEN x.c < 0 THEN '?' ELSE CAST(x.c AS VARCHAR) END || ' bars' || CASE WHEN x.s >= 0 THEN ' @' || CAST(x.s AS VARCHAR) || 'mm' ELSE '' END), ', ')"
+
+@query(with_tables(BARS_SQL) + f""",
+g AS (SELECT element, source, COALESCE(size, 'no size') AS size, list({{'c': COALESCE("count", -1), 's': CAST(COALESCE(spacing_mm, -1.0) AS DOUBLE)}} ORDER BY COALESCE("count", -1), COALESCE(spacing_mm, -1.0)) AS b FROM bars GROUP BY ALL),
+e2 AS (SELECT element FROM g GROUP BY element HAVING count(DISTINCT source) = 2),
+j AS (SELECT element, size, a.b AS plan, c.b AS shop FROM (SELECT * FROM g WHERE source = 'plan') a FULL JOIN (SELECT * FROM g WHERE source = 'shop') c USING (element, size) WHERE element IN (SELECT element FROM e2)),
+k AS (SELECT *, len(list_filter(plan, lambda x: x.c >= 0)) > 0 AND len(list_filter(plan, lambda x: x.c >= 0 AND NOT list_contains(list_transform(shop, lambda y: y.c), x.c))) = 0 AS known FROM j),
+z AS (SELECT element, size, known, unnest(list_zip(plan[1:least(len(plan), len(shop))], shop[1:least(len(plan), len(shop))])) AS t FROM k WHERE plan IS NOT NULL AND shop IS NOT NULL),
+y AS (SELECT element, size, known, t[1] AS p, t[2] AS q FROM z)
+SELECT element, 'bar group ' || size AS field, {BAR_TEXT.format("plan")} AS plan, NULL::VARCHAR AS shop, NULL::DOUBLE AS delta FROM k WHERE shop IS NULL
+UNION ALL SELECT element, 'bar group ' || size, NULL, {BAR_TEXT.format("shop")}, NULL FROM k WHERE plan IS NULL
+UNION ALL SELECT element, size || ' count', CAST(p.c AS VARCHAR), CAST(q.c AS VARCHAR), CAST(q.c - p.c AS DOUBLE) FROM y WHERE NOT known AND p.c >= 0 AND q.c >= 0 AND p.c <> q.c
+UNION ALL SELECT element, size || ' spacing_mm', CAST(p.s AS VARCHAR), CAST(q.s AS VARCHAR), round(q.s - p.s, 3) FROM y WHERE p.s >= 0 AND q.s >= 0 AND abs(q.s - p.s) > 1.0
+UNION ALL SELECT element, size || ' group count', CAST(len(plan) AS VARCHAR), CAST(len(shop) AS VARCHAR), CAST(len(shop) - len(plan) AS DOUBLE) FROM k WHERE plan IS NOT NULL AND shop IS NOT NULL AND len(plan) <> len(shop) AND NOT known""")
+def generic_diffs(spark, sf_dir):
+    return comparing.generic_diffs(bars(spark, sf_dir))
+
+# ---- reports
+
+@query(with_tables(ELEMENTS_SQL, PRIMARY_SQL, CROSS_SQL) + " SELECT s AS status, (SELECT count(*) FROM findings WHERE status = s) AS n FROM unnest(['compliant', 'non_compliant', 'missing', 'added', 'needs_review']) t(s)")
+def status_counts(spark, sf_dir):
+    return reporting.status_counts(_cross(spark, sf_dir))
+
+@query(with_tables(ELEMENTS_SQL, PRIMARY_SQL, CROSS_SQL) + """ SELECT level, type, count(*) AS total, count(*) FILTER (WHERE status = 'compliant') AS compliant, count(*) FILTER (WHERE status = 'non_compliant') AS non_compliant,
+ count(*) FILTER (WHERE status = 'missing') AS missing, count(*) FILTER (WHERE status = 'added') AS added, count(*) FILTER (WHERE status = 'needs_review') AS needs_review FROM findings GROUP BY level, type""")
+def sheet_counts(spark, sf_dir):
+    return reporting.by_status(_cross(spark, sf_dir), ["level", "type"])
+
+@query(with_tables(ELEMENTS_SQL) + " SELECT count(*) AS total, count(*) FILTER (WHERE source = 'plan') AS plan, count(*) FILTER (WHERE source = 'shop') AS shop FROM elements")
+def manifest_counts(spark, sf_dir):
+    return reporting.manifest(elements(spark, sf_dir))
+
+@query(with_tables(ELEMENTS_SQL) + """ SELECT t AS type, count(e.id) AS records, count(DISTINCT CASE WHEN source = 'plan' THEN file * 100 + page END) AS plan_pages,
+ count(DISTINCT CASE WHEN source = 'shop' THEN file * 100 + page END) AS shop_pages, CASE WHEN count(e.id) > 0 THEN 'covered' ELSE 'NOT COVERED' END AS state
+ FROM unnest(['A', 'N', 'R', 'X']) k(t) LEFT JOIN elements e ON e.type = t GROUP BY t""")
+def coverage(spark, sf_dir):
+    return reporting.coverage(elements(spark, sf_dir), ("A", "N", "R", "X"))
+
+@query(with_tables(ELEMENTS_SQL, PRIMARY_SQL, CROSS_SQL) + ", f AS (SELECT level, min(file) AS lf FROM elements WHERE source = 'shop' GROUP BY level) SELECT id, level, COALESCE(shop_file, lf) AS file FROM findings LEFT JOIN f USING (level)")
+def shop_file_assignment(spark, sf_dir):
+    return reporting.shop_file_of(_cross(spark, sf_dir), elements(spark, sf_dir))
+
+@query("SELECT c_custkey, regexp_replace(regexp_replace(c_name, '\\.[^.]*$', ''), '[^A-Za-z0-9_-]+', '_', 'g') || '_' || substr(sha1(c_name), 1, 6) AS name FROM customer")
+def safe_names(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", reporting.safe_name(F.col("c_name")).alias("name"))
+
+@query("SELECT p_partkey, array_to_string(list_transform(regexp_extract_all('S-' || p_partkey || '.' || p_size || p_brand, '([0-9]+|[^0-9]+)'), lambda t: CASE WHEN regexp_full_match(t, '[0-9]+') THEN lpad(t, 12, '0') ELSE t END), '') AS sort_key FROM part")
+def natural_sort_keys(spark, sf_dir):
+    sheet = F.concat(F.lit("S-"), F.col("p_partkey"), F.lit("."), F.col("p_size"), F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", reporting.natural_key(sheet).alias("sort_key"))
+
+@query(with_tables(ELEMENTS_SQL) + """ SELECT min(id) AS id, source, file, type, level, "row", col, "count", size, count(*) AS occurrences,
+ array_to_string(list_sort(list(DISTINCT page)), ',') AS pages FROM elements GROUP BY source, file, type, level, "row", col, "count", size""")
+def collapse_duplicates(spark, sf_dir):
+    return reporting.collapse_duplicates(elements(spark, sf_dir), ["source", "file", "type", "level", "row", "col", "count", "size"])
+
+@query(with_tables(ELEMENTS_SQL) + """, g AS (SELECT source, file, type, level, "row", col, "count", size, count(*) AS n, min(overall) AS o, min(page) AS p0, max(page) AS p1 FROM elements GROUP BY ALL)
+ SELECT source, file, type, level, "row", col, count(*) AS statements, min(o) AS overall, max(n) AS occurrences, min(p0) AS first_page, max(p1) AS last_page FROM g GROUP BY ALL""")
+def cell_merge(spark, sf_dir):
+    return reporting.cell_merge(elements(spark, sf_dir))
+
+@query(with_tables(ELEMENTS_SQL) + """,
+a AS (SELECT DISTINCT level, "row", col, "count", size FROM elements WHERE source = 'plan'), b AS (SELECT DISTINCT level, "row", col, "count", size FROM elements WHERE source = 'shop'),
+m AS (SELECT level, "count" AS mc, size AS ms FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY n DESC, "count", size) AS k FROM (SELECT level, "count", size, count(*) AS n FROM a GROUP BY ALL)) WHERE k = 1),
+x AS (SELECT a.*, a."count" = mc AND a.size = ms AS typical, EXISTS (SELECT 1 FROM b WHERE b.level = a.level AND b."row" = a."row" AND b.col = a.col AND b."count" = a."count" AND b.size = a.size) AS agrees,
+  EXISTS (SELECT 1 FROM b WHERE b.level = a.level AND b."row" = a."row" AND b.col - 1 = a.col AND b."count" = a."count" AND b.size = a.size) AS chance
+  FROM a JOIN m USING (level) WHERE EXISTS (SELECT 1 FROM b WHERE b.level = a.level AND b."row" = a."row" AND b.col = a.col))
+SELECT count(*) AS matched, round(count(*) FILTER (WHERE typical AND agrees) / nullif(count(*) FILTER (WHERE typical), 0), 4) AS typical, round(count(*) FILTER (WHERE NOT typical AND agrees) / nullif(count(*) FILTER (WHERE NOT typical), 0), 4) AS atypical, round(count(*) FILTER (WHERE chance) / nullif(count(*), 0), 4) AS chance FROM x""")
+def witness_rates(spark, sf_dir):
+    return reporting.witness_rates(elements(spark, sf_dir))
+
+@query(with_tables(ELEMENTS_SQL) + """, l AS (SELECT 'L' || (l_quantity::BIGINT % 60) AS level, CASE WHEN l_quantity::BIGINT % 60 < 45 THEN 'plan' ELSE 'shop' END AS source FROM lineitem UNION ALL SELECT 'L' || (l_partkey % 40), 'shop' FROM lineitem)
+ SELECT level, CASE WHEN bool_or(source = 'plan') THEN 'plan' ELSE 'shop' END AS only FROM l GROUP BY level HAVING bool_or(source = 'plan') <> bool_or(source = 'shop')""")
+def level_gaps(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    q = F.col("l_quantity").cast("long") % 60
+    a = rows.select(F.concat(F.lit("L"), q.cast("string")).alias("level"), F.when(q < 45, "plan").otherwise("shop").alias("source"))
+    b = rows.select(F.concat(F.lit("L"), (F.col("l_partkey") % 40).cast("string")).alias("level"), F.lit("shop").alias("source"))
+    return reporting.level_gaps(a.unionByName(b))
+
+# ---- notation
+
+_DASH = " - "
+
+@query(with_tables(NOTES_SQL) + ", t AS (SELECT note, 'ARM ' || q || CASE WHEN note % 2 = 0 THEN '-' ELSE ' - ' END || s || ' C/C' AS x FROM notes) SELECT note, TRY_CAST(nullif(regexp_extract(x, '(?:^|[^0-9])([0-9]{1,2})\\s*-\\s*((?:10|15|20|25|30|35)M)\\b', 1), '') AS INTEGER) AS n, nullif(upper(regexp_extract(x, '(?:^|[^0-9])([0-9]{1,2})\\s*-\\s*((?:10|15|20|25|30|35)M)\\b', 2)), '') AS size FROM t")
+def parse_count_size(spark, sf_dir):
+    n = notes(spark, sf_dir)
+    t = F.concat(F.lit("ARM "), F.col("q"), F.when(F.col("note") % 2 == 0, "-").otherwise(_DASH), F.col("s"), F.lit(" C/C"))
+    count, size = text.count_size(F.col("t"))
+    return n.withColumn("t", t).select("note", count.alias("n"), size.alias("size"))
+
+_SPACING = r"(?i)((?:10|15|20|25|30|35)M)\s*@\s*([0-9]+(?:\.[0-9]+)?)\s*(mm|cm|[\"'']{1,2})?"
+
+@query(with_tables(NOTES_SQL) + f""", t AS (SELECT note, s || ' @ ' || q || CASE note % 4 WHEN 0 THEN 'mm' WHEN 1 THEN 'cm' WHEN 2 THEN '"' ELSE '' END AS x FROM notes),
+ p AS (SELECT note, nullif(upper(regexp_extract(x, '{_SPACING}', 1)), '') AS size, TRY_CAST(nullif(regexp_extract(x, '{_SPACING}', 2), '') AS DOUBLE) AS v, nullif(lower(regexp_extract(x, '{_SPACING}', 3)), '') AS u FROM t)
+ SELECT note, size, CASE WHEN u = 'mm' THEN v WHEN u = 'cm' THEN round(v * 10.0::DOUBLE, 3) WHEN u IS NOT NULL THEN round(v * 25.4::DOUBLE, 3) WHEN v >= 30 THEN v ELSE round(v * 25.4::DOUBLE, 3) END AS spacing_mm FROM p""")
+def parse_size_spacing(spark, sf_dir):
+    n = notes(spark, sf_dir)
+    unit = F.when(F.col("note") % 4 == 0, "mm").when(F.col("note") % 4 == 1, "cm").when(F.col("note") % 4 == 2, '"').otherwise("")
+    size, spacing = text.size_spacing(F.col("t"))
+    return n.withColumn("t", F.concat("s", F.lit(" @ "), "q", unit)).select("note", size.alias("size"), spacing.alias("spacing_mm"))
+
+_SECTION = r"(?i)(?:COLUMN|COL)\.?\s*([0-9]+(?:\.[0-9]+)?)\s*[\"'']?\s*[xX×]\s*([0-9]+(?:\.[0-9]+)?)\s*(mm)?"
+
+@query(with_tables(NOTES_SQL) + f""", t AS (SELECT note, CASE note % 3 WHEN 0 THEN 'COL. ' WHEN 1 THEN 'column ' ELSE 'BEAM ' END || q || 'x' || (l_partkey % 90) || CASE WHEN note % 2 = 0 THEN 'mm' ELSE '' END AS x FROM notes)
+ SELECT note, round(TRY_CAST(nullif(regexp_extract(x, '{_SECTION}', 1), '') AS DOUBLE) * f, 3) AS a, round(TRY_CAST(nullif(regexp_extract(x, '{_SECTION}', 2), '') AS DOUBLE) * f, 3) AS b
+ FROM (SELECT *, CASE WHEN regexp_extract(x, '{_SECTION}', 3) <> '' THEN 1.0::DOUBLE ELSE 25.4::DOUBLE END AS f FROM t)""")
+def parse_section(spark, sf_dir):
+    n = notes(spark, sf_dir)
+    word = F.when(F.col("note") % 3 == 0, "COL. ").when(F.col("note") % 3 == 1, "column ").otherwise("BEAM ")
+    t = F.concat(word, "q", F.lit("x"), F.col("l_partkey") % 90, F.when(F.col("note") % 2 == 0, "mm").otherwise(""))
+    a, b = text.section(F.col("t"))
+    return n.withColumn("t", t).select("note", a.alias("a"), b.alias("b"))
+
+@query(with_tables(NOTES_SQL) + """, t AS (SELECT note, CASE note % 3 WHEN 0 THEN 'EL. ' || q || '.5 m' WHEN 1 THEN q || '00 mm' ELSE q || ''' - ' || (l_partkey % 12) || '"' END AS x FROM notes),
+ p AS (SELECT note, x, TRY_CAST(nullif(regexp_extract(x, '(-?[0-9]+(?:\\.[0-9]+)?)\\s*(mm|m)\\b', 1), '') AS DOUBLE) AS v, regexp_extract(x, '(-?[0-9]+(?:\\.[0-9]+)?)\\s*(mm|m)\\b', 2) AS u,
+  TRY_CAST(nullif(regexp_extract(x, '([0-9]+)\\s*''\\s*-?\\s*([0-9]+(?:\\.[0-9]+)?)?', 1), '') AS DOUBLE) AS ft, COALESCE(TRY_CAST(nullif(regexp_extract(x, '([0-9]+)\\s*''\\s*-?\\s*([0-9]+(?:\\.[0-9]+)?)?', 2), '') AS DOUBLE), 0) AS inch FROM t)
+ SELECT note, CASE WHEN v IS NOT NULL AND NOT contains(x, '''') THEN round(CASE WHEN u = 'mm' THEN v ELSE v * 1000.0::DOUBLE END, 3) ELSE round(ft * 304.8::DOUBLE + inch * 25.4::DOUBLE, 3) END AS elevation_mm FROM p""")
+def parse_elevation(spark, sf_dir):
+    n = notes(spark, sf_dir)
+    t = F.when(F.col("note") % 3 == 0, F.concat(F.lit("EL. "), "q", F.lit(".5 m"))).when(F.col("note") % 3 == 1, F.concat("q", F.lit("00 mm"))).otherwise(F.concat("q", F.lit("' - "), F.col("l_partkey") % 12, F.lit('"')))
+    return n.withColumn("t", t).select("note", text.elevation(F.col("t")).alias("elevation_mm"))
+
+_TIES = r"(?i)(?:ÉTRI|ETRI|TIES|STIRRUP)\.?:?\s*([0-9]{1,3})\s*((?:10|15|20|25|30|35)M)\s*([^\s@]+)(?:\s*@\s*([0-9]+(?:\.[0-9]+)?)\s*(mm|cm|[\"'']{1,2})?)?"
+
+@query(with_tables(NOTES_SQL) + f""", t AS (SELECT note, CASE WHEN note % 5 = 0 THEN 'NOTE ' ELSE 'TIES: ' END || q || ' ' || s || ' T' || (l_partkey % 9) || CASE WHEN note % 2 = 0 THEN ' @' || (l_suppkey % 40) ELSE '' END AS x FROM notes),
+ p AS (SELECT note, TRY_CAST(nullif(regexp_extract(x, '{_TIES}', 1), '') AS INTEGER) AS n, nullif(upper(regexp_extract(x, '{_TIES}', 2)), '') AS size, nullif(regexp_extract(x, '{_TIES}', 3), '') AS mark, TRY_CAST(nullif(regexp_extract(x, '{_TIES}', 4), '') AS DOUBLE) AS v FROM t)
+ SELECT note, n, size, mark, CASE WHEN v >= 30 THEN v ELSE round(v * 25.4::DOUBLE, 3) END AS spacing_mm FROM p""")
+def parse_shop_ties(spark, sf_dir):
+    n = notes(spark, sf_dir)
+    t = F.concat(F.when(F.col("note") % 5 == 0, "NOTE ").otherwise("TIES: "), "q", F.lit(" "), "s", F.lit(" T"), F.col("l_partkey") % 9, F.when(F.col("note") % 2 == 0, F.concat(F.lit(" @"), F.col("l_suppkey") % 40)).otherwise(""))
+    b = text.shop_bars(F.col("t"), text.TIE_WORDS)
+    return n.withColumn("t", t).select("note", b["count"].alias("n"), b["size"].alias("size"), b["mark"].alias("mark"), b["spacing_mm"].alias("spacing_mm"))
+
+_GRID = r"^([A-Z]{1,2}(?:\.[0-9]|'')?)-([1-9][0-9]?(?:\.[0-9])?)$"
+
+@query(with_tables(NOTES_SQL) + f""", t AS (SELECT note, CASE WHEN note % 7 = 0 THEN 'A' ELSE '' END || chr(CAST(65 + l_suppkey % 26 AS INTEGER)) || CASE note % 4 WHEN 0 THEN '.5' WHEN 1 THEN '''' ELSE '' END || '-' || CASE WHEN note % 6 = 0 THEN '0' ELSE '' END || (l_partkey % 99) AS x FROM notes),
+ p AS (SELECT note, nullif(regexp_extract(x, '{_GRID}', 1), '') AS r, TRY_CAST(nullif(regexp_extract(x, '{_GRID}', 2), '') AS DOUBLE) AS c FROM t)
+ SELECT note, r AS "row", c AS col, regexp_replace(regexp_replace(r, '\\..*$', ''), '''+$', '') AS base,
+  round(CASE WHEN length(regexp_extract(r, '^([A-Z]+)', 1)) > 1 THEN (ascii(r) - 64) * 26 ELSE 0 END + ascii(right(regexp_extract(r, '^([A-Z]+)', 1), 1)) - 64 + COALESCE(TRY_CAST(nullif(regexp_extract(r, '\\.([0-9])', 1), '') AS DOUBLE) / 10, 0) + CASE WHEN contains(r, '''') THEN 0.05 ELSE 0 END, 3)::DOUBLE AS rank FROM p WHERE r IS NOT NULL""")
+def parse_grid_label(spark, sf_dir):
+    n = notes(spark, sf_dir)
+    t = F.concat(F.when(F.col("note") % 7 == 0, "A").otherwise(""), F.char((65 + F.col("l_suppkey") % 26).cast("int")), F.when(F.col("note") % 4 == 0, ".5").when(F.col("note") % 4 == 1, "'").otherwise(""), F.lit("-"), F.when(F.col("note") % 6 == 0, "0").otherwise(""), F.col("l_partkey") % 99)
+    r, c = text.grid_label(F.col("t"))
+    out = n.withColumn("t", t).select("note", r.alias("row"), c.alias("col")).where("row is not null")
+    return out.select("note", "row", "col", text.base_row(F.col("row")).alias("base"), F.round(matching.letter_rank(F.col("row")), 3).alias("rank"))
+
+_NAMES = ("Niveau ", "LEVEL", "Rez-de-chaussée ", "SOUS-SOL", "SS-", "Toit appentis", "ROOF ", "Ground floor", "TRÉFOND", "CLOISON")
+
+@query(with_tables(NOTES_SQL) + """, t AS (SELECT note, (['Niveau ', 'LEVEL', 'Rez-de-chaussée ', 'SOUS-SOL', 'SS-', 'Toit appentis', 'ROOF ', 'Ground floor', 'TRÉFOND', 'CLOISON'])[CAST(note % 10 + 1 AS INTEGER)] || CASE WHEN note % 10 < 5 THEN CAST(q % 12 AS VARCHAR) ELSE '' END AS x FROM notes),
+ p AS (SELECT note, translate(upper(x), 'ÉÈ', 'EE') AS x FROM t)
+ SELECT note, CASE WHEN regexp_matches(x, '^(?:NIVEAU|LEVEL|FLOOR|NIV)\\s*[0-9]{1,2}\\b') THEN 'N' || CAST(CAST(regexp_extract(x, '([0-9]+)', 1) AS INTEGER) AS VARCHAR)
+  WHEN x LIKE 'REZ-DE-CHAUSSEE%' THEN 'RDC' WHEN x LIKE 'TOIT APPENTIS%' THEN 'TOIT_APP' WHEN x LIKE 'GROUND%' THEN 'RDC'
+  WHEN x LIKE 'SOUS-SOL%' OR x LIKE 'SS%' THEN CASE WHEN TRY_CAST(nullif(regexp_extract(x, '([0-9]+)$', 1), '') AS INTEGER) > 1 THEN 'SS' || CAST(CAST(regexp_extract(x, '([0-9]+)$', 1) AS INTEGER) AS VARCHAR) ELSE 'SS' END
+  WHEN x LIKE 'TREFOND%' THEN 'FDN' WHEN x LIKE 'ROOF%' THEN 'TOIT' END AS level FROM p""")
+def canonical_levels(spark, sf_dir):
+    n = notes(spark, sf_dir)
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("note") % 10 + 1).cast("int"))
+    t = F.concat(name, F.when(F.col("note") % 10 < 5, (F.col("q") % 12).cast("string")).otherwise(""))
+    return n.withColumn("t", t).select("note", text.canonical_level(F.col("t")).alias("level"))
+
+@query(with_tables(NOTES_SQL) + """, t AS (SELECT note, (['1OM', 'I5M', '2OM', '2SM', '3SM', '25M', 'Z5M', 'B0M', 'X1M', '45M'])[CAST(note % 10 + 1 AS INTEGER)] AS x FROM notes), p AS (SELECT *, upper(translate(x, 'OIlSBZ', '011582')) AS f FROM t)
+ SELECT note, CASE WHEN x IN ('10M','15M','20M','25M','30M','35M') THEN x WHEN f IN ('10M','15M','20M','25M','30M','35M') THEN f ELSE x END AS size FROM p""")
+def snapped_sizes(spark, sf_dir):
+    n = notes(spark, sf_dir)
+    t = F.element_at(F.array(*map(F.lit, ("1OM", "I5M", "2OM", "2SM", "3SM", "25M", "Z5M", "B0M", "X1M", "45M"))), (F.col("note") % 10 + 1).cast("int"))
+    return n.withColumn("t", t).select("note", text.snap_size(F.col("t")).alias("size"))
+
+@query(with_tables(NOTES_SQL) + """, t AS (SELECT note, CAST(q AS DOUBLE) AS v, (['mm', 'cm', 'm', 'ft', 'in', 'xx'])[CAST(note % 6 + 1 AS INTEGER)] AS u FROM notes)
+ SELECT note, round(v * CASE u WHEN 'mm' THEN 1.0::DOUBLE WHEN 'cm' THEN 10.0::DOUBLE WHEN 'm' THEN 1000.0::DOUBLE WHEN 'ft' THEN 304.8::DOUBLE WHEN 'in' THEN 25.4::DOUBLE END, 3) AS mm FROM t""")
+def unit_lengths(spark, sf_dir):
+    n = notes(spark, sf_dir)
+    u = F.element_at(F.array(*map(F.lit, ("mm", "cm", "m", "ft", "in", "xx"))), (F.col("note") % 6 + 1).cast("int"))
+    return n.select("note", text.millimetres(F.col("q").cast("double"), u).alias("mm"))
+
+@query(with_tables(NOTES_SQL) + """ SELECT note, abs(a - b) <= greatest(5.0, 0.04::DOUBLE * greatest(abs(a), abs(b))) AS same FROM (SELECT note, CAST(q * 25 AS DOUBLE) AS a, q * 25.4::DOUBLE + l_suppkey % 7 AS b FROM notes)""")
+def same_lengths(spark, sf_dir):
+    n = notes(spark, sf_dir)
+    return n.select("note", matching.same_length((F.col("q") * 25).cast("double"), F.col("q") * 25.4 + F.col("l_suppkey") % 7).alias("same"))
+
+@query(with_tables(NOTES_SQL) + """, t AS (SELECT note, 1 - (l_partkey % 5) / 10.0::DOUBLE AS c, CASE WHEN note % 2 = 0 THEN 'ocr' ELSE 'native' END AS src, 0.5::DOUBLE + (q % 5) / 10.0::DOUBLE AS o, note % 3 = 0 AS sn, (['parsed', 'derived', 'missing'])[CAST(note % 3 + 1 AS INTEGER)] AS st,
+   (['outline', 'label', 'mark_axis', 'text_only'])[CAST(note % 4 + 1 AS INTEGER)] AS an, CASE WHEN note % 5 = 0 THEN NULL ELSE (q % 11) / 10.0::DOUBLE END AS mg, note % 7 AS fl FROM notes),
+ u AS (SELECT *, CASE WHEN st = 'missing' THEN 0.3 ELSE round(greatest(0.0, least(1.0, c * CASE WHEN src = 'ocr' THEN o ELSE 1.0::DOUBLE END * CASE WHEN sn THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN st = 'derived' THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END)), 3) END AS attr,
+   round(1.0::DOUBLE * c * CASE an WHEN 'outline' THEN 1.0::DOUBLE WHEN 'label' THEN 0.95::DOUBLE WHEN 'mark_axis' THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END * COALESCE(CASE WHEN sn THEN 0.75::DOUBLE + (1 - 0.75::DOUBLE) * mg ELSE 0.6::DOUBLE + (1 - 0.6::DOUBLE) * mg END, 1.0), 3) AS loc FROM t)
+ SELECT note, attr::DOUBLE AS attribute, loc AS location, CASE WHEN fl > 0 THEN least(s, 0.69) ELSE s END::DOUBLE AS overall FROM (SELECT *, round(least(attr, loc) * greatest(0.3::DOUBLE, pow(0.85::DOUBLE, fl)), 3) AS s FROM u)""")
+def quality_scores(spark, sf_dir):
+    n = notes(spark, sf_dir)
+    pick = lambda names, m: F.element_at(F.array(*map(F.lit, names)), (F.col("note") % m + 1).cast("int"))
+    snapped = F.col("note") % 3 == 0
+    c = 1 - (F.col("l_partkey") % 5) / 10.0
+    a = quality.attribute(c, F.when(F.col("note") % 2 == 0, "ocr").otherwise("native"), 0.5 + (F.col("q") % 5) / 10.0, snapped, pick(("parsed", "derived", "missing"), 3))
+    margin = F.when(F.col("note") % 5 != 0, (F.col("q") % 11) / 10.0)
+    loc = quality.location(F.lit(1.0), c, pick(("outline", "label", "mark_axis", "text_only"), 4), margin, snapped)
+    out = n.select("note", a.alias("attribute"), loc.alias("location"))
+    return out.withColumn("overall", quality.overall(F.array("attribute", "location"), F.col("note") % 7))
+
+@query(with_tables(NOTES_SQL) + " SELECT note, round(exp(-(l_partkey % 7) / 2.0::DOUBLE) / (exp(-(l_partkey % 7) / 2.0::DOUBLE) + exp(-(l_suppkey % 5) / 2.0::DOUBLE)), 6) AS certainty FROM notes")
+def rank_certainty(spark, sf_dir):
+    o = F.array(F.struct(F.lit("yes").alias("option"), (-(F.col("l_partkey") % 7) / 2.0).alias("logprob")), F.struct(F.lit("no").alias("option"), (-(F.col("l_suppkey") % 5) / 2.0).alias("logprob")))
+    return notes(spark, sf_dir).select("note", quality.rank_certainty(o, F.lit("yes")).alias("certainty"))
+
+# ---- layout
+
+@query(with_tables(WORDS_SQL) + """, m AS (SELECT *, CASE WHEN x0 - lag(x1) OVER (PARTITION BY page, line_no ORDER BY x0, k) > 12.0 THEN 1 ELSE 0 END AS nw FROM words),
+ r AS (SELECT *, SUM(nw) OVER (PARTITION BY page, line_no ORDER BY x0, k ROWS UNBOUNDED PRECEDING) AS run FROM m)
+ SELECT page, CAST(line_no AS INTEGER) AS line_no, CAST(run AS BIGINT) AS run, count(*) AS words, min(x0)::DOUBLE AS x0, max(x1)::DOUBLE AS x1, min(y0)::DOUBLE AS y0, max(y1)::DOUBLE AS y1, string_agg(text, ' ' ORDER BY x0, k) AS text FROM r GROUP BY ALL""")
+def text_runs(spark, sf_dir):
+    return layout.runs(words(spark, sf_dir), 12.0)
+
+@query(with_tables(WORDS_SQL) + " SELECT page, COALESCE(median(CASE WHEN length(text) >= 2 THEN y1 - y0 END), 8.0)::DOUBLE AS height FROM words GROUP BY page")
+def word_heights(spark, sf_dir):
+    return layout.word_height(words(spark, sf_dir))
+
+CALIBRATION_SQL = """
+h AS (SELECT page, COALESCE(median(CASE WHEN length(text) >= 2 THEN y1 - y0 END), 8.0)::DOUBLE AS height FROM words GROUP BY page),
+l AS (SELECT DISTINCT page, y0 FROM words), d AS (SELECT page, y0 - lag(y0) OVER (PARTITION BY page ORDER BY y0) AS gap FROM l), g AS (SELECT page, median(gap)::DOUBLE AS gap FROM d WHERE gap > 0 GROUP BY page)"""
+
+@query(with_tables(WORDS_SQL, CALIBRATION_SQL) + """ SELECT page, greatest(4.0, least(40.0, 1.6::DOUBLE * height))::DOUBLE AS run_gap, greatest(2.0, least(20.0, 0.5::DOUBLE * height))::DOUBLE AS align, greatest(5.0, least(100.0, 0.25::DOUBLE * COALESCE(gap, 10 * height)))::DOUBLE AS snap FROM h LEFT JOIN g USING (page)""")
+def page_calibration(spark, sf_dir):
+    w = words(spark, sf_dir)
+    return layout.calibration(layout.word_height(w), layout.neighbour_gap(w.select("page", "y0").distinct(), ["page"], "y0"))
+
+@query(with_tables(WORDS_SQL) + " SELECT page, round(COALESCE(avg(CASE WHEN length(text) >= 3 THEN CASE WHEN y1 - y0 > 1.5 * (x1 - x0) THEN 1.0 ELSE 0.0 END END), 0), 4)::DOUBLE AS vertical FROM words GROUP BY page")
+def vertical_words(spark, sf_dir):
+    return layout.vertical_share(words(spark, sf_dir))
+
+@query("SELECT page_id, CASE WHEN w >= 150 THEN 'text' WHEN i > 0 AND p < 3000 THEN 'image' WHEN p >= 300 THEN 'vector' ELSE 'empty' END AS layer FROM (SELECT page_id, length(html) // 50 AS w, page_id % 3 AS i, (page_id * 37) % 5000 AS p FROM pages)")
+def page_layers(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", layout.page_layer(F.floor(F.length("html") / 50), (F.col("page_id") * 37) % 5000, F.col("page_id") % 3).alias("layer"))
+
+@query("""WITH pt AS (SELECT c_custkey AS point, (c_custkey * 7919) % 100000 / 10.0 AS v FROM customer), ln AS (SELECT s_suppkey AS label, (s_suppkey * 104729) % 100000 / 10.0 AS pos FROM supplier),
+ d AS (SELECT point, label, abs(v - pos) AS d FROM pt JOIN ln ON abs(v - pos) <= 120.0), r AS (SELECT *, row_number() OVER (PARTITION BY point ORDER BY d, label) AS k FROM d)
+ SELECT a.point, a.label, round(a.d, 3)::DOUBLE AS distance, CASE WHEN b.d IS NULL THEN 1.0 WHEN b.d = 0 THEN 0.0 ELSE round((b.d - a.d) / b.d, 3) END::DOUBLE AS margin FROM (SELECT * FROM r WHERE k = 1) a LEFT JOIN (SELECT * FROM r WHERE k = 2) b USING (point)""")
+def nearest_gridline(spark, sf_dir):
+    p = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point"), ((F.col("c_custkey") * 7919) % 100000 / 10.0).alias("v"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("label"), ((F.col("s_suppkey") * 104729) % 100000 / 10.0).alias("pos"))
+    return layout.nearest_line(p, s, 120.0)
+
+@query(with_tables(LEVELS_SQL) + ", pt AS (SELECT c_custkey AS point, ((c_custkey * 7919) % 16000 - 1500)::DOUBLE AS v FROM customer) SELECT point, COALESCE((SELECT max_by(level, (elevation_mm, level)) FROM levels WHERE elevation_mm <= v), 'FDN') AS level FROM pt")
+def level_bands(spark, sf_dir):
+    p = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point"), ((F.col("c_custkey") * 7919) % 16000 - 1500).cast("double").alias("v"))
+    return layout.level_band(p, levels(spark, sf_dir))
+
+@query("""WITH pt AS (SELECT c_custkey AS point, c_nationkey AS page, ((c_custkey * 31) % 1000)::DOUBLE AS x, ((c_custkey * 77) % 700)::DOUBLE AS y FROM customer), tt AS (SELECT s_nationkey AS page, s_name AS title, ((s_suppkey * 53) % 1000)::DOUBLE AS tx, ((s_suppkey * 91) % 700)::DOUBLE AS ty FROM supplier)
+ SELECT point, title FROM (SELECT point, title, row_number() OVER (PARTITION BY point ORDER BY ty < y, pow(tx - x, 2) + pow(ty - y, 2), title) AS k FROM pt JOIN tt USING (page)) WHERE k = 1""")
+def nearest_titles(spark, sf_dir):
+    p = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point"), F.col("c_nationkey").alias("page"), ((F.col("c_custkey") * 31) % 1000).cast("double").alias("x"), ((F.col("c_custkey") * 77) % 700).cast("double").alias("y"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("page"), F.col("s_name").alias("title"), ((F.col("s_suppkey") * 53) % 1000).cast("double").alias("x"), ((F.col("s_suppkey") * 91) % 700).cast("double").alias("y"))
+    return layout.nearest_title(p, s)
+
+# ---- cost model
+
+ENTITY_SQL = """
+bar AS (SELECT *, {'size': size, 'count': "count", 'spacing_mm': spacing_mm} AS b FROM elements),
+l AS (SELECT id AS note, "row", col, level, type AS kind, [b] AS bars FROM bar WHERE source = 'plan'),
+r AS (SELECT id AS slot, "row", col, level, NULL AS level_to, type AS kind, [b] AS bars FROM bar WHERE source = 'shop'),
+pr AS (SELECT l.note, r.slot, l.level AS ll, r.level AS rl, l.kind AS lk, r.kind AS rk, l."row" AS lr, r."row" AS rr, l.col AS lc, r.col AS rc, l.bars[1] AS x, r.bars[1] AS y FROM l JOIN r ON l."row" = r."row" AND l.col = r.col
+  UNION ALL SELECT l.note, r.slot, l.level, r.level, l.kind, r.kind, l."row", r."row", l.col, r.col, l.bars[1], r.bars[1] FROM l JOIN r ON l."row" = r."row" AND floor(r.col) BETWEEN floor(l.col) - 1 AND floor(l.col) + 1
+   WHERE NOT EXISTS (SELECT 1 FROM r q WHERE q."row" = l."row" AND q.col = l.col)),
+sh AS (SELECT *, (CASE WHEN x.size = y.size THEN 1 ELSE 0 END + CASE WHEN x."count" = y."count" THEN 1 ELSE 0 END + CASE WHEN abs(x.spacing_mm - y.spacing_mm) <= greatest(5.0, 0.04::DOUBLE * greatest(x.spacing_mm, y.spacing_mm)) THEN 1 ELSE 0 END)
+  / (CASE WHEN x.size IS NOT NULL AND y.size IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN x."count" IS NOT NULL AND y."count" IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN x.spacing_mm IS NOT NULL AND y.spacing_mm IS NOT NULL THEN 1 ELSE 0 END)::DOUBLE AS share FROM pr),
+cs AS (SELECT note, slot, round(CASE WHEN lc = rc THEN 0.0::DOUBLE WHEN abs(lc - rc) <= 1.0 THEN 1.2::DOUBLE ELSE 2.0::DOUBLE END + CASE WHEN ll = rl THEN 0.0::DOUBLE ELSE 1000.0::DOUBLE END + CASE WHEN lk = rk THEN 0.0::DOUBLE ELSE 2.0::DOUBLE END
+  + CASE WHEN share = 0 THEN 1.7::DOUBLE ELSE round(0.15::DOUBLE - 0.5::DOUBLE * share, 3) END + 0.15::DOUBLE * least(0.5::DOUBLE * abs(lc - rc), 2.0::DOUBLE), 3) AS cost FROM sh),
+candidates AS (SELECT * FROM (SELECT note, slot, cost, row_number() OVER (PARTITION BY note ORDER BY cost, slot) AS place FROM cs WHERE cost < 1.8) WHERE place <= 3)"""
+
+def _candidates(spark, sf_dir):
+    e = elements(spark, sf_dir).withColumn("bars", F.array(F.struct("size", "count", "spacing_mm")))
+    left = e.where("source = 'plan'").select(F.col("id").alias("note"), "row", "col", "level", F.col("type").alias("kind"), "bars")
+    right = e.where("source = 'shop'").select(F.col("id").alias("slot"), "row", "col", "level", F.lit(None).cast("string").alias("level_to"), F.col("type").alias("kind"), "bars")
+    return matching.candidates(left, right)
+
+@query(with_tables(ELEMENTS_SQL, ENTITY_SQL) + " SELECT note, slot, cost, CAST(place AS INTEGER) AS place FROM candidates")
+def candidate_pairs(spark, sf_dir):
+    return _candidates(spark, sf_dir)
+
+@query(with_tables(ELEMENTS_SQL) + """, g AS (SELECT "row" || '-' || regexp_replace(CAST(col AS VARCHAR), '\\.0$', '') AS cell, level, type AS kind, count(*) AS members, min(id) AS note FROM elements WHERE source = 'plan' GROUP BY ALL)
+ SELECT format('P{:07d}', row_number() OVER (ORDER BY cell, level, kind)) AS id, cell, level, kind, members, note FROM g""")
+def entities(spark, sf_dir):
+    e = elements(spark, sf_dir).where("source = 'plan'")
+    n = e.select("id", F.concat_ws("-", "row", F.regexp_replace(F.col("col").cast("string"), r"\.0$", "")).alias("cell"), "level", F.col("type").alias("kind"), F.array(F.struct("size", "count")).alias("bars"))
+    return matching.numbered(matching.entities(n), "id", "P%07d", "cell", "level", "kind").select("id", "cell", "level", "kind", "members", "note")
+
+@query(with_tables(ELEMENTS_SQL) + """, k AS (SELECT l_orderkey AS element, l_linenumber % 3 AS note, l_returnflag || '-' || (l_quantity::BIGINT % 4) AS key FROM lineitem), c AS (SELECT element, note, key, count(*) AS n FROM k GROUP BY ALL)
+ SELECT element, key, max(n) AS n FROM c GROUP BY element, key""")
+def combined_statements(spark, sf_dir):
+    k = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("element"), (F.col("l_linenumber") % 3).alias("note"), F.concat_ws("-", "l_returnflag", (F.col("l_quantity").cast("long") % 4).cast("string")).alias("key"))
+    return comparing.combined_statements(k)
+
+@query("""WITH c AS (SELECT DISTINCT l_orderkey AS element, (['spacing', 'count', 'size', 'type', 'other'])[CAST(l_partkey % 5 + 1 AS INTEGER)] AS property, l_suppkey % 3 AS plan, l_linenumber % 2 AS shop FROM lineitem)
+ SELECT element, CAST(SUM(CASE WHEN property IN ('spacing', 'secondary', 'type') THEN 2 WHEN property IN ('count', 'size', 'section') THEN 1 ELSE 0 END) AS BIGINT) AS weight FROM c GROUP BY element""")
+def evidence_weight(spark, sf_dir):
+    r = table(spark, sf_dir, "lineitem")
+    p = F.element_at(F.array(*map(F.lit, ("spacing", "count", "size", "type", "other"))), (F.col("l_partkey") % 5 + 1).cast("int"))
+    return comparing.evidence_weight(r.select(F.col("l_orderkey").alias("element"), p.alias("property"), (F.col("l_suppkey") % 3).alias("plan"), (F.col("l_linenumber") % 2).alias("shop")))
+
+@query("""WITH f AS (SELECT l_orderkey AS record, l_returnflag AS kind, CASE WHEN l_partkey % 2 = 0 THEN 'count' ELSE 'size' END AS property, l_quantity::BIGINT % 20 AS plan, l_suppkey % 25 AS shop FROM lineitem),
+ c AS (SELECT record, kind, property, CASE WHEN property = 'count' AND (abs(2 * plan - shop) <= 1 OR abs(2 * shop - plan) <= 1) THEN 'half or double' ELSE plan || '>' || shop END AS class FROM f),
+ g AS (SELECT kind, property, class, count(DISTINCT record) AS n FROM c GROUP BY ALL HAVING count(DISTINCT record) >= 3) SELECT *, 'G' || row_number() OVER (ORDER BY n DESC, kind, property, class) AS name FROM g""")
+def systematic_groups(spark, sf_dir):
+    r = table(spark, sf_dir, "lineitem")
+    f = r.select(F.col("l_orderkey").alias("record"), F.col("l_returnflag").alias("kind"), F.when(F.col("l_partkey") % 2 == 0, "count").otherwise("size").alias("property"), (F.col("l_quantity").cast("long") % 20).alias("plan"), (F.col("l_suppkey") % 25).alias("shop"))
+    return comparing.systematic_groups(f)
+
+# ---- arrival and progress
+
+@query("""SELECT user_id, event_type, count(*) AS events, min(event_id) AS opened, max(event_id) AS closed, arg_min(value, event_id) AS first_value, arg_max(value, event_id) AS last_value FROM events GROUP BY ALL""")
+def progress_fold(spark, sf_dir):
+    from matchyard.streaming.arrival import fold
+
+    return fold(table(spark, sf_dir, "events"))
+
+@query("""WITH p AS (SELECT DISTINCT l_orderkey AS file, l_linenumber AS page FROM lineitem), e AS (SELECT o_orderkey AS file, 1 + o_orderkey % 5 AS expected FROM orders)
+ SELECT file, expected, count(page) AS arrived, count(page) >= expected AS complete FROM e LEFT JOIN p USING (file) GROUP BY file, expected""")
+def arrival_complete(spark, sf_dir):
+    from matchyard.streaming.arrival import complete
+
+    pages = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("page"))
+    expected = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file"), (1 + F.col("o_orderkey") % 5).alias("expected"))
+    return complete(pages, expected)
+
+@query("""WITH n AS (SELECT c_custkey AS path, sha1(c_name || (c_custkey % 3)) AS digest, 'v2' AS version FROM customer), o AS (SELECT c_custkey AS path, sha1(c_name || (c_custkey % 2)) AS digest, CASE WHEN c_custkey % 10 = 0 THEN 'v1' ELSE 'v2' END AS version FROM customer WHERE c_custkey % 4 <> 0)
+ SELECT n.path, CASE WHEN o.path IS NULL THEN 'new' WHEN o.digest = n.digest AND o.version = n.version THEN 'cached' ELSE 'changed' END AS state FROM n LEFT JOIN o USING (path)""")
+def cache_status(spark, sf_dir):
+    from matchyard.streaming.arrival import cache_state
+
+    c = table(spark, sf_dir, "customer")
+    digest = lambda m: F.sha1(F.concat("c_name", (F.col("c_custkey") % m).cast("string")))
+    new = c.select(F.col("c_custkey").alias("path"), digest(3).alias("digest"), F.lit("v2").alias("version"))
+    old = c.where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("path"), digest(2).alias("digest"), F.when(F.col("c_custkey") % 10 == 0, "v1").otherwise("v2").alias("version"))
+    return cache_state(new, old)
+
