@@ -10,15 +10,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchyard.llm.base import BROADCAST_KEYS, arrow_stage, ints, stash, text_blocks
+from matchyard.llm.base import arrow_stage, BROADCAST_KEYS, ints, pull, stash, text_blocks
+from matchyard.llm.labelled import share
 from matchyard.llm.words import _BYTE, SEGMENT, mix, powers
 
 #: Bytes of a string that counts as repeated; bytes of the gram that anchors a suffix.
 WINDOW, GRAM = 200, 32
 #: Bits of the filter of repeated grams: 16 per gram, between these powers of two (32 KB to 256 MB).
 FILTER_BITS = (18, 31)
-#: Occurrences of a gram from which its suffixes are split by their second token.
-HOT = 512
+#: A gram's suffixes are split by their second token from as many occurrences on as a partition has at an even deal, but
+#: within these bounds.
+HOT = (4096, 65_536)
+#: Repeated grams sampled for splitters, and buckets for each shuffle partition.
+SPLITTERS, BUCKETS = 50_000, 8
 
 
 def suffix_runs(data: np.ndarray, offsets: np.ndarray):
@@ -57,7 +61,8 @@ def suffix_runs(data: np.ndarray, offsets: np.ndarray):
         p0 = at[first]
         p1 = p0 + count - 1 + WINDOW
         token = mix((sums[p1] - sums[p0]) * down[p0]) ^ (anchor[first] - p0).astype(np.uint64)
-        yield p0 + base, count, doc[first], grams[anchor[first]], mix(token + count.astype(np.uint64))
+        # anchors have small hashes by choice; mixed again they are spread evenly
+        yield p0 + base, count, doc[first], mix(grams[anchor[first]] ^ np.uint64(0x27D4EB2F165667C5)), mix(token + count.astype(np.uint64))
 
 
 def window_hashes(data: np.ndarray) -> np.ndarray:
@@ -107,10 +112,10 @@ def _grams(gone):
     return run
 
 
-_RUNS = "gram long, part int, token long, k1 long, k2 long, start long, windows int, answer boolean, body binary"
+_RUNS = "bucket int, gram long, part int, token long, k1 long, k2 long, start long, windows int, answer boolean, body binary"
 
 
-def _runs(gone, bits, filter_bits: int, hot):
+def _runs(gone, bits, filter_bits: int, hot, splitters):
     """Runs with a repeated gram. What repeats within the batch is answered at once (gram null: bytes to remove)."""
 
     def run(batches):
@@ -132,14 +137,21 @@ def _runs(gone, bits, filter_bits: int, hot):
             place = np.concatenate(cols[5], axis=1)
             pair, first, inverse, times = np.unique(mix(gram) ^ token, return_index=True, return_inverse=True, return_counts=True)
             answered = times[inverse] > 1
-            out: list[list] = [[] for _ in range(9)]
+            out: list[list] = [[] for _ in range(10)]
+            cuts = splitters.value
 
             def add(*values):
                 for c, x in zip(out, values):
                     c.append(x)
 
-            for i in np.flatnonzero(answered):
-                add(None, 0, None, keys[0][doc[i]], keys[1][doc[i]], start[i], count[i], False, None)
+            at = np.flatnonzero(answered)
+            if len(at):  # in order of document and position: neighbours that meet are one span
+                d, a, b = doc[at], start[at], start[at] + count[at] - 1 + WINDOW
+                new = np.append(True, (d[1:] != d[:-1]) | (a[1:] > b[:-1]))
+                head = np.flatnonzero(new)
+                tail = np.append(head[1:], len(at)) - 1
+                for i, j in zip(head, tail):
+                    add(int(a[i]) % (len(cuts) + 1), None, 0, None, keys[0][d[i]], keys[1][d[i]], a[i], b[j] - a[i] + 1 - WINDOW, False, None)
             hot_grams, hot_parts = hot.value
             for i in first:
                 data = bodies[place[0, i]][0]
@@ -149,15 +161,16 @@ def _runs(gone, bits, filter_bits: int, hot):
                 parts = int(hot_parts[j]) if j < len(hot_grams) and hot_grams[j] == gram[i] else 1
                 head = (keys[0][doc[i]], keys[1][doc[i]], start[i], count[i], not answered[i])
                 g, t = gram[i].view(np.int64), token[i].view(np.int64)
+                bucket = int(np.searchsorted(cuts, g))
                 if parts == 1:
-                    add(g, 0, t, *head, body.tobytes())
+                    add(bucket, g, 0, t, *head, body.tobytes())
                     continue
                 hashes = window_hashes(body)
                 of = (hashes >> np.uint64(32)) % np.uint64(parts)
                 for part in np.unique(of):
                     at = np.flatnonzero(of == part)
-                    add(g, int(part) + 1, t, *head, hashes[at].tobytes() + at.astype(np.uint8).tobytes())
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+                    add((bucket + int(part)) % (len(cuts) + 1), g, int(part) + 1, t, *head, hashes[at].tobytes() + at.astype(np.uint8).tobytes())
+            types = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
             names = [x.split()[0] for x in _RUNS.split(", ")]
             for i in range(0, len(out[0]), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 20_000], t) for c, t in zip(out, types)], names=names)
@@ -239,10 +252,17 @@ AT_ONCE = 32 << 20
 
 
 def _sort_buckets(batches):
-    """Partitions arrive sorted by (gram, part). Complete groups are sorted together, about AT_ONCE bytes a time."""
+    """Partitions arrive sorted by (gram, part). Complete groups are sorted together, about AT_ONCE bytes a time.
+    Bytes that were answered before (gram null) pass through."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
+        known = batch.column(0).is_null()
+        if known.true_count:
+            done = batch.filter(known)
+            a = done.column("start").to_numpy()
+            yield pa.RecordBatch.from_arrays([done.column("k1"), done.column("k2"), done.column("start"), pa.array(a + done.column("windows").to_numpy() - 1 + WINDOW)], names=["k1", "k2", "a", "b"])
+            batch = batch.filter(batch.column(0).is_valid())
         if not len(batch):
             continue
         size += batch.nbytes
@@ -298,8 +318,9 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     1. Documents with the same text are found first; all but one per text stay out of the search and lose every byte
        (from 200 bytes on). 2. Every document's suffixes are anchored (see `suffix_runs`); a filter of the anchor grams
        that occur twice, of bounded size and without false negatives, drops suffixes that can't have a partner.
-    3. The rest is range-partitioned by its leading token, the anchor gram, with splitters that Spark samples; a gram
-       with very many suffixes is split by the second token, the window itself, which is equal for equal suffixes.
+    3. The rest is range-partitioned by its leading token, the anchor gram, with splitters from a sample of the repeated
+       grams and their counts; a gram with very many suffixes is split by the second token, the window itself, which is
+       equal for equal suffixes.
     4. Each bucket sorts by multikey quicksort, and equal neighbours are repeats. A group of equal leading tokens never
        straddles buckets, and batches within a bucket are cut only between groups, so no boundary hides a neighbour.
     Tokens are 64-bit hashes. Null or empty text has no bytes; rows that repeat are copies; a null doc_id is as good as
@@ -313,7 +334,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     n_gone = members.where("other").count()
     gone = None
     if 0 < n_gone <= BROADCAST_KEYS:
-        pairs = members.where("other").select("k1", "k2").toPandas()
+        pairs = pull(members.where("other").select("k1", "k2"))
         gone = spark.sparkContext.broadcast(np.unique(pairs.k1.to_numpy() ^ mix(pairs.k2.to_numpy().view(np.uint64)).view(np.int64)))
     elif n_gone:
         rows = rows.join(members.where("other").select("k1", "k2").distinct(), ["k1", "k2"], "left_anti").select("k1", "k2", "text")
@@ -327,20 +348,26 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     bits = np.zeros(1 << (filter_bits - 3), np.uint8)
     for r in maps:
         bits[r["slice"] << 12 : (r["slice"] + 1) << 12] |= np.frombuffer(r["bits"], np.uint8)[: min(4096, len(bits))]
-    hot, floor = grams.where(F.col("n") >= HOT), HOT
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    floor = min(max(HOT[0], (grams.agg(F.sum("n")).first()[0] or 0) // partitions), HOT[1])
+    hot = grams.where(F.col("n") >= floor)
     while hot.count() > BROADCAST_KEYS:
         floor *= 2
         hot = grams.where(F.col("n") >= floor)
-    frame = hot.toPandas()
+    frame = pull(hot)
     order = np.argsort(frame.gram.to_numpy(np.int64).view(np.uint64))
     table = frame.gram.to_numpy(np.int64).view(np.uint64)[order], -(-frame.n.to_numpy(np.int64)[order] // floor)
     put = spark.sparkContext.broadcast
-    runs = stash(arrow_stage(rows, _runs(gone, put(bits), filter_bits, put(table)), _RUNS), "runs")
-    bound = runs.where("gram is not null").repartitionByRange("gram", "part").sortWithinPartitions("gram", "part")
+    some = pull(share(grams, SPLITTERS, "gram")).sort_values("gram")
+    weight = np.cumsum(some.n.to_numpy(np.int64))
+    buckets = BUCKETS * partitions
+    edges = np.searchsorted(weight, weight[-1] * np.arange(1, buckets) / buckets) if len(weight) else np.zeros(0, int)
+    splitters = put(np.unique(some.gram.to_numpy(np.int64)[edges]))
+    runs = arrow_stage(rows, _runs(gone, put(bits), filter_bits, put(table), splitters), _RUNS)
+    bound = runs.repartition(partitions, "bucket").drop("bucket").sortWithinPartitions("gram", "part")
     found = arrow_stage(bound, _sort_buckets, "k1 long, k2 long, a long, b long")
-    local = runs.where("gram is null").select("k1", "k2", F.col("start").alias("a"), (F.col("start") + F.col("windows") - 1 + WINDOW).alias("b"))
     whole = members.select("k1", "k2", F.lit(0).cast("long").alias("a"), F.col("n").alias("b")).distinct()
-    spans = found.unionByName(local).unionByName(whole).groupBy("k1", "k2").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    spans = found.unionByName(whole).groupBy("k1", "k2").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     spans = spans.withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
     source = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("_k1"), F.xxhash64("text").alias("_k2"), *(names[c].alias(f"_keep_{i}") for i, c in enumerate(keep)))
     joined = source.join(spans, ["_k1", "_k2"], "left").select("doc_id", "text", "a", "b", *(f"_keep_{i}" for i in range(len(keep))))
