@@ -128,4 +128,4 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     out = joined.join(small(stash(names, "names")), "component", "left")
     component = F.when(F.col("component").isNotNull(), F.col("least")).otherwise(F.col("vec_id"))
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
