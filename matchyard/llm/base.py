@@ -72,6 +72,7 @@ def crc_mod(column: str, mod: int):
 
 
 _shipped: set[str] = set()
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 
 
 def arrow_stage(df: DataFrame, function, schema: str) -> DataFrame:
@@ -85,6 +86,9 @@ def arrow_stage(df: DataFrame, function, schema: str) -> DataFrame:
                 z.write(p, p.relative_to(top.parent))
         context.addPyFile(str(archive))
         _shipped.add(context.applicationId)
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF, None) is None:  # rows vary from a word to megabytes: bytes bound a batch, not rows
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
     return df.mapInArrow(function, schema)
 
 

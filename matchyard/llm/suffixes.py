@@ -248,7 +248,7 @@ def _bucket(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 #: Bytes of runs that a bucket sorts at once; a group (gram, part) is never torn.
-AT_ONCE = 32 << 20
+AT_ONCE = 8 << 20
 
 
 def _sort_buckets(batches):
