@@ -490,3 +490,58 @@ def cache_status(spark, sf_dir):
     old = c.where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("path"), digest(2).alias("digest"), F.when(F.col("c_custkey") % 10 == 0, "v1").otherwise("v2").alias("version"))
     return cache_state(new, old)
 
+# ---- notes
+
+
+def _lines(spark, sf_dir):
+    n = notes(spark, sf_dir)
+    label = F.when(F.col("note") % 3 == 0, "ARM: ").when(F.col("note") % 3 == 1, "TIES. ").otherwise("")
+    body = F.when(F.col("note") % 4 == 0, F.concat("q", F.lit("-"), "s")).when(F.col("note") % 4 == 1, F.concat("s", F.lit(" @ "), "q", F.lit("mm c/c"))).when(F.col("note") % 4 == 2, F.concat("q", F.lit(" "), "s", F.lit(" B7-01"))).otherwise(F.concat("q", F.lit("("), F.col("l_partkey") % 9, F.lit(")-"), "s", F.lit(" 400x600mm 35 MPa")))
+    return n.select("note", F.concat(label, body).alias("text"))
+
+
+@query(with_tables(NOTES_SQL) + """ SELECT note, CASE note % 3 WHEN 0 THEN 'ARM' WHEN 1 THEN 'TIES' END AS label, CASE note % 3 WHEN 0 THEN 'main' WHEN 1 THEN 'ties' END AS role, upper(s) AS size,
+ CASE WHEN note % 4 = 1 THEN NULL ELSE q END::INTEGER AS n, CASE WHEN note % 4 = 3 THEN l_partkey % 9 END::INTEGER AS secondary, CASE WHEN note % 4 = 1 THEN q END::DOUBLE AS spacing_mm, CASE WHEN note % 4 = 2 THEN 'B7-01' END AS mark,
+ CASE WHEN note % 4 = 3 THEN 400.0 END::DOUBLE AS section_a, CASE WHEN note % 4 = 3 THEN 35 END AS strength, '' AS rest FROM notes""")
+def parsed_lines(spark, sf_dir):
+    from matchyard.functions.freeform import read_lines
+
+    b = F.get("bars", F.lit(0))
+    return read_lines(_lines(spark, sf_dir)).select("note", "label", b["role_hint"].alias("role"), b["size"].alias("size"), b["count"].alias("n"), b["secondary_count"].alias("secondary"), b["spacing_mm"].alias("spacing_mm"), b["mark"].alias("mark"), F.get("section", F.lit(0)).alias("section_a"), "strength", "rest")
+
+
+@query()
+def compared_notes(spark, sf_dir):
+    from matchyard.operators.bars import compare_notes
+
+    b = bars(spark, sf_dir).select("element", "source", F.struct(F.lit(None).cast("string").alias("role_hint"), "count", F.lit(None).cast("int").alias("secondary_count"), F.lit(None).cast("int").alias("groups"), "size", "spacing_mm").alias("bar"))
+    one = lambda side: F.sort_array(F.collect_list(F.when(F.col("source") == side, F.col("bar")))).alias(f"{side}_bars")
+    pairs = b.groupBy(F.col("element").alias("id")).agg(one("plan"), one("shop"))
+    return compare_notes(pairs).select("id", "status", F.size("records").alias("records"), F.array_join(F.array_sort(F.array_distinct("records.result")), ",").alias("results"))
+
+
+@query(with_tables(ELEMENTS_SQL, PRIMARY_SQL) + """, a AS (SELECT p.id, level, type, ascii("row") - 64 AS r, col AS c FROM p WHERE key NOT IN (SELECT key FROM s)), b AS (SELECT s.id, level, type, ascii("row") - 64 AS r, col AS c FROM s WHERE key NOT IN (SELECT key FROM p)),
+ n AS (SELECT a.id AS plan_id, b.id AS shop_id, round(0.4::DOUBLE * (abs(a.r - b.r) + 0.5::DOUBLE * abs(a.c - b.c)), 3) AS cost FROM a JOIN b ON a.level = b.level AND a.type = b.type AND abs(a.r - b.r) <= 1.3 AND abs(a.c - b.c) <= 2.2)
+ SELECT plan_id, shop_id, cost FROM (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY cost, shop_id) AS k FROM n WHERE cost < 1.7) WHERE k = 1""")
+def second_pass(spark, sf_dir):
+    from matchyard.operators.bars import second_pass as relaxed
+
+    plan, shop = matching.sides(elements(spark, sf_dir))
+    shape = lambda d, x: d.select(F.col(f"{x}_id").alias("id"), F.col(f"{x}_level").alias("level"), F.col(f"{x}_type").alias("kind"), matching.letter_rank(F.col(f"{x}_row")).alias("r"), F.col(f"{x}_col").alias("c"))
+    return relaxed(shape(plan.join(shop, "key", "left_anti"), "plan"), shape(shop.join(plan, "key", "left_anti"), "shop"))
+
+
+@query(with_tables(ELEMENTS_SQL, ENTITY_SQL).replace("WITH ", "WITH RECURSIVE ", 1) + """, w AS (SELECT DISTINCT a.note AS x, b.note AS y FROM candidates a JOIN candidates b USING (slot)),
+ reach AS (SELECT DISTINCT note AS x, note AS y FROM candidates UNION SELECT r.x, w.y FROM reach r JOIN w ON r.y = w.x) SELECT x AS note, min(y) AS component FROM reach GROUP BY x""")
+def candidate_components(spark, sf_dir):
+    from matchyard.operators.graph import components
+
+    return components(_candidates(spark, sf_dir), "note", "slot")
+
+
+@query()
+def cost_assignment(spark, sf_dir):
+    from matchyard.operators.graph import components
+
+    edges = _candidates(spark, sf_dir).select("note", "slot", "cost")
+    return matching.assign(edges, components(edges, "note", "slot"))
