@@ -545,3 +545,12 @@ def cost_assignment(spark, sf_dir):
 
     edges = _candidates(spark, sf_dir).select("note", "slot", "cost")
     return matching.assign(edges, components(edges, "note", "slot"))
+
+
+@query("""WITH k AS (SELECT o_orderkey, o_orderstatus || '|' || o_custkey AS key FROM orders), d AS (SELECT o_orderkey, sha1(unhex('6f1d2c3e00004000800000000000a2c1') || encode(key)) AS h FROM k),
+ u AS (SELECT o_orderkey, substr(h, 1, 12) || '5' || substr(h, 14, 3) || substr('89ab', 1 + CAST(('0x' || substr(h, 17, 1)) AS BIGINT) % 4, 1) || substr(h, 18, 15) AS u FROM d)
+ SELECT o_orderkey, u AS guid FROM u""")
+def global_guids(spark, sf_dir):
+    from matchyard.functions.ids import uuid5
+
+    return table(spark, sf_dir, "orders").select("o_orderkey", uuid5(F.concat("o_orderstatus", F.lit("|"), F.col("o_custkey").cast("string"))).alias("guid"))
