@@ -155,7 +155,8 @@ def entities(notes: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, name: str, pattern: str, *order: str, ranges: int = 64) -> DataFrame:
     """Consecutive ids by a total order, without one task that sorts all: rows are range-partitioned, counted by
     partition, and numbered within."""
-    placed = rows.repartitionByRange(ranges, *order).withColumn("_p", F.spark_partition_id())
+    # kept, as sampling anew would deal rows otherwise than they were counted
+    placed = rows.repartitionByRange(ranges, *order).withColumn("_p", F.spark_partition_id()).persist()
     counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     within = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
