@@ -554,3 +554,142 @@ def global_guids(spark, sf_dir):
     from matchyard.functions.ids import uuid5
 
     return table(spark, sf_dir, "orders").select("o_orderkey", uuid5(F.concat("o_orderstatus", F.lit("|"), F.col("o_custkey").cast("string"))).alias("guid"))
+
+
+# ---- sheets, boxes and evaluation
+
+BOXES_SQL = """
+boxes AS (SELECT c_custkey AS id, c_nationkey AS page, ((c_custkey * 37) % 900)::DOUBLE AS x0, ((c_custkey * 53) % 600)::DOUBLE AS y0, ((c_custkey * 37) % 900 + 20 + c_custkey % 40)::DOUBLE AS x1, ((c_custkey * 53) % 600 + 10 + c_custkey % 30)::DOUBLE AS y1 FROM customer)"""
+
+
+def _boxes(spark, sf_dir):
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k.alias("id"), F.col("c_nationkey").alias("page"), ((k * 37) % 900).cast("double").alias("x0"), ((k * 53) % 600).cast("double").alias("y0"), ((k * 37) % 900 + 20 + k % 40).cast("double").alias("x1"), ((k * 53) % 600 + 10 + k % 30).cast("double").alias("y1"))
+
+
+@query(with_tables(BOXES_SQL) + """, p AS (SELECT a.id AS a, b.id AS b, greatest(0.0, b.x0 - a.x1, a.x0 - b.x1) AS dx, greatest(0.0, b.y0 - a.y1, a.y0 - b.y1) AS dy, greatest(0.0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0.0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS s,
+ (a.x1 - a.x0) * (a.y1 - a.y0) AS sa, (b.x1 - b.x0) * (b.y1 - b.y0) AS sb FROM boxes a JOIN boxes b ON a.page = b.page AND a.id < b.id AND a.id % 5 = b.id % 5)
+ SELECT a, b, round(sqrt(dx * dx + dy * dy), 3)::DOUBLE AS gap, round(s / (sa + sb - s), 4)::DOUBLE AS overlap, round(s / sa, 4)::DOUBLE AS inside FROM p""")
+def box_relations(spark, sf_dir):
+    from matchyard.operators import geometry as g
+
+    b = _boxes(spark, sf_dir)
+    p = b.withColumnsRenamed({c: f"a_{c}" for c in b.columns}).join(b.withColumnsRenamed({c: f"b_{c}" for c in b.columns}), (F.col("a_page") == F.col("b_page")) & (F.col("a_id") < F.col("b_id")) & (F.col("a_id") % 5 == F.col("b_id") % 5))
+    return p.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(g.gap("a_", "b_"), 3).alias("gap"), F.round(g.overlap("a_", "b_"), 4).alias("overlap"), F.round(g.inside_share("a_", "b_"), 4).alias("inside"))
+
+
+@query(with_tables(BOXES_SQL) + ", pt AS (SELECT o_orderkey AS point, o_custkey % 25 AS page, ((o_orderkey * 29) % 950)::DOUBLE AS x, ((o_orderkey * 61) % 650)::DOUBLE AS y FROM orders) SELECT point, page, x, y FROM pt WHERE EXISTS (SELECT 1 FROM boxes b WHERE b.id % 10 = 0 AND b.page = pt.page AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)")
+def points_in_regions(spark, sf_dir):
+    from matchyard.operators import geometry as g
+
+    k = F.col("o_orderkey")
+    p = table(spark, sf_dir, "orders").select(k.alias("point"), (F.col("o_custkey") % 25).alias("page"), ((k * 29) % 950).cast("double").alias("x"), ((k * 61) % 650).cast("double").alias("y"))
+    return g.in_regions(p, _boxes(spark, sf_dir).where("id % 10 = 0"))
+
+
+@query("""WITH t AS (SELECT s_suppkey AS tab, s_nationkey AS page, list_transform(range(0, 5), lambda i: ((s_suppkey * 13) % 200 + i * (40 + s_suppkey % 60))::DOUBLE) AS xs, list_transform(range(0, 4), lambda i: ((s_suppkey * 17) % 200 + i * (30 + s_suppkey % 50))::DOUBLE) AS ys FROM supplier),
+ pt AS (SELECT c_custkey AS point, c_nationkey AS page, ((c_custkey * 31) % 400)::DOUBLE AS x, ((c_custkey * 77) % 400)::DOUBLE AS y FROM customer),
+ h AS (SELECT point, tab, (xs[5] - xs[1]) * (ys[4] - ys[1]) AS size, greatest(0, least(2, len(list_filter(ys, lambda v: v <= y)) - 1)) AS r, greatest(0, least(3, len(list_filter(xs, lambda v: v <= x)) - 1)) AS c FROM pt JOIN t USING (page) WHERE x BETWEEN xs[1] AND xs[5] AND y BETWEEN ys[1] AND ys[4])
+ SELECT point, tab AS "table", CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col FROM (SELECT *, row_number() OVER (PARTITION BY point ORDER BY size, tab) AS k FROM h) WHERE k = 1""")
+def words_in_tables(spark, sf_dir):
+    from matchyard.operators import geometry as g
+
+    k = F.col("s_suppkey")
+    edges = lambda n, m, a, b: F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: ((k * m) % 200 + i * (a + k % b)).cast("double"))
+    t = table(spark, sf_dir, "supplier").select(k.alias("table"), F.col("s_nationkey").alias("page"), edges(4, 13, 40, 60).alias("xs"), edges(3, 17, 30, 50).alias("ys"))
+    c = F.col("c_custkey")
+    p = table(spark, sf_dir, "customer").select(c.alias("point"), F.col("c_nationkey").alias("page"), ((c * 31) % 400).cast("double").alias("x"), ((c * 77) % 400).cast("double").alias("y"))
+    return g.table_cells(p, t)
+
+
+@query("""WITH h AS (SELECT c_custkey AS h, c_nationkey AS page, ((c_custkey * 31) % 400)::DOUBLE AS x0, ((c_custkey * 31) % 400 + 60 + c_custkey % 200)::DOUBLE AS x1, ((c_custkey * 77) % 400)::DOUBLE AS y FROM customer), v AS (SELECT s_suppkey AS v, s_nationkey AS page, ((s_suppkey * 19) % 400)::DOUBLE AS y0, ((s_suppkey * 19) % 400 + 150)::DOUBLE AS y1, ((s_suppkey * 43) % 500)::DOUBLE AS x FROM supplier)
+ SELECT page, h, v FROM h JOIN v USING (page) WHERE x BETWEEN x0 - 2.0 AND x1 + 2.0 AND y BETWEEN y0 - 2.0 AND y1 + 2.0""")
+def line_crossings(spark, sf_dir):
+    from matchyard.operators import geometry as g
+
+    c, k = F.col("c_custkey"), F.col("s_suppkey")
+    h = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("page"), c.alias("h"), ((c * 31) % 400).cast("double").alias("x0"), ((c * 31) % 400 + 60 + c % 200).cast("double").alias("x1"), ((c * 77) % 400).cast("double").alias("y"))
+    v = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("page"), k.alias("v"), ((k * 19) % 400).cast("double").alias("y0"), ((k * 19) % 400 + 150).cast("double").alias("y1"), ((k * 43) % 500).cast("double").alias("x"))
+    return g.crossings(h, v, 2.0)
+
+
+@query(with_tables(BOXES_SQL) + """, w AS (SELECT page, 'S-' || lpad(CAST(id % 1000 AS VARCHAR), 3, '0') AS text, x0, y0, id FROM boxes WHERE id % 3 = 0)
+ SELECT page, text AS sheet FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY round(y0) DESC, x0 DESC) AS k FROM w WHERE x0 > 540.0 AND y0 > 420.0) WHERE k = 1""")
+def sheet_numbers(spark, sf_dir):
+    from matchyard.functions import sheets
+
+    b = _boxes(spark, sf_dir).where("id % 3 = 0").select("page", F.concat(F.lit("S-"), F.lpad((F.col("id") % 1000).cast("string"), 3, "0")).alias("text"), "x0", "y0", F.lit(900.0).alias("width"), F.lit(600.0).alias("height"))
+    return sheets.sheet_number(b)
+
+
+_TITLES = ("Plan des colonnes", "Détails des semelles", "Murs de refend et dalle", "Beam schedule", "Coupe A-A", "Dalle - poutre", "Élévation")
+
+
+@query("""WITH t AS (SELECT p_partkey, 'PROJET X DRAWING TITLE ' || (['Plan des colonnes', 'Détails des semelles', 'Murs de refend et dalle', 'Beam schedule', 'Coupe A-A', 'Dalle - poutre', 'Élévation'])[CAST(p_partkey % 7 + 1 AS INTEGER)] AS x, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 'S-' || (p_size % 9) || '01' END AS sh FROM part),
+ q AS (SELECT p_partkey, substr(translate(upper(x), 'ÀÂÄÇÉÈÊËÎÏÔÖÙÛÜ', 'AAACEEEEIIOOUUU'), 23) AS t, TRY_CAST(nullif(regexp_extract(COALESCE(sh, ''), '([0-9])[0-9][0-9]', 1), '') AS INTEGER) AS d FROM t),
+ w AS (SELECT p_partkey, d, (SELECT k FROM (VALUES ('RADIER','fondation'),('FONDATION','fondation'),('SEMELLE','fondation'),('FOUNDATION','fondation'),('FOOTING','fondation'),('POUTRE','poutre'),('BEAM','poutre'),('REFEND','mur_refend'),('CONTREVENTEMENT','mur_refend'),('MURS','mur_refend'),('WALL','mur_refend'),('DALLE','dalle'),('SLAB','dalle'),('ARMATURE DU NIVEAU','dalle'),('COLONNE','colonne'),('COLUMN','colonne')) v(w, k) WHERE instr(t, w) > 0 ORDER BY instr(t, w), k LIMIT 1) AS bw FROM q),
+ s AS (SELECT *, CASE d WHEN 1 THEN 'fondation' WHEN 3 THEN 'poutre' WHEN 4 THEN 'mur_refend' WHEN 5 THEN 'colonne' WHEN 6 THEN 'dalle' END AS bs FROM w)
+ SELECT p_partkey, COALESCE(bw, bs) AS type, CASE WHEN bw IS NOT NULL THEN 1.0 WHEN bs IS NOT NULL THEN 0.7 ELSE 0.0 END::DOUBLE AS confidence FROM s""")
+def sheet_types(spark, sf_dir):
+    from matchyard.functions import sheets
+
+    t = F.concat(F.lit("PROJET X DRAWING TITLE "), F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("p_partkey") % 7 + 1).cast("int")))
+    sheet = F.when(F.col("p_partkey") % 4 != 0, F.concat(F.lit("S-"), (F.col("p_size") % 9).cast("string"), F.lit("01")))
+    kind, confidence = sheets.sheet_type(sheets.title(F.col("t")), F.col("sheet"))
+    return table(spark, sf_dir, "part").select("p_partkey", t.alias("t"), sheet.alias("sheet")).select("p_partkey", kind.alias("type"), confidence.alias("confidence"))
+
+
+@query("""SELECT page_id, CASE WHEN w < 10 AND l IN ('vector', 'image') THEN 'needs_ocr' WHEN w < 10 THEN 'empty_page' WHEN v > 0.5 THEN 'rotated_text_unsupported' WHEN lv IS NULL THEN 'not_a_column_plan' WHEN NOT g THEN 'plan_blocks_without_grid' ELSE 'plan_outline' END AS reading
+ FROM (SELECT page_id, page_id * 7 % 60 AS w, (['text', 'vector', 'image', 'empty'])[CAST(page_id % 4 + 1 AS INTEGER)] AS l, (page_id * 11 % 100) / 100.0 AS v, CASE WHEN page_id % 5 > 0 THEN 'N2' END AS lv, page_id % 3 > 0 AS g FROM pages)""")
+def plan_readings(spark, sf_dir):
+    from matchyard.functions import sheets
+
+    k = F.col("page_id")
+    layer = F.element_at(F.array(*map(F.lit, ("text", "vector", "image", "empty"))), (k % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", sheets.plan_reading(k * 7 % 60, layer, (k * 11 % 100) / 100.0, F.when(k % 5 > 0, "N2"), k % 3 > 0).alias("reading"))
+
+
+@query("""SELECT p_partkey, (['N4', 'RDC', 'FDN', 'SS2', NULL, 'TOIT'])[CAST(p_partkey % 6 + 1 AS INTEGER)] AS level FROM part""")
+def levels_in_text(spark, sf_dir):
+    from matchyard.functions import sheets
+
+    said = ("Colonnes du niveau 4, axe B", "Vue du rez-de-chaussée", "Radier au tréfond", "Voir sous-sol S2 et toit", "Coupe type", "Plan du toit")
+    t = F.element_at(F.array(*map(F.lit, said)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", sheets.level_anywhere(t).alias("level"))
+
+
+@query()
+def planted_recall(spark, sf_dir):
+    from matchyard.operators import evaluate
+
+    e = elements(spark, sf_dir)
+    changed = evaluate.plant(e, 0.05, 7)
+    pairs = matching.full_outer(changed.drop("planted"))
+    best = pairs.where("shop_id is not null").select(F.col("shop_id").alias("id"))
+    verdicts = evaluate.judge(changed.join(best, "id", "left_semi"), comparing.cross(pairs, e))
+    return evaluate.recall(verdicts)
+
+
+@query(with_tables(ELEMENTS_SQL, PRIMARY_SQL, CROSS_SQL) + """, places AS (SELECT DISTINCT level, "row" || '-' || regexp_replace(CAST(col AS VARCHAR), '\\.0$', '') AS grid FROM elements WHERE page = 3)
+ SELECT k.level, k.grid, EXISTS (SELECT 1 FROM findings f WHERE f.level = k.level AND f.grid = k.grid AND f.status IN ('non_compliant', 'missing', 'added')) AS found FROM places k""")
+def known_items(spark, sf_dir):
+    from matchyard.operators import evaluate
+
+    k = elements(spark, sf_dir).where("page = 3").select("level", F.concat_ws("-", "row", F.regexp_replace(F.col("col").cast("string"), r"\.0$", "")).alias("grid")).distinct()
+    return evaluate.known_items(k, _cross(spark, sf_dir))
+
+
+@query(with_tables(ELEMENTS_SQL) + """ SELECT source, type, count(*) AS records, round(avg(CASE WHEN spacing_mm IS NOT NULL THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS parsed, round(avg(CASE WHEN overall >= 0.7 THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS trusted FROM elements GROUP BY source, type""")
+def extraction_shares(spark, sf_dir):
+    from matchyard.operators import evaluate
+
+    return evaluate.shares(elements(spark, sf_dir), ["source", "type"], {"parsed": F.col("spacing_mm").isNotNull(), "trusted": F.col("overall") >= 0.7})
+
+
+@query("""WITH e AS (SELECT o_custkey AS id, 'd/f' || (o_orderkey % 3) || '.pdf' AS file, o_orderkey AS page FROM orders), f AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN replace(regexp_replace(file, '\\.[^./]*$', ''), '/', '_') || '__' || id ELSE CAST(id AS VARCHAR) END AS i FROM e),
+ g AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY page) AS k FROM f) SELECT page, CASE WHEN k = 1 THEN i ELSE i || '_' || k END AS unique_id FROM g""")
+def unique_ids(spark, sf_dir):
+    from matchyard.operators import evaluate
+
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("id"), F.concat(F.lit("d/f"), (F.col("o_orderkey") % 3).cast("string"), F.lit(".pdf")).alias("file"), F.col("o_orderkey").alias("page"), F.lit("plan").alias("source"), F.lit("N1").alias("level"), F.lit(1.0).alias("overall"))
+    return evaluate.unique_ids(o).select("page", "unique_id")

@@ -119,3 +119,30 @@ def test_stream_ends_with_the_result_of_all(spark, tmp_path):
     query = arrival.refresh(stream, str(tmp_path / "store"), lambda d: matching.key_match(d).select("key"), str(tmp_path / "out"), str(tmp_path / "check"))
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == matching.key_match(e).count() == 10
+
+
+def test_double_readings_go(spark):
+    from matchyard.operators.geometry import read_once
+
+    schema = "page int, text string, x0 double, y0 double, x1 double, y1 double, conf double"
+    rows = [(1, "25M", 0.0, 0.0, 30.0, 10.0, 0.9), (1, "25M", 1.0, 0.0, 31.0, 10.0, 0.8), (1, "2", 2.0, 1.0, 8.0, 9.0, 0.9), (1, "A", 100.0, 0.0, 110.0, 10.0, 0.9), (1, "B", 112.0, 0.0, 122.0, 10.0, 0.9), (1, "ABCDEFG", 99.0, 0.0, 123.0, 10.0, 0.4), (2, "25M", 0.0, 0.0, 30.0, 10.0, None)]
+    kept = {(r["page"], r["text"], r["conf"]) for r in read_once(spark.createDataFrame(rows, schema)).collect()}
+    assert (1, "25M", 0.9) in kept and (1, "25M", 0.8) not in kept and (1, "2", 0.9) not in kept and (2, "25M", None) in kept
+
+
+def test_questions_are_asked_once(spark):
+    from matchyard.operators.evaluate import asked_once, no_answer
+
+    questions = spark.createDataFrame([(1, "p"), (2, "p"), (3, "q")], "key int, prompt string")
+    cache = spark.createDataFrame([("p", "yes", 0.9)], "prompt string, option string, certainty double")
+    assert {tuple(r) for r in asked_once(questions, cache, no_answer).collect()} == {(1, "yes", 0.9), (2, "yes", 0.9), (3, None, None)}
+
+
+def test_planted_changes_are_found(spark):
+    from matchyard.operators import evaluate
+
+    rows = [record(f"p{i}", col=float(i)) for i in range(40)] + [record(f"s{i}", "shop", col=float(i)) for i in range(40)]
+    changed = evaluate.plant(spark.createDataFrame(rows, SCHEMA), 0.3, 1)
+    pairs = matching.full_outer(changed.drop("planted"))
+    got = {r["verdict"]: r["n"] for r in evaluate.recall(evaluate.judge(changed, comparing.cross(pairs, changed))).collect()}
+    assert set(got) == {"found"} and got["found"] >= 5
