@@ -92,9 +92,9 @@ def full_outer(records: DataFrame, near: DataFrame | None = None) -> DataFrame:
 
 
 def letter_rank(letters: Column) -> Column:
-    """A=1 to Z=26, AA=27 and so on; a decimal adds tenths, a prime 0.05."""
+    """A=1 to Z=26, then AA=27, BB=28 and so on; a decimal adds tenths, a prime 0.05."""
     base = F.regexp_extract(letters, r"^([A-Z]+)", 1)
-    high = F.when(F.length(base) > 1, (F.ascii(F.substring(base, 1, 1)) - 64) * 26).otherwise(0)
+    high = 26 * (F.length(base) - 1)
     tenth = F.coalesce(F.nullif(F.regexp_extract(letters, r"\.(\d)", 1), F.lit("")).cast("double") / 10, F.lit(0.0))
     return high + F.ascii(F.substring(base, -1, 1)) - 64 + tenth + F.when(letters.contains("'"), 0.05).otherwise(0.0)
 

@@ -297,7 +297,7 @@ _GRID = r"^([A-Z]{1,2}(?:\.[0-9]|'')?)-([1-9][0-9]?(?:\.[0-9])?)$"
 @query(with_tables(NOTES_SQL) + f""", t AS (SELECT note, CASE WHEN note % 7 = 0 THEN 'A' ELSE '' END || chr(CAST(65 + l_suppkey % 26 AS INTEGER)) || CASE note % 4 WHEN 0 THEN '.5' WHEN 1 THEN '''' ELSE '' END || '-' || CASE WHEN note % 6 = 0 THEN '0' ELSE '' END || (l_partkey % 99) AS x FROM notes),
  p AS (SELECT note, nullif(regexp_extract(x, '{_GRID}', 1), '') AS r, TRY_CAST(nullif(regexp_extract(x, '{_GRID}', 2), '') AS DOUBLE) AS c FROM t)
  SELECT note, r AS "row", c AS col, regexp_replace(regexp_replace(r, '\\..*$', ''), '''+$', '') AS base,
-  round(CASE WHEN length(regexp_extract(r, '^([A-Z]+)', 1)) > 1 THEN (ascii(r) - 64) * 26 ELSE 0 END + ascii(right(regexp_extract(r, '^([A-Z]+)', 1), 1)) - 64 + COALESCE(TRY_CAST(nullif(regexp_extract(r, '\\.([0-9])', 1), '') AS DOUBLE) / 10, 0) + CASE WHEN contains(r, '''') THEN 0.05 ELSE 0 END, 3)::DOUBLE AS rank FROM p WHERE r IS NOT NULL""")
+  round(26 * (length(regexp_extract(r, '^([A-Z]+)', 1)) - 1) + ascii(right(regexp_extract(r, '^([A-Z]+)', 1), 1)) - 64 + COALESCE(TRY_CAST(nullif(regexp_extract(r, '\\.([0-9])', 1), '') AS DOUBLE) / 10, 0) + CASE WHEN contains(r, '''') THEN 0.05 ELSE 0 END, 3)::DOUBLE AS rank FROM p WHERE r IS NOT NULL""")
 def parse_grid_label(spark, sf_dir):
     n = notes(spark, sf_dir)
     t = F.concat(F.when(F.col("note") % 7 == 0, "A").otherwise(""), F.char((65 + F.col("l_suppkey") % 26).cast("int")), F.when(F.col("note") % 4 == 0, ".5").when(F.col("note") % 4 == 1, "'").otherwise(""), F.lit("-"), F.when(F.col("note") % 6 == 0, "0").otherwise(""), F.col("l_partkey") % 99)
@@ -693,3 +693,42 @@ def unique_ids(spark, sf_dir):
 
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("id"), F.concat(F.lit("d/f"), (F.col("o_orderkey") % 3).cast("string"), F.lit(".pdf")).alias("file"), F.col("o_orderkey").alias("page"), F.lit("plan").alias("source"), F.lit("N1").alias("level"), F.lit(1.0).alias("overall"))
     return evaluate.unique_ids(o).select("page", "unique_id")
+
+
+# ---- grid
+
+AXIS_SQL = """
+axis AS (SELECT n_regionkey AS page, n_nationkey AS label, ((n_nationkey * 41) % 97 * 10)::DOUBLE AS pos FROM nation),
+pts AS (SELECT c_custkey AS point, c_nationkey % 5 AS page, ((c_custkey * 7919) % 9700 / 10.0)::DOUBLE AS v FROM customer)"""
+
+
+@query(with_tables(AXIS_SQL) + """, lo AS (SELECT point, max_by(label, (pos, label)) AS l, max(pos) AS lp FROM pts JOIN axis USING (page) WHERE pos <= v GROUP BY point), hi AS (SELECT point, min_by(label, (pos, label)) AS h, min(pos) AS hp FROM pts JOIN axis USING (page) WHERE pos > v GROUP BY point),
+ f AS (SELECT point, v, l, h, lp, hp, round((v - lp) / (hp - lp), 3) AS fr FROM pts LEFT JOIN lo USING (point) LEFT JOIN hi USING (point) WHERE l IS NOT NULL OR h IS NOT NULL),
+ g AS (SELECT *, CASE WHEN l IS NULL THEN h WHEN h IS NULL THEN l WHEN v - lp < hp - v OR (v - lp = hp - v AND l < h) THEN l ELSE h END AS nearest FROM f)
+ SELECT point, nearest, fr::DOUBLE AS fraction, CASE WHEN fr BETWEEN 0.2 AND 0.8 THEN CASE WHEN nearest = h THEN l ELSE h END END AS other FROM g""")
+def axis_positions(spark, sf_dir):
+    from matchyard.operators import grid
+
+    k = F.col("n_nationkey")
+    axis = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("page"), k.alias("label"), ((k * 41) % 97 * 10).cast("double").alias("pos"))
+    c = F.col("c_custkey")
+    points = table(spark, sf_dir, "customer").select(c.alias("point"), (F.col("c_nationkey") % 5).alias("page"), ((c * 7919) % 9700 / 10.0).alias("v"))
+    return grid.around(points, axis).select("point", "nearest", "fraction", "other")
+
+
+@query()
+def grids_of_pages(spark, sf_dir):
+    from matchyard.operators import grid
+
+    k = F.col("s_suppkey")
+    letters = table(spark, sf_dir, "supplier").select((k % 2).alias("page"), F.char((65 + F.floor(k / 2) % 12).cast("int")).alias("text"), F.lit(20.0).alias("cx"), (F.floor(k / 2) % 12 * 40.0).alias("cy"))
+    numbers = letters.select("page", (F.floor(F.col("cy") / 40) + 1).cast("int").cast("string").alias("text"), (F.col("cy") + 60.0).alias("cx"), F.lit(5.0).alias("cy"))
+    return grid.fit(letters.unionByName(numbers), 8.0)
+
+
+@query()
+def elevation_views(spark, sf_dir):
+    from matchyard.operators import grid
+
+    lines = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("page"), F.col("o_orderkey").cast("double").alias("y"), F.concat(F.lit("N"), (F.col("o_orderkey") % 9).cast("string")).alias("level"), F.when(F.col("o_orderkey") % 4 > 0, (10_000 - F.col("o_orderkey") % 900).cast("double")).alias("elevation_mm"))
+    return grid.views(lines)

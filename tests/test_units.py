@@ -146,3 +146,28 @@ def test_planted_changes_are_found(spark):
     pairs = matching.full_outer(changed.drop("planted"))
     got = {r["verdict"]: r["n"] for r in evaluate.recall(evaluate.judge(changed, comparing.cross(pairs, changed))).collect()}
     assert set(got) == {"found"} and got["found"] >= 5
+
+
+def test_grid_is_found_whichever_way_it_is_drawn(spark):
+    from matchyard.operators.grid import fit
+
+    rows = [(1, c, 10.0, 50.0 * i) for i, c in enumerate("ABCDE")] + [(1, str(i + 1), 100.0 + 60 * i, 5.0) for i in range(6)] + [(1, "3", 400.0, 300.0), (1, "Z", 200.0, 300.0)]
+    turned = [(2, t, y, x) for _, t, x, y in rows]
+    few = [(3, "A", 1.0, 1.0), (3, "1", 5.0, 9.0)]
+    got = fit(spark.createDataFrame(rows + turned + few, "page int, text string, cx double, cy double"), 4.0).collect()
+    for page, on in ((1, "y"), (2, "x")):
+        mine = [r for r in got if r["page"] == page]
+        assert {r["letters_on"] for r in mine} == {on}
+        assert {(r["label"], r["pos"]) for r in mine if r["axis"] == "row"} == {(c, 50.0 * i) for i, c in enumerate("ABCDE")}
+        assert [r["label"] for r in sorted((r for r in mine if r["axis"] == "column"), key=lambda r: r["pos"])] == list("123456")
+    assert not [r for r in got if r["page"] == 3]
+
+
+def test_views_and_levels(spark):
+    from matchyard.operators.grid import level_in_view, longest_run, views
+
+    lines = [(1, 0.0, "N3", 9000.0), (1, 10.0, "N2", 6000.0), (1, 20.0, "N1", None), (1, 30.0, "N3", 9000.0), (1, 40.0, "N2", 6000.0)]
+    got = sorted((r["y"], r["level"], r["view"]) for r in views(spark.createDataFrame(lines, "page int, y double, level string, elevation_mm double")).collect())
+    assert [v for _, _, v in got] == [0, 0, 0, 1, 1]
+    assert [level_in_view(got, y) for y in (-1.0, 5.0, 25.0, 35.0, 50.0)] == ["UNKNOWN", "N2", "FDN", "N2", "FDN"]
+    assert longest_run([3, 1, 2, 5, 4, 9]) == 4 and longest_run([]) == 0
