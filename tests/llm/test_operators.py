@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from matchyard.llm import components as component_module
 from matchyard.llm import jaccard, language, lm, mixing, packing, quality, suffixes, tiles, topk, toxicity
 from matchyard.llm.base import documents
 from matchyard.llm.components import components
@@ -151,7 +152,9 @@ def test_small_boundary_follows_cost():
     assert jaccard.boundary({5: 100, 9: 100, 14: 100}, 0.0) < jaccard.boundary({5: 100, 9: 100, 14: 100}, 1000.0) == jaccard.MOST_SMALL
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [1_000_000, 0])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(component_module, "AT_ONCE", at_once)
     rng = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(900, i) for i in range(901, 960)] + [(i, i + 1) for i in range(1000, 1060)]
     parent = {x: x for e in edges for x in e}
