@@ -17,18 +17,21 @@ from matchyard.llm.words import mix, shingle_sets, word_hashes
 
 #: Words in a shingle. Two sets link when 5 * intersection >= 4 * union.
 SHINGLE = 5
-#: Counters in each of the two rows of the frequency sketch, and in a slice of it.
-SKETCH, SLICE = 1 << 22, 1 << 18
+#: Counters in each of the two rows of the frequency sketch, and in a slice of it. A partition counts up to 255 in each:
+#: what is more frequent than that anywhere is frequent enough.
+SKETCH, SLICE = 1 << 23, 1 << 18
 #: Sets above this size never count as small: subsets of a set of n miss at most n // 5 members, 1160 of them at 19.
 MOST_SMALL = 19
 #: Members from which on a list is long. Shorter ones are compared pair by pair at once.
 LONG = 64
 #: Rounds in which long lists are compared with one member only, before what is open is compared pair by pair.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 #: Open pairs that are compared without further rounds.
-FEW_PAIRS = 1_000_000
+FEW_PAIRS = 100_000
 #: Bits of a set's signature.
-SIGNATURE = 1024
+SIGNATURE = 2048
+#: Rounds in which the likeliest pair of each component is tested, before all pairs left are.
+TEST_ROUNDS = 2
 #: Pairs of one set that are tested in one group.
 SHARE = 256
 
@@ -78,20 +81,19 @@ _SCAN_NAMES = [x.split()[0] for x in _SCAN.split(", ")]
 def _scan(batches):
     """Size, fingerprint and signature of every set, and small sets themselves; at the end of the partition, its part of
     the frequency sketch."""
-    sketch = np.zeros((2, SKETCH), np.uint32)
+    sketch = np.zeros((2, SKETCH), np.uint16)
     for batch in batches:
-        sizes, prints, signatures, small_sets, everything = [], [], [], [], []
+        sizes, prints, signatures, small_sets = [], [], [], []
         for _, _, tokens, begins in _sets(batch.column(1)):
             n = np.diff(begins)
             sizes.append(n)
             prints.append(_prints(tokens, begins))
             signatures.append(_signatures(tokens, begins))
             small_sets += [tokens[begins[i] : begins[i + 1]].tobytes() if 0 < k <= MOST_SMALL else None for i, k in enumerate(n.tolist())]
-            everything.append(tokens)
+            for r, cell in enumerate(_cells(tokens)):
+                np.add.at(sketch[r], cell, np.uint16(1))
         if not sizes:
             continue
-        for r, cell in enumerate(_cells(np.concatenate(everything))):
-            sketch[r] += np.bincount(cell, minlength=SKETCH).astype(np.uint32)
         n = np.concatenate(sizes)
         bits = np.concatenate(signatures)
         found = [batch.column(0), pa.array(n.astype(np.int32)), pa.array(ints(np.concatenate(prints)), mask=n == 0), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * bits.shape[1], pa.int32()), pa.array(bits.ravel())), pa.array(small_sets, pa.binary())]
@@ -99,14 +101,14 @@ def _scan(batches):
     flat = sketch.reshape(-1, SLICE)
     some = np.flatnonzero(flat.any(axis=1))
     if len(some):
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), t) for t in _SCAN_TYPES[:5]), pa.array(some.astype(np.int32)), pa.array([zlib.compress(flat[i].tobytes(), 1) for i in some], pa.binary())], names=_SCAN_NAMES)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), t) for t in _SCAN_TYPES[:5]), pa.array(some.astype(np.int32)), pa.array([zlib.compress(np.minimum(flat[i], 255).astype(np.uint8).tobytes(), 6) for i in some], pa.binary())], names=_SCAN_NAMES)
 
 
 def _add_counters(batches):
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            part = np.frombuffer(zlib.decompress(c), np.uint32).astype(np.uint64)
+            part = np.frombuffer(zlib.decompress(c), np.uint8).astype(np.uint64)
             held[k] = held[k] + part if k in held else part
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.minimum(c, 2**16 - 1).astype(np.uint16).tobytes() for c in held.values()], pa.binary())], names=["slice", "counters"])
@@ -151,10 +153,11 @@ def _entries(gone, sketch, small_size: int):
                 use = (n > 0) & (5 * n > 4 * small_size)
                 if gone is not None:
                     use &= ~np.isin(keys[row:after] ^ ints(fp), gone.value)
-                _, at = np.unique(fp, return_index=True)  # the same set twice in a batch: once is enough
-                once = np.zeros(len(n), bool)
-                once[at] = True
-                use &= once & ~np.isin(fp, done)
+                use &= ~np.isin(fp, done)
+                some = np.flatnonzero(use)
+                _, at = np.unique(fp[some], return_index=True)  # the same set twice in a batch: once is enough
+                use[:] = False
+                use[some[at]] = True
                 done = np.union1d(done, fp[use])
                 owner = np.repeat(np.arange(len(n)), n)
                 level = levels(counters, tokens)
@@ -332,21 +335,38 @@ def test_pairs(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFra
 
 
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs: (a, b) fingerprints. Links that connect what all links among the pairs connect.
-
-    Signatures drop most pairs that only share a passage. Of the rest, each set's likeliest pair is tested first; then
-    those that lie between what is not yet connected. So a group of many alike sets needs few tests of each."""
-    ends = {x: classes.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}")) for x in "ab"}
-    likely = pairs.join(ends["a"], "a").join(ends["b"], "b").where(near_enough("n_a", "n_b", "s_a", "s_b"))
-    likely = stash(likely.select("a", "b", (differing("s_a", "s_b") / (F.col("n_a") + F.col("n_b"))).alias("apart")), "likely")
-    each = likely.unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
-    first = each.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("x")).select(F.greatest("a", "x.b").alias("a"), F.least("a", "x.b").alias("b")).distinct()
-    links = test_pairs(stash(first, "pairs"), docs, classes)
-    parts = small(stash(components(links, what="parts"), "parts"))
-    side = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"p_{x}"))
-    rest = likely.select("a", "b").join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    rest = stash(rest.where(~F.coalesce(F.col("p_a") == F.col("p_b"), F.lit(False))).select("a", "b"), "pairs")
-    return links.unionByName(test_pairs(rest, docs, classes))
+    """pairs: a written table (a, b) of fingerprints. Links that connect what all links among the pairs connect.
+
+    Signatures drop most pairs that only share a passage. Of the rest, the likeliest pair of each set is tested first,
+    then that of each component of what is linked so far, and at last all pairs between components. So a group of many
+    alike sets needs few tests, and no pair that could connect more is left out."""
+    few = small(pairs)
+
+    def end(x: str) -> DataFrame:
+        return few.join(classes.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}")), x)
+
+    likely = end("a").join(end("b"), ["a", "b"]).where(near_enough("n_a", "n_b", "s_a", "s_b"))
+    rest = stash(likely.select("a", "b", (differing("s_a", "s_b") / (F.col("n_a") + F.col("n_b"))).alias("apart"), F.col("a").alias("p_a"), F.col("b").alias("p_b")), "likely")
+    links = None
+    for turn in range(TEST_ROUNDS + 1):
+        if not rest.limit(1).count():
+            break
+        if turn < TEST_ROUNDS:
+            best = F.min(F.struct("apart", "a", "b")).alias("x")
+            each = rest.select("p_a", "apart", "a", "b").unionByName(rest.select(F.col("p_b").alias("p_a"), "apart", "a", "b"))
+            chosen = stash(each.groupBy("p_a").agg(best).select("x.a", "x.b").distinct(), "pairs")
+        else:
+            chosen = rest.select("a", "b")
+        found = test_pairs(chosen, docs, classes)
+        links = found if links is None else links.unionByName(found)
+        if turn == TEST_ROUNDS:
+            break
+        parts = small(stash(components(links, what="parts"), "parts"))
+        side = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"p_{x}"))  # noqa: E731, B023
+        rest = rest.select("a", "b", "apart").join(small(chosen), ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+        rest = rest.withColumns({"p_a": F.coalesce("p_a", "a"), "p_b": F.coalesce("p_b", "b")}).where("p_a <> p_b")
+        rest = stash(rest.select("a", "b", "apart", "p_a", "p_b"), "rest")
+    return links if links is not None else rest.select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -379,7 +399,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     sizes = {r["n"]: r["k"] for r in classes.where(F.col("n") <= MOST_SMALL).groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
     total = float(counters[0].sum(dtype=np.uint64))
-    squares = float((counters[0].astype(np.float64) ** 2).sum())
+    squares = sum(float((part.astype(np.float64) ** 2).sum()) for part in counters[0].reshape(-1, SLICE))
     list_length = max(0.0, squares / total - total / SKETCH - 1) if total else 0.0
     small_size = boundary(sizes, list_length)
 
@@ -410,7 +430,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             links = links.unionByName(e)
         joined = stash(components(links, what="parts").withColumnsRenamed({"node": "fp", "component": "part"}), "joined")
         own = lists.select("token", "fp", "n", "pos").join(small(joined), "fp", "left").withColumn("part", F.coalesce("part", "fp"))
-        own = stash(own.join(classes.select("fp", F.col("signature").alias("sig")), "fp"), "owned")
+        members = stash(lists.select("fp").distinct(), "members")
+        marks = classes.select("fp", F.col("signature").alias("sig")).join(small(members), "fp")
+        own = stash(own.join(marks, "fp"), "owned")
         by_part = own.groupBy("token", "part").agg(F.count(F.lit(1)).alias("c"))
         by_list = by_part.groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).where("s * s > q")
         by_list = stash(by_list, "open")
