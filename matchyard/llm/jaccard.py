@@ -139,7 +139,7 @@ def boundary(sizes: dict[int, int], list_length: float) -> int:
 
 
 def _entries(gone, sketch, small_size: int):
-    """(token, fp, n, pos) of each set's rarest tokens, as many as a partner must share one of. Sets so small that any
+    """(token, fp, place) of each set's rarest tokens, place being n and the position in one number, as many as a partner must share one of. Sets so small that any
     partner is small are left out."""
 
     def run(batches):
@@ -168,7 +168,7 @@ def _entries(gone, sketch, small_size: int):
                 prefix = (n - -(-4 * n // 5) + 1) * use
                 take = pos < prefix[owner]
                 of = owner[take]
-                yield pa.RecordBatch.from_arrays([pa.array(ints(tokens[take])), pa.array(ints(fp[of])), pa.array(n[of].astype(np.int32)), pa.array(pos[take].astype(np.int32))], names=["token", "fp", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(ints(tokens[take])), pa.array(ints(fp[of])), pa.array(n[of] << 32 | pos[take])], names=["token", "fp", "place"])
 
     return run
 
@@ -229,7 +229,8 @@ def _lists(small_size: int):
         for batch in batches:
             if not len(batch):
                 continue
-            rows = [batch.column(i).to_numpy() for i in range(4)]
+            place = batch.column(2).to_numpy()
+            rows = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), (place >> 32).astype(np.int32), (place & 0xFFFFFFFF).astype(np.int32)]
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows)]
             same = np.zeros(len(rows[0]), bool)
@@ -274,6 +275,20 @@ def _may_link(a: str, b: str, small_size: int) -> Column:
     return (F.greatest(n, m) > small_size) & (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * (1 + F.least(n - i - 1, m - j - 1)) >= 4 * (n + m))
 
 
+def packed(tokens: np.ndarray) -> bytes:
+    """Sorted tokens in about 7 bytes each: the leading 16 bits as differences, compressed, and the rest as it is."""
+    lead = np.diff((tokens >> np.uint64(48)).astype(np.uint16), prepend=np.uint16(0))
+    return zlib.compress(lead.tobytes(), 1) + np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpacked(body) -> np.ndarray:
+    inflate = zlib.decompressobj()
+    lead = np.cumsum(np.frombuffer(inflate.decompress(body), np.uint16), dtype=np.uint64)
+    out = np.zeros((len(lead), 8), np.uint8)
+    out[:, :6] = np.frombuffer(inflate.unused_data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel() | (lead << np.uint64(48))
+
+
 def _send(batches):
     """Sends the set of each document to the groups that it is tested in."""
     for batch in batches:
@@ -282,10 +297,11 @@ def _send(batches):
             fp = ints(_prints(tokens, begins))
             out: list[list] = [[], [], [], []]
             for i in np.flatnonzero(np.diff(begins) > 0):
-                body = tokens[begins[i] : begins[i + 1]].tobytes()
+                body = None
                 for t in targets[row + int(i)].as_py():
                     if t["fp"] != fp[i]:
                         continue  # another text under the same id
+                    body = body or packed(tokens[begins[i] : begins[i + 1]])
                     for c, x in zip(out, (t["key"], t["salt"], fp[i], body)):
                         c.append(x)
             for i in range(0, len(out[0]), 500):
@@ -299,9 +315,9 @@ def _test(key, table):
     head = np.flatnonzero(fp == key[0].as_py())
     found = []
     if len(head):
-        b = np.frombuffer(body[int(head[0])].as_buffer(), np.uint64)
+        b = unpacked(body[int(head[0])].as_py())
         for i in np.flatnonzero(fp != key[0].as_py()):
-            a = np.frombuffer(body[int(i)].as_buffer(), np.uint64)
+            a = unpacked(body[int(i)].as_py())
             shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
             if shared >= needed(len(a), len(b)):
                 found.append(int(fp[i]))
@@ -409,7 +425,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if 0 < copies.count() <= BROADCAST_KEYS:
         gone = spark.sparkContext.broadcast(np.sort(pull(copies).pair.to_numpy(np.int64)))
     sketch = spark.sparkContext.broadcast(counters)
-    entries = arrow_stage(rows, _entries(gone, sketch, small_size), "token long, fp long, n int, pos int")
+    entries = arrow_stage(rows, _entries(gone, sketch, small_size), "token long, fp long, place long")
 
     edges = []
     if small_size >= 4:

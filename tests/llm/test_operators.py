@@ -148,6 +148,12 @@ def test_jaccard_join(docs, rows):
     assert got == expected
 
 
+def test_packed_sets():
+    for n in (1, 2, 5, 300, 70_000):
+        tokens = np.unique(np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64))
+        assert (jaccard.unpacked(jaccard.packed(tokens)) == tokens).all()
+
+
 def test_small_boundary_follows_cost():
     assert jaccard.boundary({5: 100, 9: 100, 14: 100}, 0.0) < jaccard.boundary({5: 100, 9: 100, 14: 100}, 1000.0) == jaccard.MOST_SMALL
 
