@@ -69,24 +69,16 @@ def ngrams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> tu
 
 
 def _counts(batches):
-    """(lang, level, feature, count): level 0 words, else n-grams of that length, added up by batch."""
+    """(lang, level, feature, count): level 0 words, else n-grams of that length, added up by block of texts."""
     for batch in batches:
-        langs = np.array(batch.column(1).to_pylist(), object)
-        names, code = np.unique(langs.astype(str), return_inverse=True)
-        held: dict[int, list] = {n: [] for n in (0, *LENGTHS)}
+        names, code = np.unique(np.array(batch.column(1).to_pylist(), str), return_inverse=True)
         for row, data, _, starts, ends, first, hashes in words_of(batch.column(0)):
             lang = np.repeat(code[row : row + len(first) - 1], np.diff(first))
-            held[0].append((hashes, lang))
-            for n in LENGTHS:
-                h, who = ngrams(data, starts, ends, n)
-                held[n].append((h, lang[who]))
-        for level, parts in held.items():
-            if not parts:
-                continue
-            h, lang = (np.concatenate(x) for x in zip(*parts))
-            for k in range(len(names)):
-                f, n = np.unique(h[lang == k], return_counts=True)
-                if len(f):
+            for level in (0, *LENGTHS):
+                h, who = ngrams(data, starts, ends, level) if level else (hashes, np.arange(len(hashes)))
+                of = lang[who]
+                for k in np.unique(of):
+                    f, n = np.unique(h[of == k], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([names[k]] * len(f)), pa.array(np.full(len(f), level, np.int32)), pa.array(ints(f)), pa.array(n)], names=["lang", "level", "feature", "n"])
 
 
