@@ -17,7 +17,7 @@ from matchyard.llm.base import arrow_stage, running_before, stash
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a Python worker keeps between batches.
-WORD_CACHE = 1_000_000
+WORD_CACHE = 1_500_000
 #: Completions tried at a node, and nodes visited, before the best packing found so far is taken.
 BRANCH, NODES = 12, 20_000
 
