@@ -49,11 +49,6 @@ def _assign(shared):
     return run
 
 
-def _join_best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
-
-
 def _scan(k: int):
     """Rows of one cell (pivot, annulus): its vectors and the queries that read it. Best k of the cell per query."""
 
