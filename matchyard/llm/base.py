@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -72,7 +74,20 @@ def crc_mod(column: str, mod: int):
 
 
 _shipped: set[str] = set()
-BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def _gives_back(function):
+    """The same function, after which a worker returns the memory that it has freed: workers outlive tasks, and the
+    allocators would keep the largest task's pages for as long."""
+
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
 
 
 def arrow_stage(df: DataFrame, function, schema: str) -> DataFrame:
@@ -89,7 +104,7 @@ def arrow_stage(df: DataFrame, function, schema: str) -> DataFrame:
     conf = df.sparkSession.conf
     if conf.get(BATCH_CONF, None) is None:  # rows vary from a word to megabytes: bytes bound a batch, not rows
         conf.set(BATCH_CONF, str(BATCH_BYTES))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(_gives_back(function), schema)
 
 
 def pull(df: DataFrame):
