@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from matchyard.llm.base import arrow_stage, crc_mod, ints, pull, stash, text_blocks
 from matchyard.llm.words import mix, word_hashes
 
-#: Words that are clustered and the classes they are put in; words whose counts are broadcast, the most frequent ones.
+#: Words that the driver clusters first and the least number of classes; words whose counts are broadcast at least.
 CLUSTERED, CLASSES, HEAD = 1024, 64, 1 << 18
+#: Every word that occurs so often is clustered, however many there are.
+LEAST = 64
+#: Rounds over half of all clustered words each, on the executors.
+ROUNDS = 4
 #: Rounds over all words in which none or some move.
 SWEEPS = 8
 #: The end of a text, counted as a token.
@@ -69,12 +73,22 @@ def _find(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _bigrams(shared):
-    """Counts of neighbouring clustered words; whatever isn't clustered is one word, and a text begins after END."""
+    """(cell, count) of neighbouring clustered words; whatever isn't clustered is one word, and a text begins after END."""
 
     def run(batches):
         keys, ids, end = shared.value
         n = len(keys) + 1
-        counts = np.zeros(n * n, np.int64)
+        held, size = [], 0
+
+        def add_up():
+            cells, inverse = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            counts = np.bincount(inverse, np.concatenate([h[1] for h in held])).astype(np.int64)
+            return cells, counts
+
+        def rows(cells, counts):
+            for i in range(0, len(cells), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(cells[i : i + (1 << 16)]), pa.array(counts[i : i + (1 << 16)])], names=["cell", "c"])
+
         for batch in batches:
             for _, tokens, first in _streams(batch.column(0)):
                 at, known = _find(keys, tokens)
@@ -82,15 +96,142 @@ def _bigrams(shared):
                 before = np.empty_like(w)
                 before[1:] = w[:-1]
                 before[first[:-1]] = end
-                counts += np.bincount(before * n + w, minlength=n * n)
-        some = np.flatnonzero(counts)
-        for i in range(0, len(some), 1 << 16):
-            part = some[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], names=["cell", "c"])
+                held.append(np.unique(before * n + w, return_counts=True))
+                size += len(held[-1][0])
+            if size > 3_000_000:
+                cells, counts = add_up()
+                held, size = [(cells, counts)], len(cells)
+                if size > 1_500_000:  # written early, so a partition of any size fits
+                    yield from rows(cells, counts)
+                    held, size = [], 0
+        if held:
+            yield from rows(*add_up())
+
+    return run
+
+
+def _class_table(shared, m: int):
+    """(cell, count) of neighbouring classes."""
+
+    def run(batches):
+        of, table = shared.value, np.zeros(m * m)
+        for batch in batches:
+            a, b, c = (x.to_numpy() for x in batch.columns)
+            table += np.bincount(of[a].astype(np.int64) * m + of[b], c, minlength=m * m)
+        some = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(table[some].astype(np.int64))], names=["cell", "c"])
+
+    return run
+
+
+def _neighbour_classes(shared, m: int):
+    """(word, slot, count) of the words that are to move: classes after the word, classes before it (slot m on), and at
+    slot 2 m the word after itself."""
+
+    def run(batches):
+        of, moving = shared.value
+        width = 2 * m + 1
+        for batch in batches:
+            a, b, c = (x.to_numpy() for x in batch.columns)
+            after, before, twice = moving[a], moving[b], moving[a] & (a == b)
+            a, b = a.astype(np.int64), b.astype(np.int64)
+            codes = np.concatenate([a[after] * width + of[b[after]], b[before] * width + m + of[a[before]], a[twice] * width + 2 * m])
+            codes, inverse = np.unique(codes, return_inverse=True)
+            n = np.bincount(inverse, np.concatenate([c[after], c[before], c[twice]]), minlength=len(codes)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((codes // width).astype(np.int32)), pa.array((codes % width).astype(np.int32)), pa.array(n)], names=["word", "slot", "n"])
 
     return run
 
 
+def _gains(table: np.ndarray, of: int, slots: np.ndarray, n: np.ndarray, classes: int) -> np.ndarray:
+    """What the criterion of exchange() gains by each class of a word that was taken out of class `of`."""
+    m = len(table)
+    r, c = np.zeros(m), np.zeros(m)
+    after = slots < m
+    before = (slots >= m) & (slots < 2 * m)
+    r[slots[after]], c[slots[before] - m] = n[after], n[before]
+    s = float(n[slots == 2 * m].sum())
+    out, into = r.sum(), c.sum()
+    r[of] -= s
+    c[of] -= s
+    # only cells that the word touches change: its row and column leave class `of` and enter another
+    kr, kc = np.flatnonzero(r), np.flatnonzero(c)
+    rows, columns = table[:classes, kr].copy(), table[kc, :classes].copy()
+    # the table without the word
+    in_row, in_column = np.flatnonzero(kr == of), np.flatnonzero(kc == of)
+    rows[:, in_row] -= c[:classes, None]
+    columns[in_column, :] -= r[None, :classes]
+    if of < classes:
+        rows[of] -= r[kr]
+        columns[:, of] -= c[kc]
+        rows[of, in_row] -= s
+        columns[in_column, of] -= s
+    gain = (_f(rows + r[kr]) - _f(rows)).sum(axis=1) + (_f(columns + c[kc][:, None]) - _f(columns)).sum(axis=0)
+    own = table.diagonal()[:classes].copy()
+    left, right = table.sum(axis=1)[:classes], table.sum(axis=0)[:classes]
+    if of < classes:
+        own[of] -= r[of] + c[of] + s
+        left[of] -= out
+        right[of] -= into
+    gain += _f(own + r[:classes] + c[:classes] + s) - _f(own + r[:classes]) - _f(own + c[:classes]) + _f(own)
+    return gain - (_f(left + out) - _f(left) + _f(right + into) - _f(right))
+
+
+def _best_class(shared, classes: int):
+    """(word, class) where the best class isn't the word's own."""
+
+    def run(batches):
+        table, of = shared.value
+        for batch in batches:
+            words, best = [], []
+            for w, entries in zip(batch.column(0).to_pylist(), batch.column(1)):
+                values = entries.values
+                gain = _gains(table, int(of[w]), values.field("slot").to_numpy(), values.field("n").to_numpy().astype(float), classes)
+                b = int(gain.argmax())
+                if of[w] >= classes or gain[b] > gain[of[w]] + 1e-9:
+                    words.append(w)
+                    best.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.int32()), pa.array(best, pa.int32())], names=["word", "class"])
+
+    return run
+
+
+def exchange_all(bigrams: DataFrame, of: np.ndarray, classes: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all words and their class table, by the criterion of exchange() in rounds on the executors.
+
+    bigrams: written (a, b, c), the last two words fixed. At first every word without a class gets the best one; in each
+    later round half of the words move together, as if the others stayed. A round that lowers the criterion is undone,
+    and the other half still has its turn."""
+    spark, m = bigrams.sparkSession.sparkContext, classes + 2
+
+    def table_of(of: np.ndarray) -> np.ndarray:
+        cells = pull(arrow_stage(bigrams, _class_table(spark.broadcast(of), m), "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")))
+        table = np.zeros(m * m)
+        table[cells.cell.to_numpy(np.int64)] = cells.c.to_numpy(float)
+        return table.reshape(m, m)
+
+    def criterion(table: np.ndarray) -> float:
+        return float(_f(table).sum() - _f(table.sum(axis=0)).sum() - _f(table.sum(axis=1)).sum())
+
+    words = np.arange(len(of))
+    half = mix(words.astype(np.uint64)) & np.uint64(1)
+    table = table_of(of)
+    for k in range(rounds + 1):
+        moving = (of >= classes) if k == 0 else half == k % 2
+        moving[-2:] = False
+        if not moving.any():
+            continue
+        near = arrow_stage(bigrams, _neighbour_classes(spark.broadcast((of, moving)), m), "word int, slot int, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
+        near = near.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("near"))
+        moves = pull(arrow_stage(near, _best_class(spark.broadcast((table, of)), classes), "word int, class int"))
+        new = of.copy()
+        new[moves["word"].to_numpy()] = moves["class"].to_numpy()
+        after = table_of(new)
+        if k == 0 or criterion(after) > criterion(table):
+            of, table = new, after
+    return of, table
+
+
 def _f(x):
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
@@ -144,11 +285,12 @@ def _log10(x):
     return np.log10(np.maximum(x, 1e-300))
 
 
-def train(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, head: int = HEAD) -> tuple[dict, DataFrame]:
-    """The model, of bounded size, and the written table (word, c) of all training counts.
+def train(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, head: int = HEAD, least: int = LEAST) -> tuple[dict, DataFrame]:
+    """The model, which grows with the words that occur `least` times, and the written table (word, c) of all training counts.
 
-    Words are counted over all training texts. The most frequent are clustered by their bigrams; all other words are
-    one more class and END one of its own. Class transitions are interpolated with class frequencies (Witten and Bell);
+    Words are counted over all training texts. The `clustered` most frequent are clustered by their bigrams on
+    the driver, then all that occur `least` times on the executors, in more classes the more they are; rarer words are one
+    more class and END one of its own. Class transitions are interpolated with class frequencies (Witten and Bell);
     in the class of other words, counts are discounted by the share of words seen once, which unseen words get."""
     spark = docs.sparkSession
     rows = docs.where(~held_out()).select("text")
@@ -161,22 +303,33 @@ def train(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, h
         if held > head:
             floor = r["band"] + 1
             break
-    top = pull(counts.where(F.floor(F.log2("c") * 16) >= floor))
+    top = pull(counts.where((F.floor(F.log2("c") * 16) >= floor) | (F.col("c") >= least)))
     top = top.sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
     words, c = top.word.to_numpy(np.int64).view(np.uint64), top.c.to_numpy(np.int64)
-    chosen = np.flatnonzero(words != END)[:clustered]
-    k = len(chosen)
+    chosen = np.flatnonzero(words != END)
+    seeds = min(clustered, len(chosen))
+    k = max(seeds, int((c[chosen] >= least).sum()))
+    chosen = chosen[:k]
+    classes = max(classes, int(2 * k ** (1 / 3)))
     vocabulary = np.append(words[chosen], END)
     order = np.argsort(vocabulary)
     shared = spark.sparkContext.broadcast((vocabulary[order], order, k))
-    table = np.zeros((k + 2) ** 2, np.int64)
-    cells = pull(arrow_stage(rows, _bigrams(shared), "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")))
-    table[cells.cell.to_numpy(np.int64)] = cells.c.to_numpy(np.int64)
-    table = table.reshape(k + 2, k + 2)
-    of = exchange(table, min(classes, max(1, k)), 2)
-    m = int(of.max()) + 1
-    pairs = np.zeros((m, m))
-    np.add.at(pairs, (of[:, None], of[None, :]), table)
+    cells = arrow_stage(rows, _bigrams(shared), "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c"))
+    bigrams = stash(cells.select(F.expr(f"cell div {k + 2}").cast("int").alias("a"), (F.col("cell") % (k + 2)).cast("int").alias("b"), "c"), "bigrams")
+    # the most frequent words first: whatever else there is stands as one word beside them
+    place = lambda x: F.when(F.col(x) < seeds, F.col(x)).when(F.col(x) == k, seeds).otherwise(seeds + 1)
+    near = pull(bigrams.groupBy(place("a").alias("a"), place("b").alias("b")).agg(F.sum("c").alias("c")))
+    table = np.zeros((seeds + 2, seeds + 2), np.int64)
+    table[near.a.to_numpy(int), near.b.to_numpy(int)] = near.c.to_numpy(np.int64)
+    first = exchange(table, min(classes, max(1, seeds)), 2)
+    m = int(first.max()) + 1
+    of = np.full(k + 2, m - 1, np.int32)
+    of[:seeds], of[k] = first[:seeds], m - 2
+    if k > seeds:
+        of, pairs = exchange_all(bigrams, of, m - 2)
+    else:
+        pairs = np.zeros((m, m))
+        np.add.at(pairs, (of[:, None], of[None, :]), table)
     into = pairs.sum(axis=0)
     unigram = (into + 0.5) / (into.sum() + 0.5 * m)
     outgoing, kinds = pairs.sum(axis=1, keepdims=True), (pairs > 0).sum(axis=1, keepdims=True)
@@ -246,15 +399,15 @@ def _score(shared, schema: pa.DataType):
     return run
 
 
-def score(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, head: int = HEAD, least: int = LEAST) -> DataFrame:
     """docs: doc_id, text. One row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Counts of frequent words are broadcast, a bounded number; the others' are joined to the (text, word) pairs by word.
+    Counts of frequent and of clustered words are broadcast; the others' are joined to the (text, word) pairs by word.
     So no very frequent word reaches that join, and no text's words are gathered in one task but as sums. All unseen
     words are one word to both models. Null or empty text is the end alone; rows that repeat are scored each and counted
     each; a null doc_id is learnt from; an empty table gives none."""
     spark = docs.sparkSession
-    model, counts = train(docs, clustered, classes, head)
+    model, counts = train(docs, clustered, classes, head, least)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("text", F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"))
     fields = pa.struct([("doc_id", docs.select("doc_id").limit(0).toArrow().schema.field(0).type), ("held_out", pa.bool_()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
