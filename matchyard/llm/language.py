@@ -5,15 +5,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchyard.llm.base import arrow_stage, ints, text_blocks
-from matchyard.llm.labelled import held_out, share
+from matchyard.llm.base import arrow_stage, ints, pull, stash, text_blocks
+from matchyard.llm.labelled import held_out
 from matchyard.llm.words import mix, span_hashes, word_spans
 
-#: Documents to learn from (about) for each language, words and n-grams of each length that the model keeps, languages.
-SAMPLE, FEATURES, LANGUAGES = 4000, 60_000, 200
+#: For each language: documents to learn from (about), words and n-grams of each length that the model keeps for it.
+SAMPLE, FEATURES = 4000, 20_000
 #: n-gram lengths in characters, tried in this order for a word that isn't known.
 LENGTHS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
@@ -83,30 +83,48 @@ def _counts(batches):
 
 
 def train(docs: DataFrame) -> dict:
-    """docs: doc_id, text, lang. Learns from a bounded sample of the rows with a language that aren't held out.
+    """docs: doc_id, text, lang. Learns from a sample of each language, of about SAMPLE of its rows that aren't held out.
 
-    Counts are added up where the documents are; of each level the most frequent features reach the driver."""
+    Counts are added up where the documents are; of each level the most frequent features of each language reach the
+    driver, with their counts in all languages. The model holds the counts that aren't 0."""
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    rows = share(rows, SAMPLE * max(1, len(langs))).where(F.col("lang").isin(langs)).select("text", "lang")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    langs = sorted(sizes)
+    limits = docs.sparkSession.createDataFrame([(x, int((1 << 52) * min(1.0, SAMPLE / n))) for x, n in sizes.items()], "lang string, most long")
+    spread = F.xxhash64("doc_id", F.lit(17)).bitwiseAND(F.lit((1 << 52) - 1))
+    rows = rows.join(F.broadcast(limits), "lang").where(spread < F.col("most")).select("text", "lang")
     counts = arrow_stage(rows, _counts, "lang string, level int, feature long, n long").groupBy("level", "feature", "lang").agg(F.sum("n").alias("n"))
-    whole = counts.groupBy("level", "feature").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")).where("all > 1")
-    model: dict = {"langs": sorted(langs), "levels": {}}
-    index = {x: i for i, x in enumerate(model["langs"])}
+    whole = stash(counts.groupBy("level", "feature").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")).where("all > 1"), "features")
+    each = whole.select("level", "feature", F.inline("by"))
+    first = F.row_number().over(Window.partitionBy("level", "lang").orderBy(F.desc("n"), "feature"))
+    chosen = each.withColumn("_k", first).where(F.col("_k") <= FEATURES).select("level", "feature").distinct()
+    kept = stash(each.join(chosen, ["level", "feature"], "left_semi"), "kept")
+    model: dict = {"langs": langs, "levels": {}}
+    index = {x: i for i, x in enumerate(langs)}
     for level in (0, *LENGTHS):
-        top = whole.where(F.col("level") == level).orderBy(F.desc("all"), "feature").limit(FEATURES).collect()
-        top.sort(key=lambda r: r["feature"] & (2**64 - 1))
-        table = np.zeros((len(top), len(langs)), np.float64)
-        for i, r in enumerate(top):
-            for lang, n in r["by"]:
-                table[i, index[lang]] = n
-        totals = table.sum(axis=0) + SMOOTH * (len(top) + 1)
-        model["levels"][level] = (np.array([r["feature"] & (2**64 - 1) for r in top], np.uint64), np.log((table + SMOOTH) / totals).astype(np.float32))
+        top = pull(kept.where(F.col("level") == level).select("feature", "lang", "n"))
+        keys, row = np.unique(top.feature.to_numpy(np.int64).view(np.uint64), return_inverse=True)
+        lang, n = top.lang.map(index).to_numpy(np.int64), top.n.to_numpy(float)
+        totals = np.bincount(lang, n, minlength=len(langs)) + SMOOTH * (len(keys) + 1)
+        order = np.lexsort((lang, row))
+        at = np.append(0, np.cumsum(np.bincount(row, minlength=len(keys))))
+        scores = np.log((n + SMOOTH) / totals[lang]).astype(np.float32)
+        model["levels"][level] = (keys, at, lang[order].astype(np.int32), scores[order], np.log(SMOOTH / totals).astype(np.float32))
     return model
 
 
+def _rows(model: dict, level: int, at: np.ndarray) -> np.ndarray:
+    """Log frequencies in each language of the features with these places."""
+    _, begin, lang, scores, none = model["levels"][level]
+    size = begin[at + 1] - begin[at]
+    out = np.tile(none, (len(at), 1))
+    cells = np.arange(size.sum()) + np.repeat(begin[at] - (np.cumsum(size) - size), size)
+    out[np.repeat(np.arange(len(at)), size), lang[cells]] = scores[cells]
+    return out
+
+
 def _look_up(model: dict, level: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, _ = model["levels"][level]
+    keys = model["levels"][level][0]
     if not len(keys):
         return np.zeros(len(hashes), int), np.zeros(len(hashes), bool)
     at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
@@ -118,7 +136,7 @@ def word_scores(model: dict, data, starts, ends, hashes) -> np.ndarray:
     longest length of which any is known. A word without any counts for nothing."""
     out = np.zeros((len(hashes), len(model["langs"])), np.float32)
     at, known = _look_up(model, 0, hashes)
-    out[known] = model["levels"][0][1][at[known]]
+    out[known] = _rows(model, 0, at[known])
     left = np.flatnonzero(~known)
     for n in LENGTHS:
         if not len(left):
@@ -126,7 +144,7 @@ def word_scores(model: dict, data, starts, ends, hashes) -> np.ndarray:
         h, who = ngrams(data, starts[left], ends[left], n)
         at, known = _look_up(model, n, h)
         hits = np.bincount(who[known], minlength=len(left))
-        rows = model["levels"][n][1][at[known]]
+        rows = _rows(model, n, at[known])
         for k in range(rows.shape[1]):
             out[left, k] = np.bincount(who[known], rows[:, k], minlength=len(left)) / np.maximum(hits, 1)
         left = left[hits == 0]

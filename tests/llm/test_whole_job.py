@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from matchyard.llm import lm
+from matchyard.llm import language, lm
 
 
 def test_words_beyond_the_first_are_clustered(spark):
@@ -42,3 +42,20 @@ def test_gains_are_differences_of_the_criterion(w):
     slots, n = np.arange(13), np.concatenate([r, c, [counts[w, w]]])
     gain = lm._gains(table_of(of), int(of[w]), slots[n > 0], n[n > 0], classes)
     assert np.allclose(gain - gain[0], [with_class(b) - with_class(0) for b in range(classes)])
+
+
+def test_small_languages_are_learnt(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 20)
+    rng = np.random.default_rng(5)
+    of = lambda letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(30))
+    rows = [(i, of("abcdefgh"), "large") for i in range(2000)] + [(5000 + i, of("abcdefgz"), "small") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify(docs).where("doc_id >= 5000 and held_out").collect()
+    assert len(got) > 5 and {r["lang_pred"] for r in got} == {"small"}
+
+
+def test_no_language_is_left_out(spark):
+    docs = spark.createDataFrame([(8 * k + i, f"{chr(97 + k // 26)}{chr(97 + k % 26)}q", f"l{k:03d}") for k in range(210) for i in range(8)], "doc_id long, text string, lang string")
+    got = language.identify(docs).collect()
+    wrong = [(r["doc_id"], r["lang_pred"], r["score"]) for r in got if r["lang_pred"] != f"l{r['doc_id'] // 8:03d}"]
+    assert not wrong
