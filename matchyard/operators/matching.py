@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -104,6 +106,7 @@ NOT_A_CANDIDATE, MOST_COST, ALONE, NOTHING_SHARED = 1000.0, 1.8, 0.8, 1.7
 SYNONYMS = (("column", "pier"), ("wall", "shear_wall"), ("footing", "raft", "pier"))
 FOUNDATIONS = ("footing", "raft", "pile", "pile_cap")
 CANDIDATES = 3
+SAME_ROW, OTHER_CELL, CONTENT_NONE, CONTENT_SHARE, DISTANCE, COLUMN_STEP, FARTHEST = 1.2, 2.0, 0.15, 0.5, 0.15, 0.5, 2.0
 LENGTH_SHARE = 0.04
 
 
@@ -116,7 +119,15 @@ def cell_cost(a: Column, b: Column) -> Column:
     """Cells (row, col) as structs: 0 the same, 1.2 neighbours in a row, else 2."""
     same = (a["row"] == b["row"]) & (a["col"] == b["col"])
     near = (a["row"] == b["row"]) & (F.abs(a["col"] - b["col"]) <= 1.0)
-    return F.when(same, 0.0).when(near, 1.2).otherwise(2.0)
+    return F.when(same, 0.0).when(near, SAME_ROW).otherwise(OTHER_CELL)
+
+
+def reach() -> float:
+    """Columns between two cells of a row beyond which no pair costs less than MOST_COST, whatever else agrees."""
+    left = MOST_COST - OTHER_CELL - (CONTENT_NONE - CONTENT_SHARE)
+    if left > DISTANCE * FARTHEST:
+        return float("inf")
+    return max(1.0, round(left / (DISTANCE * COLUMN_STEP), 9))
 
 
 def level_cost(a: Column, b: Column, b_to: Column, kind_a: Column, kind_b: Column) -> Column:
@@ -142,7 +153,7 @@ def content_cost(a: Column, b: Column) -> Column:
 
     best = F.array_max(F.transform(a, lambda x: F.array_max(F.transform(b, lambda y: share(x, y)))))
     one_sided = (F.coalesce(F.size(a), F.lit(0)) > 0) != (F.coalesce(F.size(b), F.lit(0)) > 0)
-    return F.when(one_sided, NOTHING_SHARED).when(best.isNull(), 0.0).when(best == 0, NOTHING_SHARED).otherwise(F.round(0.15 - 0.5 * best, 3))
+    return F.when(one_sided, NOTHING_SHARED).when(best.isNull(), 0.0).when(best == 0, NOTHING_SHARED).otherwise(F.round(CONTENT_NONE - CONTENT_SHARE * best, 3))
 
 
 def entities(notes: DataFrame) -> DataFrame:
@@ -173,14 +184,18 @@ def candidates(left: DataFrame, right: DataFrame, best: int = CANDIDATES) -> Dat
     l, r = (d.withColumnsRenamed({c: f"{p}_{c}" for c in d.columns}) for d, p in ((left, "l"), (right, "r")))
     same = l.join(r, (F.col("l_row") == F.col("r_row")) & (F.col("l_col") == F.col("r_col")))
     alone = l.join(r.select("r_row", "r_col").distinct(), (F.col("l_row") == F.col("r_row")) & (F.col("l_col") == F.col("r_col")), "left_anti")
-    # a row may be long; only neighbours can be cheap enough, so the join is by row and a band of columns
-    band = lambda c: F.floor(c)
-    near = alone.withColumn("_band", F.explode(F.sequence(band(F.col("l_col")) - 1, band(F.col("l_col")) + 1)))
-    near = near.join(r.withColumn("_band", band(F.col("r_col"))), (F.col("l_row") == F.col("r_row")) & (near["_band"] == F.floor(F.col("r_col")))).drop("_band")
+    # a row may be long; the join is by row and a band of columns, as wide as a pair that is cheap enough can be
+    on, far = F.col("l_row") == F.col("r_row"), reach()
+    if far < float("inf"):
+        band, k = F.floor(F.col("l_col")), math.ceil(far)
+        alone = alone.withColumn("_band", F.explode(F.sequence(band - k, band + k)))
+        near = alone.join(r, on & (F.col("_band") == F.floor(F.col("r_col")))).drop("_band")
+    else:
+        near = alone.join(r, on)
     pairs = same.unionByName(near)
-    distance = F.abs(letter_rank(F.col("l_row")) - letter_rank(F.col("r_row"))) + 0.5 * F.abs(F.col("l_col") - F.col("r_col"))
+    distance = F.abs(letter_rank(F.col("l_row")) - letter_rank(F.col("r_row"))) + COLUMN_STEP * F.abs(F.col("l_col") - F.col("r_col"))
     cost = cell_cost(cell("l_row", "l_col"), cell("r_row", "r_col")) + level_cost(F.col("l_level"), F.col("r_level"), F.col("r_level_to"), F.col("l_kind"), F.col("r_kind"))
-    cost = cost + kind_cost(F.col("l_kind"), F.col("r_kind")) + content_cost(F.col("l_bars"), F.col("r_bars")) + 0.15 * F.least(distance, F.lit(2.0))
+    cost = cost + kind_cost(F.col("l_kind"), F.col("r_kind")) + content_cost(F.col("l_bars"), F.col("r_bars")) + DISTANCE * F.least(distance, F.lit(FARTHEST))
     priced = pairs.withColumn("cost", F.round(cost, 3)).where(F.col("cost") < MOST_COST)
     top = Window.partitionBy("l_note").orderBy("cost", "r_slot")
     return priced.withColumn("place", F.row_number().over(top)).where(F.col("place") <= best).select(F.col("l_note").alias("note"), F.col("r_slot").alias("slot"), "cost", "place")
