@@ -39,10 +39,11 @@ def sheet_type(title: Column, sheet: Column) -> tuple[Column, Column]:
 
 
 def sheet_number(words: DataFrame, pattern: str = r"^S-\d{3}$", right: float = 0.6, low: float = 0.7) -> DataFrame:
-    """The sheet number of each page: of matching words in its lower right corner the lowest, then the rightmost.
+    """The sheet number of each page: of matching words in its lower right corner the lowest, then the rightmost,
+    then the greatest.
     words: page, text, x0, y0, width, height."""
     corner = words.where(F.col("text").rlike(pattern) & (F.col("x0") > right * F.col("width")) & (F.col("y0") > low * F.col("height")))
-    return corner.groupBy("page").agg(F.max_by("text", F.struct(F.round("y0").alias("y"), "x0")).alias("sheet"))
+    return corner.groupBy("page").agg(F.max_by("text", F.struct(F.round("y0").alias("y"), "x0", "text")).alias("sheet"))
 
 
 def plan_reading(words: Column, layer: Column, vertical: Column, level: Column, has_grid: Column, enough: int = 10) -> Column:

@@ -574,7 +574,7 @@ def box_relations(spark, sf_dir):
     from matchyard.operators import geometry as g
 
     b = _boxes(spark, sf_dir)
-    p = b.withColumnsRenamed({c: f"a_{c}" for c in b.columns}).join(b.withColumnsRenamed({c: f"b_{c}" for c in b.columns}), (F.col("a_page") == F.col("b_page")) & (F.col("a_id") < F.col("b_id")) & (F.col("a_id") % 5 == F.col("b_id") % 5))
+    p = b.withColumnsRenamed({c: f"a_{c}" for c in b.columns}).join(b.withColumnsRenamed({c: f"b_{c}" for c in b.columns}), (F.col("a_page") == F.col("b_page")) & (F.col("a_id") < F.col("b_id")))
     return p.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(g.gap("a_", "b_"), 3).alias("gap"), F.round(g.overlap("a_", "b_"), 4).alias("overlap"), F.round(g.inside_share("a_", "b_"), 4).alias("inside"))
 
 
@@ -584,7 +584,7 @@ def points_in_regions(spark, sf_dir):
 
     k = F.col("o_orderkey")
     p = table(spark, sf_dir, "orders").select(k.alias("point"), (F.col("o_custkey") % 25).alias("page"), ((k * 29) % 950).cast("double").alias("x"), ((k * 61) % 650).cast("double").alias("y"))
-    return g.in_regions(p, _boxes(spark, sf_dir).where("id % 10 = 0"))
+    return g.in_regions(p, _boxes(spark, sf_dir))
 
 
 @query("""WITH t AS (SELECT s_suppkey AS tab, s_nationkey AS page, list_transform(range(0, 5), lambda i: ((s_suppkey * 13) % 200 + i * (40 + s_suppkey % 60))::DOUBLE) AS xs, list_transform(range(0, 4), lambda i: ((s_suppkey * 17) % 200 + i * (30 + s_suppkey % 50))::DOUBLE) AS ys FROM supplier),
@@ -618,7 +618,7 @@ def line_crossings(spark, sf_dir):
 def sheet_numbers(spark, sf_dir):
     from matchyard.functions import sheets
 
-    b = _boxes(spark, sf_dir).where("id % 3 = 0").select("page", F.concat(F.lit("S-"), F.lpad((F.col("id") % 1000).cast("string"), 3, "0")).alias("text"), "x0", "y0", F.lit(900.0).alias("width"), F.lit(600.0).alias("height"))
+    b = _boxes(spark, sf_dir).select("page", F.concat(F.lit("S-"), F.lpad((F.col("id") % 1000).cast("string"), 3, "0")).alias("text"), "x0", "y0", F.lit(900.0).alias("width"), F.lit(600.0).alias("height"))
     return sheets.sheet_number(b)
 
 
@@ -675,7 +675,7 @@ def planted_recall(spark, sf_dir):
 def known_items(spark, sf_dir):
     from matchyard.operators import evaluate
 
-    k = elements(spark, sf_dir).where("page = 3").select("level", F.concat_ws("-", "row", F.regexp_replace(F.col("col").cast("string"), r"\.0$", "")).alias("grid")).distinct()
+    k = elements(spark, sf_dir).select("level", F.concat_ws("-", "row", F.regexp_replace(F.col("col").cast("string"), r"\.0$", "")).alias("grid")).distinct()
     return evaluate.known_items(k, _cross(spark, sf_dir))
 
 
