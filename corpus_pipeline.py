@@ -47,12 +47,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the least id.
 
-    Of rows that repeat with id and text one stays. Rows without an id can't be told apart by it and stay."""
-    found = stash(jaccard.near_duplicates(docs), "found")
-    gone = stash(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    left = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
-    ids = found.where("component_id = doc_id").agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    return left if ids[0] == ids[1] else left.dropDuplicates(["doc_id", "text"])
+    Rows are told apart by id and text: of rows that repeat with both one stays, and an id's other texts stay when one of
+    its texts goes. Rows without an id stay."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = stash(jaccard.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").distinct(), "found")
+    groups = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("component_id")
+    members = stash(found.join(groups, "component_id", "left_semi"), "members")
+    named = stash(keyed.where("doc_id is not null").select("doc_id", "_key").join(small(members), "_key"), "named")
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("_first"))
+    gone = stash(named.join(first, "component_id").where("_key <> _first._key").select("_key").distinct(), "gone")
+    left = keyed.join(small(gone), "_key", "left_anti")
+    twice = keyed.where("doc_id is not null").groupBy("_key").count().where("count > 1").limit(1).count()
+    return (left.dropDuplicates(["doc_id", "text"]) if twice else left).select(*docs.columns)
 
 
 @_stage
@@ -81,8 +87,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all rows in as few sequences as can be found."""
-    return packing.pack(docs)
+    """Pieces of all rows, with their token ids, in as few sequences as can be found."""
+    return packing.pack(docs, payload=True)
 
 
 STAGES = [

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from matchyard.llm import language, lm
 
 
@@ -59,3 +60,18 @@ def test_no_language_is_left_out(spark):
     got = language.identify(docs).collect()
     wrong = [(r["doc_id"], r["lang_pred"], r["score"]) for r in got if r["lang_pred"] != f"l{r['doc_id'] // 8:03d}"]
     assert not wrong
+
+
+def test_the_other_text_of_an_id_stays(spark):
+    copied = " ".join(f"word{i}" for i in range(80))
+    clean = " ".join(f"other{i}" for i in range(80))
+    rows = [(1, copied), (2, copied), (2, clean), (3, clean + " end"), (4, "alone"), (4, "alone"), (None, copied)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in got) == sorted([(0, copied), (1, copied), (2, clean), (4, "alone")])
+
+
+def test_the_pipeline_writes_token_ids(spark):
+    docs = spark.createDataFrame([(i, f"some text {i} " * (1 + i)) for i in range(20)], "doc_id long, text string")
+    got = corpus_pipeline.packing_stage(spark, docs, "").collect()
+    assert got and all(len(r["ids"]) == 4 * r["length"] for r in got)
