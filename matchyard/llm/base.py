@@ -15,6 +15,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 BROADCAST_KEYS = 1_000_000
 
 _written: list[tuple[SparkSession, str]] = []
+_shared: list[tuple[SparkSession, Broadcast]] = []
 _own_root: str | None = None
 
 
@@ -55,8 +57,18 @@ def written(spark: SparkSession) -> list[str]:
     return [path for owner, path in _written if owner is spark]
 
 
+def put(spark: SparkSession, value) -> Broadcast:
+    """Broadcasts a value; release() frees it on all executors."""
+    _shared.append((spark, spark.sparkContext.broadcast(value)))
+    return _shared[-1][1]
+
+
 def release(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes intermediate tables; call it once what was computed from them is written elsewhere."""
+    """Deletes intermediate tables and this session's broadcast values; call it once what was computed from them is written
+    elsewhere."""
+    for _, value in (e for e in _shared if e[0] is spark):
+        value.destroy()
+    _shared[:] = [e for e in _shared if e[0] is not spark]
     conf = spark._jsc.hadoopConfiguration()
     for name in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
@@ -82,14 +94,34 @@ def _gives_back(function):
     allocators would keep the largest task's pages for as long."""
 
     def run(batches):
-        yield from function(batches)
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux":
-            ctypes.CDLL(None).malloc_trim(0)
+        try:
+            yield from function(batches)
+        finally:
+            _trim()
 
     return run
 
 
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(function):
+    """The same function for applyInArrow on a group or two, after which memory is returned if the groups were large."""
+
+    def run(*args):
+        out = function(*args)
+        if sum(t.nbytes for t in args[1:] if isinstance(t, pa.Table)) > 4 << 20:
+            _trim()
+        return out
+
+    if function.__code__.co_argcount == 3:
+        return lambda key, left, right: run(key, left, right)
+    return lambda key, table: run(key, table)
+
+
 def arrow_stage(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow whose workers can import this package, however the driver found it."""
     context = df.sparkSession.sparkContext

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchyard.llm.base import arrow_stage, BROADCAST_KEYS, ints, pull, small, stash, text_blocks
+from matchyard.llm.base import arrow_stage, BROADCAST_KEYS, ints, pull, put, small, stash, text_blocks, trimmed
 from matchyard.llm.components import components
 from matchyard.llm.words import mix, shingle_sets, word_hashes
 
@@ -347,7 +347,7 @@ def test_pairs(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFra
     sent = stash(sent, "targets")
     texts = docs.join(small(sent), F.col("doc_id").eqNullSafe(F.col("_one"))).select("text", "targets")
     groups = arrow_stage(texts, _send, "key long, salt int, fp long, tokens binary")
-    return stash(groups.groupBy("key", "salt").applyInArrow(_test, "a long, b long"), "links")
+    return stash(groups.groupBy("key", "salt").applyInArrow(trimmed(_test), "a long, b long"), "links")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -423,8 +423,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     copies = stash(copies, "copies")
     gone = None
     if 0 < copies.count() <= BROADCAST_KEYS:
-        gone = spark.sparkContext.broadcast(np.sort(pull(copies).pair.to_numpy(np.int64)))
-    sketch = spark.sparkContext.broadcast(counters)
+        gone = put(spark, np.sort(pull(copies).pair.to_numpy(np.int64)))
+    sketch = put(spark, counters)
     entries = arrow_stage(rows, _entries(gone, sketch, small_size), "token long, fp long, place long")
 
     edges = []

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchyard.llm.base import arrow_stage, ints, pull, stash, text_blocks
+from matchyard.llm.base import arrow_stage, ints, pull, put, stash, text_blocks
 from matchyard.llm.labelled import held_out
 from matchyard.llm.words import mix, span_hashes, word_spans
 
@@ -153,7 +153,7 @@ def word_scores(model: dict, data, starts, ends, hashes) -> np.ndarray:
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """docs: doc_id, text. One row per row: doc_id, held_out, lang_pred, score (its share of the tempered posterior)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = put(docs.sparkSession, model)
 
     def run(batches):
         model = shared.value

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchyard.llm.base import arrow_stage, crc_mod, ints, pull, stash, text_blocks
+from matchyard.llm.base import arrow_stage, crc_mod, ints, pull, put, stash, text_blocks
 from matchyard.llm.words import mix, word_hashes
 
 #: Words that the driver clusters first and the least number of classes; words whose counts are broadcast at least.
@@ -110,39 +110,28 @@ def _bigrams(shared):
     return run
 
 
+def _entries(column):
+    """A batch of neighbour lists, flat: where each word's begin, the neighbours, whether they come before it, counts."""
+    values = column.flatten()
+    code = values.field("code").to_numpy()
+    return column.offsets.to_numpy() - column.offsets[0].as_py(), code >> 1, code & 1, values.field("c").to_numpy()
+
+
 def _class_table(shared, m: int):
     """(cell, count) of neighbouring classes."""
 
     def run(batches):
         of, table = shared.value, np.zeros(m * m)
         for batch in batches:
-            a, b, c = (x.to_numpy() for x in batch.columns)
-            table += np.bincount(of[a].astype(np.int64) * m + of[b], c, minlength=m * m)
+            at, other, side, c = _entries(batch.column(1))
+            word, after = np.repeat(batch.column(0).to_numpy(), np.diff(at)), side == 0
+            table += np.bincount(of[word[after]].astype(np.int64) * m + of[other[after]], c[after], minlength=m * m)
         some = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(table[some].astype(np.int64))], names=["cell", "c"])
 
     return run
 
 
-def _neighbour_classes(shared, m: int):
-    """(word, slot, count) of the words that are to move: classes after the word, classes before it (slot m on), and at
-    slot 2 m the word after itself."""
-
-    def run(batches):
-        of, moving = shared.value
-        width = 2 * m + 1
-        for batch in batches:
-            a, b, c = (x.to_numpy() for x in batch.columns)
-            after, before, twice = moving[a], moving[b], moving[a] & (a == b)
-            a, b = a.astype(np.int64), b.astype(np.int64)
-            codes = np.concatenate([a[after] * width + of[b[after]], b[before] * width + m + of[a[before]], a[twice] * width + 2 * m])
-            codes, inverse = np.unique(codes, return_inverse=True)
-            n = np.bincount(inverse, np.concatenate([c[after], c[before], c[twice]]), minlength=len(codes)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((codes // width).astype(np.int32)), pa.array((codes % width).astype(np.int32)), pa.array(n)], names=["word", "slot", "n"])
-
-    return run
-
-
 def _gains(table: np.ndarray, of: int, slots: np.ndarray, n: np.ndarray, classes: int) -> np.ndarray:
     """What the criterion of exchange() gains by each class of a word that was taken out of class `of`."""
     m = len(table)
@@ -178,15 +167,22 @@ def _gains(table: np.ndarray, of: int, slots: np.ndarray, n: np.ndarray, classes
 
 
 def _best_class(shared, classes: int):
-    """(word, class) where the best class isn't the word's own."""
+    """(word, class) of the words that are to move where the best class isn't the word's own."""
 
     def run(batches):
-        table, of = shared.value
+        table, of, moving = shared.value
+        m = len(table)
         for batch in batches:
+            word = batch.column(0).to_numpy()
+            at, other, side, c = _entries(batch.column(1))
+            slot = of[other] + side * m
             words, best = [], []
-            for w, entries in zip(batch.column(0).to_pylist(), batch.column(1)):
-                values = entries.values
-                gain = _gains(table, int(of[w]), values.field("slot").to_numpy(), values.field("n").to_numpy().astype(float), classes)
+            for i in np.flatnonzero(moving[word]):
+                w, part = word[i], slice(at[i], at[i + 1])
+                n = np.bincount(slot[part], c[part], minlength=2 * m + 1)
+                n[2 * m] = c[part][(other[part] == w) & (side[part] == 0)].sum()
+                slots = np.flatnonzero(n)
+                gain = _gains(table, int(of[w]), slots, n[slots], classes)
                 b = int(gain.argmax())
                 if of[w] >= classes or gain[b] > gain[of[w]] + 1e-9:
                     words.append(w)
@@ -196,16 +192,25 @@ def _best_class(shared, classes: int):
     return run
 
 
-def exchange_all(bigrams: DataFrame, of: np.ndarray, classes: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def neighbours(bigrams: DataFrame) -> DataFrame:
+    """bigrams: (a, b, c). One written row per word: the words beside it, each as its number doubled, one more if it comes
+    before, and how often. A word has twice as many entries as there are clustered words at most."""
+    after = bigrams.select(F.col("a").alias("word"), F.struct((F.col("b") * 2).cast("long").alias("code"), "c").alias("entry"))
+    before = bigrams.select(F.col("b").alias("word"), F.struct((F.col("a") * 2 + 1).cast("long").alias("code"), "c").alias("entry"))
+    return stash(after.unionByName(before).groupBy("word").agg(F.collect_list("entry").alias("near")), "neighbours")
+
+
+def exchange_all(near: DataFrame, of: np.ndarray, classes: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Classes of all words and their class table, by the criterion of exchange() in rounds on the executors.
 
-    bigrams: written (a, b, c), the last two words fixed. At first every word without a class gets the best one; in each
+    near: see neighbours(); the last two words are fixed. At first every word without a class gets the best one; in each
     later round half of the words move together, as if the others stayed. A round that lowers the criterion is undone,
-    and the other half still has its turn."""
-    spark, m = bigrams.sparkSession.sparkContext, classes + 2
+    and the other half still has its turn. Rounds only read: words have their neighbours beside them, and what is
+    shuffled is the class table."""
+    spark, m = near.sparkSession, classes + 2
 
     def table_of(of: np.ndarray) -> np.ndarray:
-        cells = pull(arrow_stage(bigrams, _class_table(spark.broadcast(of), m), "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")))
+        cells = pull(arrow_stage(near, _class_table(put(spark, of), m), "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")))
         table = np.zeros(m * m)
         table[cells.cell.to_numpy(np.int64)] = cells.c.to_numpy(float)
         return table.reshape(m, m)
@@ -221,9 +226,7 @@ def exchange_all(bigrams: DataFrame, of: np.ndarray, classes: int, rounds: int =
         moving[-2:] = False
         if not moving.any():
             continue
-        near = arrow_stage(bigrams, _neighbour_classes(spark.broadcast((of, moving)), m), "word int, slot int, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
-        near = near.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("near"))
-        moves = pull(arrow_stage(near, _best_class(spark.broadcast((table, of)), classes), "word int, class int"))
+        moves = pull(arrow_stage(near, _best_class(put(spark, (table, of, moving)), classes), "word int, class int"))
         new = of.copy()
         new[moves["word"].to_numpy()] = moves["class"].to_numpy()
         after = table_of(new)
@@ -233,7 +236,7 @@ def exchange_all(bigrams: DataFrame, of: np.ndarray, classes: int, rounds: int =
 
 
 def _f(x):
-    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+    return x * np.log(np.maximum(x, 1e-300))
 
 
 def exchange(counts: np.ndarray, classes: int, fixed: int, sweeps: int = SWEEPS) -> np.ndarray:
@@ -291,7 +294,8 @@ def train(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, h
     Words are counted over all training texts. The `clustered` most frequent are clustered by their bigrams on
     the driver, then all that occur `least` times on the executors, in more classes the more they are; rarer words are one
     more class and END one of its own. Class transitions are interpolated with class frequencies (Witten and Bell);
-    in the class of other words, counts are discounted by the share of words seen once, which unseen words get."""
+    in the class of other words, counts are discounted by the share of words seen once. What that frees is shared evenly
+    among as many unseen words as the class has seen ones, so no unseen word is likelier than one seen once."""
     spark = docs.sparkSession
     rows = docs.where(~held_out()).select("text")
     counts = stash(arrow_stage(rows, _count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
@@ -313,7 +317,7 @@ def train(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, h
     classes = max(classes, int(2 * k ** (1 / 3)))
     vocabulary = np.append(words[chosen], END)
     order = np.argsort(vocabulary)
-    shared = spark.sparkContext.broadcast((vocabulary[order], order, k))
+    shared = put(spark, (vocabulary[order], order, k))
     cells = arrow_stage(rows, _bigrams(shared), "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c"))
     bigrams = stash(cells.select(F.expr(f"cell div {k + 2}").cast("int").alias("a"), (F.col("cell") % (k + 2)).cast("int").alias("b"), "c"), "bigrams")
     # the most frequent words first: whatever else there is stands as one word beside them
@@ -326,7 +330,7 @@ def train(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, h
     of = np.full(k + 2, m - 1, np.int32)
     of[:seeds], of[k] = first[:seeds], m - 2
     if k > seeds:
-        of, pairs = exchange_all(bigrams, of, m - 2)
+        of, pairs = exchange_all(neighbours(bigrams), of, m - 2)
     else:
         pairs = np.zeros((m, m))
         np.add.at(pairs, (of[:, None], of[None, :]), table)
@@ -347,7 +351,7 @@ def train(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, h
     cls = np.full(len(words), m - 1)
     cls[chosen], cls[words == END] = of[:k], m - 2
     by = np.argsort(words)
-    model = {"words": words[by], "counts": c[by], "class": cls[by], "emission": emission[by], "moves": _log10(moves), "n": int(n), "v": int(v), "discount": discount, "other_n": other_n, "unseen": float(_log10((discount * other_v + 0.5) / (other_n + 0.5)))}
+    model = {"words": words[by], "counts": c[by], "class": cls[by], "emission": emission[by], "moves": _log10(moves), "n": int(n), "v": int(v), "discount": discount, "other_n": other_n, "unseen": float(_log10((discount + 0.5 / (other_v + 1)) / (other_n + 0.5)))}
     return model, counts
 
 
@@ -411,7 +415,7 @@ def score(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, h
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("text", F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"))
     fields = pa.struct([("doc_id", docs.select("doc_id").limit(0).toArrow().schema.field(0).type), ("held_out", pa.bool_()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-    parts = arrow_stage(rows, _score(spark.sparkContext.broadcast(model), fields), _PART.format(kind=kind))
+    parts = arrow_stage(rows, _score(put(spark, model), fields), _PART.format(kind=kind))
     d, low = float(model["discount"]), float(_log10(model["other_n"] + 0.5))
     rare = counts.where(F.col("c") < int(model["counts"].min())) if len(model["counts"]) else counts  # what isn't broadcast
     joined = parts.join(rare, "word", "left")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchyard.llm.base import arrow_stage, pull, text_blocks
+from matchyard.llm.base import arrow_stage, pull, put, text_blocks
 from matchyard.llm.labelled import held_out, sample
 from matchyard.llm.words import LOWER, mix, span_hashes, word_spans
 
@@ -164,7 +164,7 @@ def train(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = SAMPLE)
 
 def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs: doc_id, text and `keep`. One row per row: doc_id, held_out, score, predicted, `keep`. Null text is empty."""
-    weights = docs.sparkSession.sparkContext.broadcast(model)
+    weights = put(docs.sparkSession, model)
 
     def run(batches):
         for batch in batches:

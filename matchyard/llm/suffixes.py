@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchyard.llm.base import arrow_stage, BROADCAST_KEYS, ints, pull, stash, text_blocks
+from matchyard.llm.base import arrow_stage, BROADCAST_KEYS, ints, pull, put, stash, text_blocks
 from matchyard.llm.labelled import share
 from matchyard.llm.words import _BYTE, SEGMENT, mix, powers
 
@@ -335,7 +336,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     gone = None
     if 0 < n_gone <= BROADCAST_KEYS:
         pairs = pull(members.where("other").select("k1", "k2"))
-        gone = spark.sparkContext.broadcast(np.unique(pairs.k1.to_numpy() ^ mix(pairs.k2.to_numpy().view(np.uint64)).view(np.int64)))
+        gone = put(spark, np.unique(pairs.k1.to_numpy() ^ mix(pairs.k2.to_numpy().view(np.uint64)).view(np.int64)))
     elif n_gone:
         rows = rows.join(members.where("other").select("k1", "k2").distinct(), ["k1", "k2"], "left_anti").select("k1", "k2", "text")
 
@@ -357,13 +358,13 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     frame = pull(hot)
     order = np.argsort(frame.gram.to_numpy(np.int64).view(np.uint64))
     table = frame.gram.to_numpy(np.int64).view(np.uint64)[order], -(-frame.n.to_numpy(np.int64)[order] // floor)
-    put = spark.sparkContext.broadcast
+    share_out = partial(put, spark)
     some = pull(share(grams, SPLITTERS, "gram")).sort_values("gram")
     weight = np.cumsum(some.n.to_numpy(np.int64))
     buckets = BUCKETS * partitions
     edges = np.searchsorted(weight, weight[-1] * np.arange(1, buckets) / buckets) if len(weight) else np.zeros(0, int)
-    splitters = put(np.unique(some.gram.to_numpy(np.int64)[edges]))
-    runs = arrow_stage(rows, _runs(gone, put(bits), filter_bits, put(table), splitters), _RUNS)
+    splitters = share_out(np.unique(some.gram.to_numpy(np.int64)[edges]))
+    runs = arrow_stage(rows, _runs(gone, share_out(bits), filter_bits, share_out(table), splitters), _RUNS)
     bound = runs.repartition(partitions, "bucket").drop("bucket").sortWithinPartitions("gram", "part")
     found = arrow_stage(bound, _sort_buckets, "k1 long, k2 long, a long, b long")
     whole = members.select("k1", "k2", F.lit(0).cast("long").alias("a"), F.col("n").alias("b")).distinct()

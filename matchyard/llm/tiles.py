@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchyard.llm.base import arrow_stage, small, stash
+from matchyard.llm.base import arrow_stage, small, stash, trimmed
 from matchyard.llm.components import components
 from matchyard.llm.vectors import block, matrix, valid
 
@@ -120,7 +120,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     mine = F.pmod(F.xxhash64("row", F.lit(6)), F.col("tiles")).cast("int")
     dealt = unit.withColumn("tile", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("label", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "row", "unit")
-    found = stash(dealt.groupBy("label", "a", "b").applyInArrow(_multiply(threshold), "row long, n_links long, root long"), "links")
+    found = stash(dealt.groupBy("label", "a", "b").applyInArrow(trimmed(_multiply(threshold)), "row long, n_links long, root long"), "links")
     parts = components(found.select(F.col("row").alias("a"), F.col("root").alias("b")), what="parts")
     counts = found.groupBy("row").agg(F.sum("n_links").alias("n_links"))
     joined = stash(rows.select("row", "vec_id").join(counts, "row", "left").join(parts.withColumnRenamed("node", "row"), "row", "left"), "joined")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchyard.llm.base import arrow_stage, pull, stash
+from matchyard.llm.base import arrow_stage, pull, put, stash, trimmed
 from matchyard.llm.vectors import matrix, valid
 
 #: Best scores of a query; a query's id is divisible by EVERY; a component x becomes floor(SCALE * x).
@@ -111,7 +111,7 @@ def search(vectors: DataFrame, best: int = BEST, every: int = EVERY, scale: int
     for i, r in enumerate(chosen):
         centre[i, : len(r["v"])] = r["v"]
         centre[i, width] = np.sqrt(max(0.0, top - r["squares"]))
-    shared = spark.sparkContext.broadcast((centre, top))
+    shared = put(spark, (centre, top))
     keyed = stash(arrow_stage(rows.select("vec_id", "v"), _assign(shared), "vec_id long, v array<bigint>, pivot int, distance double, squares double"), "keyed")
 
     # Annuli of equal counts: distances at every `annulus`-th rank, by approximate quantiles; copies may share a bound,
@@ -128,7 +128,7 @@ def search(vectors: DataFrame, best: int = BEST, every: int = EVERY, scale: int
     keyed = stash(keyed, "rings")
     cells = pull(keyed.groupBy("pivot", "ring", "part").agg(F.min("distance").alias("lo"), F.max("distance").alias("hi"), F.count(F.lit(1)).alias("n"))).sort_values(["pivot", "ring", "part"], ignore_index=True)
     # The directory of cells is n / annulus rows of bounds; it is broadcast to the queries' tasks.
-    directory = spark.sparkContext.broadcast((centre, top, cells[["pivot", "ring", "part"]].to_numpy(np.int64), cells.lo.to_numpy(), cells.hi.to_numpy(), cells.n.to_numpy()))
+    directory = put(spark, (centre, top, cells[["pivot", "ring", "part"]].to_numpy(np.int64), cells.lo.to_numpy(), cells.hi.to_numpy(), cells.n.to_numpy()))
     queries = keyed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max("v").alias("v")).withColumnRenamed("vec_id", "query_id")
     queries = stash(queries.withColumn("query_row", F.col("query_id")), "queries")
 
@@ -176,7 +176,7 @@ def search(vectors: DataFrame, best: int = BEST, every: int = EVERY, scale: int
     base = keyed.select("vec_id", "v", *cell)
 
     def read(asked: DataFrame) -> DataFrame:
-        return asked.groupBy(*cell).cogroup(base.groupBy(*cell)).applyInArrow(_scan(best), "query_id long, vec_id long, score long")
+        return asked.groupBy(*cell).cogroup(base.groupBy(*cell)).applyInArrow(trimmed(_scan(best)), "query_id long, vec_id long, score long")
 
     def ranked(found: DataFrame) -> DataFrame:
         lists = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, best).alias("best"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchyard.llm.base import arrow_stage, ints, pull, text_blocks
+from matchyard.llm.base import arrow_stage, ints, pull, put, text_blocks
 from matchyard.llm.labelled import held_out, sample
 from matchyard.llm.words import LOWER, mix, span_hashes, word_spans
 
@@ -269,7 +271,7 @@ def _aggregates(model):
 def train(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = SAMPLE) -> dict:
     """Token labels come from document labels: tokens with a feature whose odds are much higher in toxic documents, beyond
     chance, are toxic there."""
-    put = spark.sparkContext.broadcast
+    share_out = partial(put, spark)
     rows = sample(spark, docs, sf_dir, "toxic", most)
     sides = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sides.get(1, 0), sides.get(0, 0)
@@ -281,12 +283,12 @@ def train(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = SAMPLE)
     top = pull(counts.withColumns({"odds": odds, "evidence": evidence}).orderBy(F.desc("evidence"), "feature").limit(VOCABULARY))
     vocabulary = np.sort(top.feature.to_numpy(np.int64).view(np.uint64))
     likely = np.sort(top.feature[(top.evidence >= LEAST_EVIDENCE) & (top.odds >= LEAST_ODDS)][:CANDIDATES].to_numpy(np.int64).view(np.uint64))
-    held = pull(arrow_stage(rows, _hits(put(likely)), "y int, ids binary"))
+    held = pull(arrow_stage(rows, _hits(share_out(likely)), "y int, ids binary"))
     holds = np.zeros((len(held), len(likely) + 1), bool)
     for i, ids in enumerate(held.ids):
         holds[i, np.frombuffer(ids, np.int32)] = True
     lexicon = likely[choose(holds[:, 1:], held.y.to_numpy())]
-    found = arrow_stage(rows, _training_chains(put(lexicon)), "words binary, tags binary, toxic boolean")
+    found = arrow_stage(rows, _training_chains(share_out(lexicon)), "words binary, tags binary, toxic boolean")
     clean = pull(found.where("not toxic").orderBy(F.xxhash64("words"), "words").limit(CLEAN_CHAINS))
     toxic = pull(found.where("toxic").orderBy(F.xxhash64("words"), "words").limit(CLEAN_CHAINS))
     both = [*zip(toxic.words, toxic.tags), *zip(clean.words, clean.tags)]
@@ -296,7 +298,7 @@ def train(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = SAMPLE)
     model = fit(features, np.cumsum(length) - length, length, tags, vocabulary)
     model["vocabulary"] = vocabulary
     if n_toxic and n_clean:
-        x = pull(arrow_stage(rows, _aggregates(put(model)), "y int, most double, total double")).sort_values(["y", "most", "total"])
+        x = pull(arrow_stage(rows, _aggregates(share_out(model)), "y int, most double, total double")).sort_values(["y", "most", "total"])
         model["document"] = calibrate(x[["most", "total"]].to_numpy(), x.y.to_numpy(float))
     else:
         rate = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
@@ -307,7 +309,7 @@ def train(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = SAMPLE)
 def score(docs: DataFrame, model: dict, spans: bool = False) -> DataFrame:
     """docs: doc_id, text. doc_id, held_out, score, predicted; with `spans` also `spans`, offsets in bytes of the text's
     UTF-8 form (begin, end, probability) of tokens that are toxic rather than not."""
-    weights = docs.sparkSession.sparkContext.broadcast(model)
+    weights = put(docs.sparkSession, model)
 
     def run(batches):
         for batch in batches:
