@@ -11,6 +11,8 @@ from matchyard.llm.base import running_before, small, stash
 WEIGHTS = (5, 2, 1)
 #: How often a document may be repeated in the mix.
 REPEATS = 3
+#: Words of a packet, the unit that is queued; the last packet of a document may be shorter.
+PACKET = 128
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
 
@@ -43,30 +45,42 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     return s.select("source_ix", "source", "source_size", target.alias("target"), "total")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, packet: int = PACKET, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs: doc_id, text, source, and the columns named in `keep`. One row per row of docs: doc_id, size, source_size,
     target, taken, and `keep`.
 
-    Each source's documents are shuffled by a hash of their id. Copy e of a document finishes at virtual time
-    (e * source size + words of the source up to its end) / target; all copies that start before time 1 are sorted by
-    that time over all sources and taken until the total budget, the words of all documents, is used. A document in
-    service at time 1 is cut there, so each source gets its target to the word. Null or empty text has size 0 and is
-    never taken; a null source is a source; a null doc_id is shuffled as an empty one; rows that repeat count each.
-    An empty table gives none."""
+    Each source's documents are shuffled by a hash of their id and queued `repeats` times over, in packets of at most
+    `packet` words. A packet that begins after s words of its queue and has k finishes at virtual time (s + k) / target.
+    All packets of all sources are range-sorted by that time, and taken from the front until the total budget, the words
+    of all documents, is used up; the packet on the edge is cut there. At time 1 every source has been served its target
+    but for the packet in service, so a source ends near its target: what is open then goes to the packets that finish
+    next. A document longer than a packet may be taken in part.
+
+    Packets that finish after time 1 + 2d, d = sources * packet / spare, are left out of the sort: spare is what all
+    sources together can serve beyond their targets by time 2, so by time 1 + d the budget is used up. Where that proves
+    nothing (d > 1) all packets are sorted.
+
+    Null or empty text has size 0 and is never taken; a null source is a source; a null doc_id is shuffled as an empty
+    one; rows that repeat count each; an empty table gives none."""
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{SEED}")))
     sizes = stash(docs.select("doc_id", "source", word_count("text").alias("size"), key.alias("key"), *keep), "sizes")
-    goals = stash(targets(sizes, weights, repeats), "targets")
+    goals = targets(sizes, weights, repeats)
+    spare = goals.agg(F.sum(F.greatest(F.lit(0.0), F.least("target", F.col("source_size") * repeats - F.col("target")))).alias("spare"), F.count(F.lit(1)).alias("sources"))
+    d = F.col("sources") * packet / F.col("spare")
+    horizon = F.when((F.col("spare") > 0) & (d <= 1), 1 + 2 * d)
+    goals = stash(goals.join(F.broadcast(spare.select(horizon.alias("horizon")))), "targets")
     rows = sizes.alias("a").join(small(goals).alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).drop("source")
     rows = rows.withColumn("at", F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(2.0**32))
     queued = stash(running_before(rows, ["source_ix"], "at", ["key", "doc_id", "size"], "size").withColumn("row", F.monotonically_increasing_id()), "queue")
     copies = queued.where("size > 0").withColumn("copy", F.explode(F.expr(f"sequence(0, {repeats - 1})")))
-    starts = F.col("copy") * F.col("source_size") + F.col("before")
-    copies = copies.withColumn("starts", starts).where("starts < target")
-    copies = copies.select("row", "source_ix", "copy", "total", F.least("size", F.floor("target") - F.col("starts")).alias("served"), ((F.col("starts") + F.col("size")) / F.col("target")).alias("finish"))
+    packets = copies.withColumn("packet", F.explode(F.expr(f"sequence(0, (size - 1) div {packet})")))
+    packets = packets.withColumn("starts", F.col("copy") * F.col("source_size") + F.col("before") + F.col("packet") * packet)
+    packets = packets.withColumn("length", F.least(F.lit(packet), F.col("size") - F.col("packet") * packet))
+    packets = packets.withColumn("finish", (F.col("starts") + F.col("length")) / F.col("target")).where("horizon is null or finish <= horizon")
     # Virtual time runs evenly in served words: equal slices of it are the ranges of the global sort.
-    copies = copies.withColumns({"all": F.lit(0), "at": F.least(F.col("finish") * 0.999, F.lit(0.9999))})
-    placed = running_before(stash(copies, "copies"), ["all"], "at", ["finish", "source_ix", "copy", "row"], "served")
-    taken = placed.withColumn("taken", F.greatest(F.lit(0), F.least("served", F.col("total") - F.col("before"))))
-    taken = taken.groupBy("row").agg(F.sum("taken").alias("taken"))
+    last = F.coalesce(F.col("horizon"), F.lit(2.0))
+    packets = packets.select("row", "source_ix", "starts", "total", "length", "finish", F.lit(0).alias("all"), F.least(F.col("finish") / last * 0.999, F.lit(0.9999)).alias("at"))
+    placed = running_before(stash(packets, "packets"), ["all"], "at", ["finish", "source_ix", "starts"], "length")
+    taken = placed.where("before < total").groupBy("row").agg(F.sum(F.least("length", F.col("total") - F.col("before"))).alias("taken"))
     out = queued.join(taken, "row", "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *keep)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right, insort
-from collections import defaultdict
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +18,11 @@ from matchyard.llm.base import arrow_stage, running_before, stash
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a Python worker keeps between batches.
-WORD_CACHE = 1_500_000
-#: Completions tried at a node, and nodes visited, before the best packing found so far is taken.
-BRANCH, NODES = 12, 20_000
+#: Words met in several texts whose ids a Python worker keeps, about 30 MB, and words that it keeps within
+#: a task until they are as many.
+WORD_CACHE, PASSING = 150_000, 250_000
+#: Nodes visited before the best packing found so far is taken.
+NODES = 20_000
 
 Pattern = tuple[tuple[int, int], ...]
 
@@ -71,53 +74,53 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def completions(sizes: list[int], left: dict[int, int], room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room`, fullest first. The last piece of a filling is always the longest that fits, and a
-    filling that one longer piece could replace is left out."""
-    at = bisect_right(sizes, room)
-    if not at:
-        return [()]
-    longest = sizes[at - 1]
-    found: dict[tuple[int, ...], int] = {(longest,): longest}
-    if longest == room:
-        return [(longest,)]  # an exact single piece dominates every other filling
-    budget = 400
-
-    def extend(chosen: tuple[int, ...], space: int, top: int) -> None:
-        nonlocal budget
-        i = bisect_right(sizes, min(space, top)) - 1
-        while i >= 0 and budget > 0:
-            x = sizes[i]
-            if chosen.count(x) < left[x]:
-                budget -= 1
-                new = (*chosen, x)
-                rest = space - x
-                if rest < sizes[0]:
-                    if room - rest > longest:
-                        found[new] = room - rest
-                    if not rest:
-                        return
-                    if chosen:
-                        return  # shorter last pieces are dominated
-                else:
-                    before = budget
-                    extend(new, rest, x)
-                    if before == budget and room - rest > longest:
-                        found[new] = room - rest
-                    if found and max(found.values()) == room and len(found) > most:
-                        return
-            i -= 1
-
-    extend((), room, room)
-    return sorted(found, key=lambda f: (-found[f], len(f), tuple(-x for x in f)))[:most]
-
-
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, branch: int = BRANCH, nodes: int = NODES) -> list[tuple[Pattern, int]]:
+def completions(sizes: list[int], left: dict[int, int], room: int, most_waste: int) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of `room` that waste `most_waste` at most, one by one, fullest first, then with the longest
+    pieces first. None is left out: a filling isn't given if a piece that is left would still fit into it, or if one
+    piece would fill the room exactly. The sums that can be reached with the shorter pieces lead the search, so that it
+    never runs into a dead end."""
+    usable = sizes[: bisect_right(sizes, room)]
+    if usable and usable[-1] == room:
+        yield (room,)
+        return
+    reach = [1]  # bit t of reach[i]: the first i lengths can be added up to t
+    for x in usable:
+        bits, n, step = reach[-1], min(left[x], room // x), 1
+        while n:
+            step = min(step, n)
+            bits |= bits << (x * step)
+            n -= step
+            step *= 2
+        reach.append(bits & ((2 << room) - 1))
+
+    def fill(i: int, total: int) -> Iterator[tuple[int, ...]]:
+        if not total:
+            yield ()
+            return
+        for j in range(bisect_right(usable, total, 0, i) - 1, -1, -1):
+            x = usable[j]
+            if not reach[j + 1] >> total & 1:
+                return
+            for n in range(min(left[x], total // x), 0, -1):
+                if reach[j] >> (total - n * x) & 1:
+                    for rest in fill(j, total - n * x):
+                        yield (x,) * n + rest
+
+    for waste in range(min(room, most_waste) + 1):
+        if reach[-1] >> (room - waste) & 1:
+            small_ones = usable[: bisect_right(usable, waste)]
+            for filling in fill(len(usable), room - waste):
+                if all(filling.count(x) == left[x] for x in small_ones):
+                    yield filling
+
+
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = NODES) -> list[tuple[Pattern, int]]:
     """Packs lengths (1 to capacity, with counts) into few sequences: (pattern, times).
 
-    Depth first: the longest piece left is filled up by each undominated completion in turn, as many times at once as
-    the counts allow. A branch ends when its waste exceeds what a packing one better than the incumbent could waste.
-    Best-fit decreasing is the first incumbent; `nodes` bounds the search, after which the incumbent stands."""
+    Depth first: the longest piece left is filled up by each undominated completion in turn, as often at once as
+    the counts allow, then once less, and so on. A branch ends when its waste exceeds what a packing one better than the
+    incumbent could waste. Best-fit decreasing is the first incumbent. `nodes` is the only bound of the search, after
+    which the incumbent stands; None searches until the optimum is proven, however long that takes."""
     counts = {k: n for k, n in counts.items() if n}
     best = best_fit(counts, capacity)
     best_n, floor = sum(n for _, n in best), lower_bound(counts, capacity)
@@ -126,23 +129,19 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, branch: int
     total = sum(k * n for k, n in counts.items())
     left, sizes = dict(counts), sorted(counts)
     path: list[tuple[tuple[int, ...], int]] = []
-    stack: list[list[tuple[int, ...]]] = []
     waste = bins = seen = 0
 
-    def options() -> list[tuple[int, ...]]:
+    def options() -> Iterator[tuple[tuple[int, ...], int]]:
         top = sizes[-1]
-        left[top] -= 1
-        out = completions([x for x in sizes if left[x]] if not left[top] else sizes, left, capacity - top, branch)
-        left[top] += 1
-        return [(top, *f) for f in reversed(out)]
+        own = dict(left) | {top: left[top] - 1}
+        for filling in completions([x for x in sizes if own[x]], own, capacity - top, (best_n - 1) * capacity - total - waste):
+            whole = (top, *filling)
+            for times in range(min(left[x] // n for x, n in Counter(whole).items()), 0, -1):
+                yield whole, times
 
-    def apply(filling: tuple[int, ...]) -> None:
+    def apply(filling: tuple[int, ...], times: int) -> None:
         nonlocal waste, bins
-        need = defaultdict(int)
-        for x in filling:
-            need[x] += 1
-        times = min(left[x] // n for x, n in need.items())
-        for x, n in need.items():
+        for x, n in Counter(filling).items():
             left[x] -= n * times
             if not left[x]:
                 sizes.pop(bisect_left(sizes, x))
@@ -153,28 +152,29 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, branch: int
     def undo() -> None:
         nonlocal waste, bins
         filling, times = path.pop()
-        for x in filling:
+        for x, n in Counter(filling).items():
             if not left[x]:
                 insort(sizes, x)
-            left[x] += times
+            left[x] += n * times
         waste -= (capacity - sum(filling)) * times
         bins -= times
 
-    stack.append(options())
-    while stack and seen < nodes:
-        if not stack[-1]:
+    stack = [options()]
+    while stack and (nodes is None or seen < nodes):
+        chosen = next(stack[-1], None)
+        if chosen is None:
             stack.pop()
             if path:
                 undo()
             continue
-        apply(stack[-1].pop())
+        apply(*chosen)
         seen += 1
         if not sizes:
             if bins < best_n:
                 best_n = bins
                 merged: dict[Pattern, int] = defaultdict(int)
                 for filling, times in path:
-                    merged[tuple((x, filling.count(x)) for x in sorted(set(filling), reverse=True))] += times
+                    merged[tuple(sorted(Counter(filling).items(), reverse=True))] += times
                 best = list(merged.items())
                 if best_n == floor:
                     break
@@ -188,31 +188,69 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, branch: int
 
 #: Stands between words that are encoded together: a word of its own that is one token, found in no other word.
 MARK = "\x01"
-_known: dict[str, dict[bytes, bytes]] = {}
-
-
-def encode_words(tokenizer, words: list[bytes]) -> dict[bytes, bytes]:
-    """Ids (little-endian, 4 bytes each) of words without ASCII white space. Many are encoded as one text, cut at MARK."""
-    out = {}
-    mark = tokenizer.encode(MARK, add_special_tokens=False).ids[0]
-    odd = [w for w in words if MARK.encode() in w]
-    plain = [w for w in words if MARK.encode() not in w] if odd else words
-    for i in range(0, len(plain), 4096):
-        some = plain[i : i + 4096]
-        ids = np.array(tokenizer.encode_batch_fast([f" {MARK} ".join(w.decode() for w in some)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = (np.flatnonzero(ids == mark) * 4).tolist()
-        raw = ids.tobytes()
-        out.update(zip(some, (raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)]))))
-    for w in odd:
-        out[w] = np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-    return out
 
 
+#: Words that normalisation leaves as they are and pre-tokenisation leaves whole.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
+#: What the vocabulary writes at the end of a token that ends a word.
+WORD_END = "</w>"
+
+
+class Encoder:
+    """A tokenizer, beside it one that skips what does nothing to plain words, and which ids end a word."""
+
+    def __init__(self, path: str):
+        from tokenizers import pre_tokenizers, Tokenizer
+
+        self.whole, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        ids = self.whole.get_vocab()
+        self.ends = np.zeros(max(ids.values()) + 1, bool)
+        for token, i in ids.items():
+            self.ends[i] = token.endswith(WORD_END)
+        self.mark = self.whole.encode(MARK, add_special_tokens=False).ids[0]
+
+    def ids(self, tokenizer, text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids (little-endian, 4 bytes each) of words without ASCII white space. Many are encoded as one text: plain words
+        are cut where a token ends a word, others at MARK, and those that hold MARK are encoded one by one."""
+        out, rest = {}, []
+        texts = [w.decode() for w in words]
+        plain = [(w, t) for w, t in zip(words, texts) if PLAIN.fullmatch(t)]
+        for i in range(0, len(plain), 4096):
+            some = plain[i : i + 4096]
+            ids = self.ids(self.plain, " ".join(t for _, t in some))
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(cuts) != len(some):  # a vocabulary that marks no ends
+                rest += some
+                continue
+            raw = ids.tobytes()
+            out.update((w, raw[a:b]) for (w, _), a, b in zip(some, [0, *cuts], cuts))
+        rest += [(w, t) for w, t in zip(words, texts) if w not in out] if len(out) < len(words) else []
+        marked = [(w, t) for w, t in rest if MARK not in t]
+        for i in range(0, len(marked), 4096):
+            some = marked[i : i + 4096]
+            ids = self.ids(self.whole, f" {MARK} ".join(t for _, t in some))
+            cuts = (np.flatnonzero(ids == self.mark) * 4).tolist()
+            raw = ids.tobytes()
+            out.update((w, raw[a:b]) for (w, _), a, b in zip(some, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)]))
+        for w, t in rest:
+            if MARK in t:
+                out[w] = self.ids(self.whole, t).tobytes()
+        return out
+
+
+#: What a worker keeps from task to task: an encoder and ids of words.
+_known: dict[str, tuple[Encoder, dict[bytes, bytes]]] = {}
+
 #: ASCII marks; the tokenizer always parts a run of them from a letter before it. (The apostrophe can belong to one after.)
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
 
 
-def learn(tokenizer, words: set[bytes], known: dict[bytes, bytes]) -> None:
+def learn(encoder: Encoder, words: set[bytes], known: dict[bytes, bytes]) -> None:
     """Adds words to `known`. A word that is letters and then marks gets the ids of the two parts, one after the other."""
     parted, fresh = [], set()
     for w in words:
@@ -223,53 +261,66 @@ def learn(tokenizer, words: set[bytes], known: dict[bytes, bytes]) -> None:
             fresh.update(x for x in (head, tail) if x not in known)
         else:
             fresh.add(w)
-    known.update(encode_words(tokenizer, list(fresh)))
+    known.update(encoder.encode_words(list(fresh)))
     for w, head, tail in parted:
         known[w] = known[head] + known[tail]
 
 
 def tokenize(path: str, capacity: int, payload: bool):
     """A mapInArrow function: (row, doc_id, text) to pieces. Ids are looked up by words between ASCII white space; the
-    tokenizer drops white space and never joins words over it, so that is exact. A worker keeps the ids of words."""
+    tokenizer drops white space and never joins words over it, so that is exact. A worker keeps the ids of words that
+    several texts hold, WORD_CACHE of them at most; where fewer than half of the words are known, it starts anew."""
 
     def run(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        known = _known.setdefault(path, {})
+        if path not in _known:
+            _known[path] = Encoder(path), {}
+        encoder, known = _known[path]
         end = (0).to_bytes(4, "little")
         types = (pa.int64(), None, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         names = ("row", "doc_id", "piece", "start", "length", "ids_crc32", "ids")
         keep = 7 if payload else 6
+        passing: dict[bytes, bytes] = {}
         for batch in batches:
+            asked = missed = 0
             out: list[list] = [[], [], [], [], [], [], []]
             texts = batch.column(2).cast(pa.large_binary() if pa.types.is_large_string(batch.schema.field(2).type) else pa.binary())
-            for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
-                text = text.as_py() or b""
+            for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts.to_pylist()):
+                text = text or b""
                 if not (b"<|" in text or b"\xcc" in text or b"\xcd" in text):
                     text = text.lower()  # the tokenizer does so too; only its own marks and combining marks come before
                 words = text.split()
                 found = list(map(known.get, words))
+                asked += len(words)
                 if None in found:
-                    if len(known) > WORD_CACHE:
-                        known.clear()
-                    learn(tokenizer, {w for w in words if w not in known}, known)
-                    found = map(known.__getitem__, words)
+                    at = [i for i, f in enumerate(found) if f is None]
+                    missed += len(at)
+                    if len(passing) > PASSING:
+                        passing.clear()
+                    missing = {words[i] for i in at}
+                    seen = [w for w in missing if w in passing]
+                    if len(known) < WORD_CACHE:
+                        known.update((w, passing[w]) for w in seen)
+                    if len(seen) < len(missing):
+                        learn(encoder, missing.difference(seen), passing)
+                    for i in at:
+                        found[i] = passing[words[i]]
                 ids = b"".join([*found, end])
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for column, x in zip(out, (row, doc, piece, at // 4, len(part) // 4, zlib.crc32(part), part if payload else None)):
                         column.append(x)
             arrays = [pa.array(x, t or batch.schema.field(1).type) for x, t in zip(out, types)]
+            if len(known) >= WORD_CACHE and 2 * missed > asked:  # another kind of text
+                known.clear()
             yield pa.RecordBatch.from_arrays(arrays[:keep], names=names[:keep])
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, payload: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, payload: bool = False, nodes: int | None = NODES) -> DataFrame:
     """docs: doc_id, text. One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and `ids`,
     little-endian, with `payload`).
 
@@ -288,7 +339,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     at = (F.xxhash64("row", "doc_id", "piece").bitwiseAND(F.lit((1 << 52) - 1)).cast("double")) / F.lit(2.0**52)
     pieces = stash(pieces.withColumns({"at": at, "one": F.lit(1)}), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    patterns = sorted(bin_completion(counts, capacity)) if counts else []
+    patterns = sorted(bin_completion(counts, capacity, nodes)) if counts else []
     # For each length: from which rank on, which pattern, its first sequence, copies in a sequence and first offset.
     table, given, base = [], defaultdict(int), 0
     for pattern, times in patterns:

@@ -69,16 +69,22 @@ l AS (
   SELECT *, SUM(CASE WHEN capped THEN cap ELSE 0 END) OVER () AS capped_size,
          SUM(CASE WHEN capped THEN weight ELSE 0 END) OVER () AS capped_weight FROM c),
 t AS (
-  SELECT source, source_size, CASE WHEN capped THEN CAST(cap AS DOUBLE)
+  SELECT source, ix, total, source_size, CASE WHEN capped THEN CAST(cap AS DOUBLE)
          ELSE CAST(total - capped_size AS DOUBLE) / NULLIF(all_weight - capped_weight, 0) * weight END AS target FROM l),
 q AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.ix, t.total, ROW_NUMBER() OVER () AS rowid,
          COALESCE(SUM(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
-  FROM sizes d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(GREATEST(0, LEAST(size, floor(target) - b)) + GREATEST(0, LEAST(size, floor(target) - source_size - b))
-          + GREATEST(0, LEAST(size, floor(target) - 2 * source_size - b)) AS BIGINT) AS taken
-FROM q
+  FROM sizes d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (  -- packets of three copies
+  SELECT q.rowid, q.ix, q.target, q.total, c * q.source_size + q.b + k * 128 AS starts, LEAST(128, q.size - k * 128) AS length
+  FROM q, UNNEST(range(3)) AS cs(c), UNNEST(range((q.size + 127) // 128)) AS ks(k) WHERE q.size > 0),
+f AS (SELECT *, CAST(starts + length AS DOUBLE) / target AS finish FROM p),
+g AS (  -- words of all sources that finish earlier
+  SELECT rowid, length, total, COALESCE(SUM(length) OVER (ORDER BY finish, ix, starts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sooner
+  FROM f),
+k AS (SELECT rowid, SUM(GREATEST(0, LEAST(length, total - sooner))) AS taken FROM g GROUP BY rowid)
+SELECT q.doc_id, q.size, q.source_size, q.target, CAST(COALESCE(k.taken, 0) AS BIGINT) AS taken
+FROM q LEFT JOIN k USING (rowid)
 """
 
 ORACLE_SQL = {"op9_source_mixing": OP9_SQL}

@@ -99,23 +99,59 @@ def test_bin_completion_beats_or_equals_best_fit():
         assert used == counts
         n, fit = sum(t for _, t in found), sum(t for _, t in packing.best_fit(counts, 60))
         assert packing.lower_bound(counts, 60) <= n <= fit
-    # best-fit decreasing takes three sequences of 10 for 6, 5, 3, 3, 2, 1; two are enough
-    assert sum(t for _, t in packing.bin_completion({6: 1, 5: 1, 3: 2, 2: 1, 1: 1}, 10)) == 2
+    # best-fit decreasing takes three sequences of 10 for 5, 4, 3, 3, 3, 2; two are enough
+    assert sum(t for _, t in packing.bin_completion({5: 1, 4: 1, 3: 3, 2: 1}, 10)) == 2
+
+
+def fewest(lengths, capacity):
+    """Sequences of an optimal packing, by trying everything."""
+    best = len(lengths)
+
+    def put(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for k in {r: k for k, r in enumerate(rooms) if r >= lengths[i]}.values():
+            put(i + 1, [*rooms[:k], rooms[k] - lengths[i], *rooms[k + 1 :]])
+        put(i + 1, [*rooms, capacity - lengths[i]])
+
+    put(0, [])
+    return best
+
+
+def test_bin_completion_is_optimal_without_a_bound():
+    rng = np.random.default_rng(21)
+    better = 0
+    for _ in range(300):
+        lengths = sorted((int(x) for x in rng.integers(3, 19, rng.integers(4, 11))), reverse=True)
+        n = sum(t for _, t in packing.bin_completion(Counter(lengths), 20, None))
+        assert n == fewest(lengths, 20), lengths
+        better += n < sum(t for _, t in packing.best_fit(Counter(lengths), 20))
+    assert better
+
+
+def test_bin_completion_beats_best_fit_on_a_table(spark):
+    docs = spark.createDataFrame([(i, " ".join(["a"] * (n - 1))) for i, n in enumerate((5, 4, 3, 3, 3, 2))], "doc_id long, text string")
+    got = packing.pack(docs, capacity=10).collect()
+    assert len({r["sequence_id"] for r in got}) == 2 and sum(t for _, t in packing.best_fit(Counter(r["length"] for r in got), 10)) == 3
 
 
 def test_words_are_encoded_as_in_the_text():
     from public_tokenizers import path
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path("word_bpe_49k.json"))
+    t, encoder = Tokenizer.from_file(path("word_bpe_49k.json")), packing.Encoder(path("word_bpe_49k.json"))
     rng = np.random.default_rng(3)
-    parts = [*"aÉß'S1٣.,!\x01\x00\x1c\x85\xa0 ́ΣςΑİ中🙂‍<|>", " ", "\n", "\x0b", "<|endoftext|>", "<|ENDOFTEXT|>", "'re", "J̌", "क़"]
+    parts = ["long", "wörter", "aé", *"aÉß'S1٣.,!\x01\x00\x1c\x85\xa0 ́ΣςΑİ中🙂‍<|>", " ", "\n", "\x0b", "<|endoftext|>", "<|ENDOFTEXT|>", "'re", "J̌", "क़"]
     for _ in range(3000):
         text = "".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(0, 30)))
         raw = text.encode()
         raw = raw if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw else raw.lower()
         known = {}
-        packing.learn(t, set(raw.split()), known)
+        packing.learn(encoder, set(raw.split()), known)
         assert b"".join(known[w] for w in raw.split()) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
@@ -316,16 +352,39 @@ def test_mixing(docs, rows):
     # rows of one source are told apart by their source's size and target
     want = Counter((r[0], len(WORD.findall(r[1] or "")), sizes[r[3]], round(target[r[3]], 6)) for r in rows)
     assert Counter((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6)) for r in got) == want
-    assert all(0 <= r["taken"] <= 3 * r["size"] for r in got) and abs(sum(r["taken"] for r in got) - total) <= len(order)
-    again = Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix(docs.repartition(5)).collect())
-    assert again == Counter((r["doc_id"], r["size"], r["taken"]) for r in got)
-
-
-def test_mixing_takes_each_source_to_its_target(spark):
-    rows = [(i, "w " * (1 + i % 40), f"s{i % 6}") for i in range(600)]
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
-    for _, g in got.groupby(got.doc_id % 6):
-        assert g.target.nunique() == 1 and abs(g.taken.sum() - g.target.iloc[0]) <= 1.001
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in got) and sum(r["taken"] for r in got) == total
+    for packet in (7, 1024):
+        want = queue(rows, sizes, target, order, packet)
+        again = Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix(docs.repartition(5), packet=packet).collect())
+        assert again == want
+
+
+def queue(rows, sizes, target, order, packet):
+    """Fair queueing in plain Python: packets of all sources by finish time, until the words of all rows are used up."""
+    queues = {s: [] for s in order}
+    for i, (doc, text, _, source, _) in enumerate(rows):
+        key = hashlib.md5(f"{'' if doc is None else doc}:{mixing.SEED}".encode()).hexdigest()
+        queues[source].append((key, doc or 0, len(WORD.findall(text or "")), i))
+    packets, taken, left = [], Counter(), sum(sizes.values())
+    for ix, s in enumerate(order):
+        at = 0
+        for _ in range(3):
+            for _, _, size, i in sorted(queues[s]):
+                for k in range(0, size, packet):
+                    n = min(packet, size - k)
+                    packets.append(((at + k + n) / target[s], ix, at + k, n, i))
+                at += size
+    for _, _, _, n, i in sorted(packets):
+        taken[i] += min(n, left)
+        left -= min(n, left)
+    return Counter((r[0], len(WORD.findall(r[1] or "")), taken[i]) for i, r in enumerate(rows))
+
+
+def test_mixing_takes_each_source_near_its_target(spark):
+    rows = [(i, "w " * (1 + i % 40), f"s{i % 6}") for i in range(600)] + [(900, "w " * 5000, "s1")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), packet=16).toPandas()
+    for _, g in got.groupby(got.doc_id % 6 * (got.doc_id < 900) + (got.doc_id == 900)):
+        assert g.target.nunique() == 1 and abs(g.taken.sum() - g.target.iloc[0]) <= 16 * 6
 
 
 def test_lm_counts_and_base(docs, rows):
