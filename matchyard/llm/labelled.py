@@ -22,9 +22,20 @@ def share(rows: DataFrame, most: int, column: str = "doc_id") -> DataFrame:
     return rows.where(spread < int((1 << 52) * most / n))
 
 
-def sample(spark: SparkSession, docs: DataFrame, sf_dir: str, label: str, most: int) -> DataFrame:
-    """(text, y) of about `most` labelled documents that aren't held out. Of several labels of a document the highest
-    counts; the ids, at most about `most`, are broadcast, so the documents aren't shuffled."""
+def labels_of(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """(doc_id, y) of labelled documents that aren't held out. Of several labels of a document the highest counts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col(label).cast("int").alias("y"))
-    labels = labels.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("y").alias("y"))
-    return docs.select("doc_id", "text").join(F.broadcast(share(labels, most)), "doc_id").select("text", "y")
+    return labels.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
+def sample(spark: SparkSession, docs: DataFrame, sf_dir: str, label: str, most: int, by_label: bool = False) -> DataFrame:
+    """(text, y) of about `most` labelled documents that aren't held out; with `by_label` half of them of each label, as
+    far as there are. The ids, at most about `most`, are broadcast, so the documents aren't shuffled."""
+    labels = labels_of(spark, sf_dir, label)
+    if by_label:
+        rarer = min((labels.where(F.col("y") == y).count() for y in (0, 1)), default=0)
+        each = max(most // 2, most - rarer)
+        few = share(labels.where("y = 1"), each).unionByName(share(labels.where("y = 0"), each))
+    else:
+        few = share(labels, most)
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "y")

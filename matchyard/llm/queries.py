@@ -38,7 +38,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.classify(spark, documents(spark, sf_dir), sf_dir)
+    return toxicity.classify(spark, documents(spark, sf_dir), sf_dir, spans=True)
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,21 +9,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchyard.llm.base import arrow_stage, ints, pull, put, text_blocks
-from matchyard.llm.labelled import held_out, sample
+from matchyard.llm.base import arrow_stage, ints, pull, put, stash, text_blocks
+from matchyard.llm.labelled import held_out, labels_of, sample
 from matchyard.llm.words import LOWER, mix, span_hashes, word_spans
 
-#: Labelled documents to learn from (about); features with a weight of their own; tokens of a chain.
-SAMPLE, VOCABULARY, CHAIN = 8000, 50_000, 64
+#: Labelled documents to learn from (about, shared between the labels); features with a weight of their own.
+SAMPLE, VOCABULARY = 8000, 50_000
+#: Tokens that are stepped through at once; a document is one chain over as many pieces as it takes.
+PIECE = 64
 #: Bytes of the prefixes that are features beside the word itself.
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 #: A token of a toxic document is labelled toxic if a feature of it has odds so much higher among toxic documents, and a
 #: log likelihood ratio against chance of so much.
 LEAST_ODDS, LEAST_EVIDENCE = 12.0, 7.0
 #: Features that may be chosen, those with the most evidence.
 CANDIDATES = 3000
-#: Chains without a toxic label that training sees at most.
-CLEAN_CHAINS, EPOCHS = 12_000, 40
+#: Tokens of the documents, toxic and clean, that the field is fit on: whole documents of the sample up to so many.
+TOKENS, EPOCHS = 400_000, 40
 #: From which document score on a document counts as toxic.
 THRESHOLD = 0.7
 
@@ -50,87 +52,116 @@ def _ids(vocabulary: np.ndarray, features: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == features, at + 1, 0)
 
 
-def chains(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and length of the chains: each document's tokens in pieces of CHAIN."""
+def pieces(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, length and document of the pieces of all documents' tokens."""
     n = np.diff(first)
-    count = -(-n // CHAIN)
+    count = -(-n // PIECE)
     doc = np.repeat(np.arange(len(n)), count)
     nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    begin = first[doc] + nth * CHAIN
-    return begin, np.minimum(CHAIN, first[doc + 1] - begin)
-
-
-def forward_backward(emission: np.ndarray, length: np.ndarray, start: np.ndarray, moves: np.ndarray):
-    """emission: [chains, CHAIN] log-odds of state 1. Marginals of state 1, pair marginals summed, log partition.
-
-    Both passes step through all chains at once; the two states' sums are kept normalised, so nothing overflows."""
-    n, steps = emission.shape
-    psi = np.stack([np.ones_like(emission), np.exp(np.clip(emission, -30, 30))], axis=2)
-    m = np.exp(moves)
-    alpha = np.empty((steps, n, 2))
-    log_z = np.zeros(n)
-    live = np.arange(steps)[:, None] < length
-    a = np.exp(start) * psi[:, 0]
-    for t in range(steps):
-        if t:
-            new = (a @ m) * psi[:, t]
-            a = np.where(live[t][:, None], new, a)
-        total = a.sum(axis=1, keepdims=True)
-        a = a / total
-        log_z += np.where(live[t], np.log(total[:, 0]), 0)
+    begin = first[doc] + nth * PIECE
+    return begin, np.minimum(PIECE, first[doc + 1] - begin), doc
+
+
+def forward_backward(emission: np.ndarray, first: np.ndarray, start: np.ndarray, moves: np.ndarray):
+    """emission: log-odds of state 1 of all tokens. Marginals of state 1, pair marginals summed, log partition by document.
+
+    Each document is one chain. All pieces are stepped through at once, first for what a piece makes of either state
+    that comes in; then states are carried from piece to piece, and steps within the pieces give the marginals. Sums
+    are kept normalised, so nothing overflows."""
+    begin, length, doc = pieces(first)
+    n, gamma, pairs, log_z = len(begin), np.zeros(len(emission)), np.zeros((2, 2)), np.zeros(len(first) - 1)
+    if not n:
+        return gamma, pairs, log_z
+    at = begin[:, None] + np.arange(PIECE)
+    live = np.arange(PIECE) < length[:, None]
+    odds = np.exp(np.clip(np.where(live, emission[np.minimum(at, len(emission) - 1)], 0), -30, 30))
+    psi = np.stack([np.ones_like(odds), odds], axis=2)
+    m, e0 = np.exp(moves), np.exp(start)
+
+    carry = np.tile(np.eye(2), (n, 1, 1))  # [piece, state that comes in, state now]
+    scale = np.zeros(n)
+    for t in range(int(length.max())):
+        new = (carry @ m if t else carry) * psi[:, t, None, :]
+        total = new.sum(axis=(1, 2))
+        on = live[:, t]
+        carry = np.where(on[:, None, None], new / total[:, None, None], carry)
+        scale += np.where(on, np.log(total), 0)
+    nth = np.arange(n) - np.searchsorted(doc, doc)
+    by = np.argsort(nth, kind="stable")
+    rounds = np.searchsorted(nth[by], np.arange(nth.max() + 2))
+    enter, leave = np.tile(e0, (n, 1)), np.ones((n, 2))
+    for j in range(len(rounds) - 1):
+        some = by[rounds[j] : rounds[j + 1]]
+        if j:
+            out = (enter[some - 1, None, :] @ carry[some - 1])[:, 0]
+            total = out.sum(axis=1, keepdims=True)
+            log_z += np.bincount(doc[some], np.log(total[:, 0]) + scale[some - 1], minlength=len(log_z))
+            enter[some] = (out / total) @ m
+    last = np.append(doc[1:] != doc[:-1], True)
+    log_z += np.bincount(doc[last], np.log((enter[last, None, :] @ carry[last])[:, 0].sum(axis=1)) + scale[last], minlength=len(log_z))
+    for j in range(len(rounds) - 2, 0, -1):
+        some = by[rounds[j] : rounds[j + 1]]
+        back = (carry[some] @ leave[some][:, :, None])[:, :, 0] @ m.T
+        leave[some - 1] = back / back.sum(axis=1, keepdims=True)
+
+    alpha = np.empty((PIECE, n, 2))
+    a = enter
+    for t in range(int(length.max())):
+        new = (a @ m if t else a) * psi[:, t]
+        a = np.where(live[:, t, None], new / new.sum(axis=1, keepdims=True), a)
         alpha[t] = a
-    beta = np.ones((n, 2))
-    gamma = np.zeros((n, steps))
-    pairs = np.zeros((2, 2))
-    for t in range(steps - 1, -1, -1):
+    beta, found = leave, np.zeros((n, PIECE))
+    for t in range(int(length.max()) - 1, -1, -1):
         g = alpha[t] * beta
-        gamma[:, t] = np.where(live[t], g[:, 1] / g.sum(axis=1), 0)
+        found[:, t] = g[:, 1] / g.sum(axis=1)
+        onward = psi[:, t] * beta
+        inside = live[:, t]
         if t:
-            onward = psi[:, t] * beta
-            joint = alpha[t - 1][:, :, None] * m * onward[:, None, :]
-            joint /= joint.sum(axis=(1, 2), keepdims=True)
-            pairs += joint[live[t]].sum(axis=0)
-            back = onward @ m.T
-            beta = np.where(live[t][:, None], back / back.sum(axis=1, keepdims=True), beta)
+            before, ok = alpha[t - 1], inside
+        else:  # the last token of the piece before
+            ok = inside & (nth > 0)
+            before = np.vstack([np.ones((1, 2)), a[:-1]])
+        joint = before[:, :, None] * m * onward[:, None, :]
+        pairs += (joint / joint.sum(axis=(1, 2), keepdims=True))[ok].sum(axis=0)
+        back = onward @ m.T
+        beta = np.where(inside[:, None], back / back.sum(axis=1, keepdims=True), beta)
+    gamma[at[live]] = found[live]
     return gamma, pairs, log_z
 
 
-def _grid(values: np.ndarray, begin: np.ndarray, length: np.ndarray, fill) -> np.ndarray:
-    at = begin[:, None] + np.arange(CHAIN)
-    inside = np.arange(CHAIN) < length[:, None]
-    if values.ndim == 2:
-        inside = inside[:, :, None]
-    return np.where(inside, values[np.minimum(at, len(values) - 1)], fill)
-
-
-def fit(features: np.ndarray, begin: np.ndarray, length: np.ndarray, tags: np.ndarray, vocabulary: np.ndarray, epochs: int = EPOCHS) -> dict:
-    """Adam on the log likelihood of the tags given the tokens, with an L2 penalty. A token's log-odds are a bias and its
-    features' weights."""
+def fit(features: np.ndarray, first: np.ndarray, tags: np.ndarray, vocabulary: np.ndarray, epochs: int = EPOCHS) -> dict:
+    """Adam on the log likelihood of the tags given the tokens of whole documents, with an L2 penalty. A token's log-odds
+    are a bias and its features' weights."""
     ids = _ids(vocabulary, features)
     w = {"word": np.zeros(len(vocabulary) + 1), "bias": np.full(1, -4.0), "start": np.zeros(2), "moves": np.zeros((2, 2))}
-    if not len(begin) or not tags.any():
+    length = np.diff(first)
+    some = np.flatnonzero(length)
+    if not len(some) or not tags.any():
         return w
     m, v, step = {k: np.zeros_like(p) for k, p in w.items()}, {k: np.zeros_like(p) for k, p in w.items()}, 0
     rng = np.random.default_rng(8)
     for epoch in range(epochs):
-        order = rng.permutation(len(begin))
-        for i in range(0, len(order), 2048):
-            some = order[i : i + 2048]
-            b, n = begin[some], length[some]
-            word = _grid(ids, b, n, 0)
-            tag = _grid(tags, b, n, 0)
-            inside = np.arange(CHAIN) < n[:, None]
-            gamma, pairs, _ = forward_backward(np.where(inside, w["word"][word].sum(axis=2) + w["bias"], 0), n, w["start"], w["moves"])
-            diff = np.where(inside, gamma - tag, 0)
-            seen = np.zeros((2, 2))
-            np.add.at(seen, (tag[:, :-1][inside[:, 1:]], tag[:, 1:][inside[:, 1:]]), 1)
-            g0 = np.array([1 - gamma[:, 0], gamma[:, 0]]).sum(axis=1) - np.bincount(tag[:, 0], minlength=2)
-            word_gradient = np.bincount(word.ravel(), np.repeat(diff.ravel(), word.shape[2]), minlength=len(w["word"]))
+        order = rng.permutation(some)
+        part = np.cumsum(length[order]) // 100_000  # documents of about so many tokens together
+        for docs in np.split(order, np.flatnonzero(np.diff(part)) + 1):
+            n = length[docs]
+            ends = np.cumsum(n)
+            at = np.arange(ends[-1]) + np.repeat(first[docs] - (ends - n), n)
+            begins = np.append(0, ends)
+            word, tag = ids[at], tags[at]
+            gamma, pairs, _ = forward_backward(w["word"][word].sum(axis=1) + w["bias"], begins, w["start"], w["moves"])
+            diff = gamma - tag
+            inner = np.ones(len(tag), bool)
+            inner[begins[:-1]] = False
+            seen = np.bincount(2 * tag[:-1][inner[1:]] + tag[1:][inner[1:]], minlength=4).reshape(2, 2)
+            g1 = gamma[begins[:-1]]
+            g0 = np.array([(1 - g1).sum(), g1.sum()]) - np.bincount(tag[begins[:-1]], minlength=2)
+            word_gradient = np.bincount(word.ravel(), np.repeat(diff, word.shape[1]), minlength=len(w["word"]))
             word_gradient[0] = 0
             grads = {"word": word_gradient, "bias": np.array([diff.sum()]), "start": g0, "moves": pairs - seen}
             step += 1
             for k, grad in grads.items():
-                grad = grad / len(some) + 1e-6 * w[k]
+                grad = grad / (len(tag) / PIECE) + 1e-6 * w[k]
                 m[k] = 0.9 * m[k] + 0.1 * grad
                 v[k] = 0.999 * v[k] + 0.001 * grad * grad
                 w[k] -= 0.2 * 0.5 ** (epoch / 15) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
@@ -139,17 +170,8 @@ def fit(features: np.ndarray, begin: np.ndarray, length: np.ndarray, tags: np.nd
 
 def marginals(model: dict, features: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Probability that each token is toxic."""
-    out = np.zeros(len(features))
-    if not len(features):
-        return out
     emission = model["bias"][0] + model["word"][_ids(model["vocabulary"], features)].sum(axis=1)
-    begin, length = chains(first)
-    for i in range(0, len(begin), 8192):
-        b, n = begin[i : i + 8192], length[i : i + 8192]
-        gamma, _, _ = forward_backward(_grid(emission, b, n, 0.0), n, model["start"], model["moves"])
-        inside = np.arange(CHAIN) < n[:, None]
-        out[(b[:, None] + np.arange(CHAIN))[inside]] = gamma[inside]
-    return out
+    return forward_backward(emission, first, model["start"], model["moves"])[0]
 
 
 def aggregate(p: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -161,14 +183,14 @@ def aggregate(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([most, np.log1p(total)], axis=1)
 
 
-def calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression of the label on the aggregates, by Newton's method with a small penalty."""
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Logistic regression of the label on the aggregates, by Newton's method with a small penalty; rows are weighted."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(3)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([0.1, 0.1, 1e-3])
-        w -= np.linalg.solve(h, x.T @ (p - y) + np.array([0.1, 0.1, 1e-3]) * w)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([0.1, 0.1, 1e-3])
+        w -= np.linalg.solve(h, x.T @ (weight * (p - y)) + np.array([0.1, 0.1, 1e-3]) * w)
     return w
 
 
@@ -221,6 +243,8 @@ def choose(holds: np.ndarray, y: np.ndarray) -> np.ndarray:
     n_clean = float((y == 0).sum())
     while True:
         total = weight.sum()
+        if not total or not n_clean:
+            return np.array(sorted(chosen), int)
         k = weight @ toxic
         rate, n = total / (total + n_clean), k + clean
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -235,8 +259,8 @@ def choose(holds: np.ndarray, y: np.ndarray) -> np.ndarray:
         weight = weight * np.where(toxic[:, best] > 0, 0.5, 1)
 
 
-def _training_chains(lexicon):
-    """Chains of the sample: features, tags as bytes, and whether any token is tagged."""
+def _tagged(lexicon):
+    """Documents of the sample: label, features, tags as bytes, number of tokens."""
 
     def run(batches):
         for batch in batches:
@@ -246,11 +270,11 @@ def _training_chains(lexicon):
                 features, _, _, first = tokens(data, offsets)
                 doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 tags = np.isin(features, lexicon.value).any(axis=1) & (y[row + doc] == 1)
-                for b, n in zip(*chains(first)):
-                    out[0].append(features[b : b + n].tobytes())
-                    out[1].append(tags[b : b + n].astype(np.uint8).tobytes())
-                    out[2].append(bool(tags[b : b + n].any()))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.bool_())], names=["words", "tags", "toxic"])
+                for a, b in zip(first[:-1], first[1:]):
+                    out[0].append(features[a:b].tobytes())
+                    out[1].append(tags[a:b].astype(np.uint8).tobytes())
+                    out[2].append(b - a)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], names=["y", "words", "tags", "n"])
 
     return run
 
@@ -272,9 +296,10 @@ def train(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = SAMPLE)
     """Token labels come from document labels: tokens with a feature whose odds are much higher in toxic documents, beyond
     chance, are toxic there."""
     share_out = partial(put, spark)
-    rows = sample(spark, docs, sf_dir, "toxic", most)
+    rows = stash(sample(spark, docs, sf_dir, "toxic", most, by_label=True), "labelled")
     sides = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sides.get(1, 0), sides.get(0, 0)
+    all_sides = {r["y"]: r["n"] for r in labels_of(spark, sf_dir, "toxic").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = arrow_stage(rows, _feature_counts, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic + clean > 1")
     odds = (F.col("toxic") + 0.5) / (n_toxic - F.col("toxic") + 0.5) / ((F.col("clean") + 0.5) / (n_clean - F.col("clean") + 0.5))
     rate, n = n_toxic / max(1, n_toxic + n_clean), F.col("toxic") + F.col("clean")
@@ -288,19 +313,26 @@ def train(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = SAMPLE)
     for i, ids in enumerate(held.ids):
         holds[i, np.frombuffer(ids, np.int32)] = True
     lexicon = likely[choose(holds[:, 1:], held.y.to_numpy())]
-    found = arrow_stage(rows, _training_chains(share_out(lexicon)), "words binary, tags binary, toxic boolean")
-    clean = pull(found.where("not toxic").orderBy(F.xxhash64("words"), "words").limit(CLEAN_CHAINS))
-    toxic = pull(found.where("toxic").orderBy(F.xxhash64("words"), "words").limit(CLEAN_CHAINS))
-    both = [*zip(toxic.words, toxic.tags), *zip(clean.words, clean.tags)]
+    tagged = stash(arrow_stage(rows, _tagged(share_out(lexicon)), "y int, words binary, tags binary, n long"), "tagged")
+    both = []
+    for side in (1, 0):  # whole documents of each label by a hash, as many as their tokens allow
+        of_side = tagged.where(F.col("y") == side)
+        n = of_side.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        spread = F.xxhash64("words", F.lit(17)).bitwiseAND(F.lit((1 << 52) - 1))
+        got = pull(of_side.where(spread <= int((1 << 52) * min(1.0, TOKENS / max(1, n)))).select("words", "tags").orderBy("words"))
+        both += zip(got.words, got.tags)
     features = np.frombuffer(b"".join(x for x, _ in both), np.uint64).reshape(-1, 1 + len(PREFIXES))
     tags = np.frombuffer(b"".join(t for _, t in both), np.uint8).astype(int)
-    length = np.array([len(t) for _, t in both], int)
-    model = fit(features, np.cumsum(length) - length, length, tags, vocabulary)
+    model = fit(features, np.concatenate([[0], np.cumsum([len(t) for _, t in both])]).astype(int), tags, vocabulary)
     model["vocabulary"] = vocabulary
     if n_toxic and n_clean:
         x = pull(arrow_stage(rows, _aggregates(share_out(model)), "y int, most double, total double")).sort_values(["y", "most", "total"])
-        model["document"] = calibrate(x[["most", "total"]].to_numpy(), x.y.to_numpy(float))
+        y = x.y.to_numpy(float)
+        # the sample holds more of the rarer label than the labels do
+        weight = np.where(y == 1, all_sides[1] / n_toxic, all_sides[0] / n_clean)
+        model["document"] = calibrate(x[["most", "total"]].to_numpy(), y, weight / weight.mean())
     else:
+        n_toxic, n_clean = all_sides.get(1, 0), all_sides.get(0, 0)
         rate = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
         model["document"] = np.array([0, 0, np.log(rate / (1 - rate))])
     return model
@@ -338,8 +370,8 @@ def score(docs: DataFrame, model: dict, spans: bool = False) -> DataFrame:
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str, spans: bool = False) -> DataFrame:
     """Trains on the labelled documents that aren't held out and scores every row of docs over its whole text.
 
-    Chains are 64 tokens of a document; forward-backward gives each token's marginal, and a logistic regression on the
-    largest and the sum gives the document's score. Empty and null text has no tokens and the score of no evidence;
+    A document's tokens are one chain, however long; forward-backward gives each token's marginal, and a logistic
+    regression on the largest and the sum gives the document's score. Empty and null text has no tokens and the score of no evidence;
     rows that repeat get the same score; a null doc_id is not held out and never learnt from; without labels of both
     kinds every score is the base rate; an empty table gives none."""
     return score(docs, train(spark, docs, sf_dir), spans)
