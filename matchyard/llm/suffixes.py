@@ -3,31 +3,34 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchyard.llm.base import arrow_stage, BROADCAST_KEYS, ints, pull, put, stash, text_blocks
 from matchyard.llm.labelled import share
-from matchyard.llm.words import _BYTE, SEGMENT, mix, powers
+from matchyard.llm.words import _BYTE, SEGMENT, mix, powers, span_hashes
 
-#: Bytes of a string that counts as repeated; bytes of the gram that anchors a suffix.
-WINDOW, GRAM = 200, 32
-#: Bits of the filter of repeated grams: 16 per gram, between these powers of two (32 KB to 256 MB).
-FILTER_BITS = (18, 31)
-#: A gram's suffixes are split by their second token from as many occurrences on as a partition has at an even deal, but
+#: Bytes of a string that counts as repeated; bytes of the gram that anchors a suffix; bytes of a token.
+WINDOW, GRAM, TOKEN = 200, 32, 8
+#: Bits of the filter of repeated grams: 16 per gram, between these powers of two (32 KB to 64 MB).
+FILTER_BITS = (18, 29)
+#: A gram's suffixes are split by their next tokens from as many occurrences on as a partition has at an even deal, but
 #: within these bounds.
-HOT = (4096, 65_536)
-#: Repeated grams sampled for splitters, and buckets for each shuffle partition.
-SPLITTERS, BUCKETS = 50_000, 8
+HOT = (512, 65_536)
+#: One repeated gram in SHOWN tells its bytes, for splitters, of which about SPLITTERS are looked at.
+SHOWN, SPLITTERS = 64, 50_000
+#: Suffixes that begin at most so many bytes before their anchor are known by what follows it, others by what precedes it.
+NEAR = 84
 
 
 def suffix_runs(data: np.ndarray, offsets: np.ndarray):
-    """Runs of neighbouring windows with the same anchor: (first position, windows, document, gram token, run token).
+    """Runs of neighbouring windows with the same anchor: (first position, windows, document, anchor's position, gram hash).
 
     A window's anchor is the gram in it with the least hash, so equal windows have it at the same place. Windows don't
     cross documents; runs end where a segment does, equally for nobody, which costs partners but loses none: windows
@@ -59,33 +62,57 @@ def suffix_runs(data: np.ndarray, offsets: np.ndarray):
         new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(at)))
-        p0 = at[first]
-        p1 = p0 + count - 1 + WINDOW
-        token = mix((sums[p1] - sums[p0]) * down[p0]) ^ (anchor[first] - p0).astype(np.uint64)
         # anchors have small hashes by choice; mixed again they are spread evenly
-        yield p0 + base, count, doc[first], mix(grams[anchor[first]] ^ np.uint64(0x27D4EB2F165667C5)), mix(token + count.astype(np.uint64))
-
-
-def window_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of every window of a run's bytes."""
-    up, down = powers()
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[WINDOW:] - sums[:-WINDOW]) * down[: len(data) - WINDOW + 1])
-
-
-def multikey_quicksort(tokens: list[np.ndarray]) -> np.ndarray:
-    """Order by tokens: sorted by the first, then only within runs of equal ones by the next."""
-    order = np.argsort(tokens[0], kind="quicksort")
-    for token in tokens[1:]:
-        lead = tokens[0][order]
-        new = np.ones(len(lead), bool)
-        new[1:] = lead[1:] != lead[:-1]
-        run = np.cumsum(new)
-        tied = np.bincount(run, minlength=1)[run] > 1
-        at = np.flatnonzero(tied)
-        order[at] = order[at[np.lexsort((token[order[at]], run[at]))]]
-    return order
+        yield at[first] + base, count, doc[first], anchor[first] + base, mix(grams[anchor[first]] ^ np.uint64(0x27D4EB2F165667C5))
+
+
+def tokens_at(data: np.ndarray) -> np.ndarray:
+    """The token that begins at each byte, as a number in the order of bytes."""
+    out = np.empty(max(0, len(data) - TOKEN + 1), np.uint64)
+    for k in range(min(TOKEN, len(out))):
+        n = (len(data) - k) // TOKEN
+        out[k::TOKEN] = data[k : k + n * TOKEN].view(">u8")
+    return out
+
+
+def multikey_quicksort(tokens: np.ndarray, at: np.ndarray, group: np.ndarray, length: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts suffixes, which begin `at` places of a text, within their group by their first `length` bytes. Returns the
+    order, and for each place in it whether its suffix equals the one before there in all these bytes.
+
+    All open segments are parted at once: a segment's middle suffix lends its token as pivot, less, equal and greater
+    are three new segments, and those that were equal go on with the next token. A segment ends when one suffix is left
+    or when no token is."""
+    n = len(at)
+    order = np.argsort(group, kind="stable")
+    out, same = order.copy(), np.zeros(n, bool)
+    steps = -(-length // TOKEN)
+    place, idx = np.arange(n), order
+    seg = np.cumsum(np.append(False, group[order][1:] != group[order][:-1]))[:n]
+    depth = np.zeros(int(seg[-1]) + 1 if n else 0, np.int64)
+    while len(idx):
+        begin = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
+        count = np.diff(np.append(begin, len(seg)))
+        done = depth >= steps
+        inner = np.repeat(done, count)
+        inner[begin] = False
+        same[place[inner]] = True
+        keep = (count > 1) & ~done
+        begin, count, depth, kept = begin[keep], count[keep], depth[keep], np.repeat(keep, count)
+        place, idx = place[kept], idx[kept]
+        if not len(idx):
+            break
+        seg = np.repeat(np.arange(len(count)), count)
+        # the last token may reach over the end: it begins earlier, which repeats bytes known to be equal
+        token = tokens[at[idx] + np.minimum(depth * TOKEN, length - TOKEN)[seg]]
+        pivot = token[np.cumsum(count) - count + count // 2][seg]
+        part = seg * 3 + 1 + (token > pivot) - (token < pivot)
+        by = np.argsort(part, kind="stable")
+        idx, part = idx[by], part[by]
+        out[place] = idx
+        new = np.append(True, part[1:] != part[:-1])
+        seg = np.cumsum(new) - 1
+        depth = depth[part[new] // 3] + (part[new] % 3 == 1)
+    return out, same
 
 
 def _skip(batch: pa.RecordBatch, gone: np.ndarray | None) -> pa.Array:
@@ -99,187 +126,219 @@ def _skip(batch: pa.RecordBatch, gone: np.ndarray | None) -> pa.Array:
 
 
 def _grams(gone):
+    """(gram, count, the gram's four tokens where it is shown), added up by partition."""
+
     def run(batches):
-        found = []
+        found, shown = [], []
         for batch in batches:
             for _, _, data, offsets in text_blocks(_skip(batch, gone.value if gone else None)):
-                found += [grams for *_, grams, _ in suffix_runs(data, offsets)]
+                for _, _, _, anchor, grams in suffix_runs(data, offsets):
+                    found.append(grams)
+                    at = np.flatnonzero(grams % np.uint64(SHOWN) == 0)
+                    tokens = data[anchor[at][:, None] + np.arange(GRAM)].view(">u8").astype(np.uint64) ^ np.uint64(1 << 63)
+                    shown.append((grams[at], tokens.view(np.int64).reshape(-1, GRAM // TOKEN)))
             if len(found) > 64:
                 found = [np.concatenate(found)]
+                g, first = np.unique(np.concatenate([x for x, _ in shown]), return_index=True)
+                shown = [(g, np.concatenate([t for _, t in shown])[first])]
         g, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        lead, known = np.zeros((len(g), GRAM // TOKEN), np.int64), np.zeros(len(g), bool)
+        for x, t in shown:
+            at = np.searchsorted(g, x)
+            lead[at], known[at] = t, True
         for i in range(0, len(g), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(ints(g[i : i + (1 << 16)])), pa.array(n[i : i + (1 << 16)].astype(np.int64))], names=["gram", "n"])
+            part = slice(i, i + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(ints(g[part])), pa.array(n[part].astype(np.int64)), *(pa.array(lead[part, k], mask=~known[part]) for k in range(GRAM // TOKEN))], names=["gram", "n", "t1", "t2", "t3", "t4"])
 
     return run
 
 
-_RUNS = "bucket int, gram long, part int, token long, k1 long, k2 long, start long, windows int, answer boolean, body binary"
+_RUNS = "bucket int, gram long, lead binary, context long, token long, k1 long, k2 long, start long, windows int, anchor int, answer boolean, body binary"
+_RUN_NAMES = [x.split()[0] for x in _RUNS.split(", ")]
+_RUN_TYPES = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+
+
+def _split(p0, count, doc, anchor, gram, parts):
+    """Runs of heavy grams in two: suffixes that begin NEAR before the anchor at most, and those that begin earlier.
+    Returns the runs in order, and of each half of a heavy one (begin, end) of the tokens that it is known by, else 0."""
+    heavy = parts > 1
+    cut = np.clip(anchor - NEAR, p0, p0 + count)  # the first suffix of the second half
+    first = np.where(heavy, cut - p0, count)
+    two = np.stack([first, count - first], axis=1).ravel()
+    begin = np.stack([p0, p0 + first], axis=1).ravel()
+    a = np.repeat(anchor, 2)
+    late = np.tile([False, True], len(p0))
+    known_from = np.where(np.repeat(heavy, 2), np.where(late, a, a - NEAR - 1), 0)
+    known_to = np.where(np.repeat(heavy, 2), np.where(late, a - NEAR + WINDOW, a), 0)
+    some = np.flatnonzero(two)
+    return begin[some], two[some], np.repeat(doc, 2)[some], a[some], np.repeat(gram, 2)[some], np.repeat(parts, 2)[some], known_from[some], known_to[some]
 
 
 def _runs(gone, bits, filter_bits: int, hot, splitters):
-    """Runs with a repeated gram. What repeats within the batch is answered at once (gram null: bytes to remove)."""
+    """Runs with a repeated gram. A run whose bytes were met before in the batch is answered at once (gram null: bytes to
+    remove), and so is the first of them, which still goes on as a partner for others."""
 
     def run(batches):
+        cuts, (hot_grams, hot_parts) = splitters.value, hot.value
         for batch in batches:
-            keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cols: list[list] = [[] for _ in range(6)]
-            bodies: list[tuple[np.ndarray, int]] = []
+            k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cols: list[list] = [[] for _ in range(9)]
             for row, _, data, offsets in text_blocks(_skip(batch, gone.value if gone else None)):
-                for p0, count, doc, gram, token in suffix_runs(data, offsets):
+                raw = data.tobytes()
+                for p0, count, doc, anchor, gram in suffix_runs(data, offsets):
                     at = gram >> np.uint64(64 - filter_bits)
                     hit = np.flatnonzero(bits.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
-                    for c, x in zip(cols, (gram[hit], token[hit], p0[hit] - offsets[doc[hit]], count[hit], doc[hit] + row, np.full(len(hit), len(bodies)))):
+                    if not len(hit):
+                        continue
+                    p0, count, doc, anchor, gram = p0[hit], count[hit], doc[hit], anchor[hit], gram[hit]
+                    j = np.minimum(np.searchsorted(hot_grams, gram), max(0, len(hot_grams) - 1))
+                    parts = np.where(hot_grams[j] == gram, hot_parts[j], 1) if len(hot_grams) else np.ones(len(gram), np.int64)
+                    p0, count, doc, anchor, gram, parts, known_from, known_to = _split(p0, count, doc, anchor, gram, parts)
+                    end = p0 + count - 1 + WINDOW
+                    token = mix(span_hashes(data, p0, end) ^ (anchor - p0).astype(np.uint64))
+                    context = np.zeros(len(p0), np.uint64)
+                    heavy = np.flatnonzero(known_to)
+                    if len(heavy):
+                        context[heavy] = [zlib.crc32(raw[a:b]) + 1 + len(raw[a:b]) * 2**33 for a, b in zip(known_from[heavy].tolist(), known_to[heavy].tolist())]
+                    leads = np.ascontiguousarray(data[anchor[:, None] + np.arange(GRAM)]).view(f"S{GRAM}").ravel()
+                    bucket = (np.searchsorted(cuts, leads, "right") + mix(context) % parts.astype(np.uint64) * (context > 0)).astype(np.int64) % (len(cuts) + 1)
+                    lead = [raw[x : x + GRAM] for x in anchor.tolist()]
+                    body = [raw[x:y] for x, y in zip(p0.tolist(), end.tolist())]
+                    for c, x in zip(cols, (bucket, gram, context, token, doc + row, p0 - offsets[doc], count, anchor - p0)):
                         c.append(x)
-                    bodies.append((data, 0))
-                    cols[5][-1] = np.stack([cols[5][-1], p0[hit]])
+                    cols[8].append((lead, body))
             if not cols[0]:
                 continue
-            gram, token, start, count, doc = (np.concatenate(c) for c in cols[:5])
-            place = np.concatenate(cols[5], axis=1)
-            pair, first, inverse, times = np.unique(mix(gram) ^ token, return_index=True, return_inverse=True, return_counts=True)
-            answered = times[inverse] > 1
-            out: list[list] = [[] for _ in range(10)]
-            cuts = splitters.value
-
-            def add(*values):
-                for c, x in zip(out, values):
-                    c.append(x)
-
+            bucket, gram, context, token, doc, start, count, anchor = (np.concatenate(c) for c in cols[:8])
+            lead, body = ([x for part in cols[8] for x in part[k]] for k in (0, 1))
+            _, first, inverse = np.unique(mix(gram ^ mix(context)) ^ token, return_index=True, return_inverse=True)
+            head = first[inverse]
+            again = np.array([h != i and body[h] == body[i] for i, h in enumerate(head.tolist())])
+            answered = again.copy()
+            answered[head[again]] = True
             at = np.flatnonzero(answered)
             if len(at):  # in order of document and position: neighbours that meet are one span
+                at = at[np.lexsort((start[at], doc[at]))]
                 d, a, b = doc[at], start[at], start[at] + count[at] - 1 + WINDOW
-                new = np.append(True, (d[1:] != d[:-1]) | (a[1:] > b[:-1]))
-                head = np.flatnonzero(new)
-                tail = np.append(head[1:], len(at)) - 1
-                for i, j in zip(head, tail):
-                    add(int(a[i]) % (len(cuts) + 1), None, 0, None, keys[0][d[i]], keys[1][d[i]], a[i], b[j] - a[i] + 1 - WINDOW, False, None)
-            hot_grams, hot_parts = hot.value
-            for i in first:
-                data = bodies[place[0, i]][0]
-                p = place[1, i]
-                body = data[p : p + count[i] - 1 + WINDOW]
-                j = np.searchsorted(hot_grams, gram[i])
-                parts = int(hot_parts[j]) if j < len(hot_grams) and hot_grams[j] == gram[i] else 1
-                head = (keys[0][doc[i]], keys[1][doc[i]], start[i], count[i], not answered[i])
-                g, t = gram[i].view(np.int64), token[i].view(np.int64)
-                bucket = int(np.searchsorted(cuts, g))
-                if parts == 1:
-                    add(bucket, g, 0, t, *head, body.tobytes())
-                    continue
-                hashes = window_hashes(body)
-                of = (hashes >> np.uint64(32)) % np.uint64(parts)
-                for part in np.unique(of):
-                    at = np.flatnonzero(of == part)
-                    add((bucket + int(part)) % (len(cuts) + 1), g, int(part) + 1, t, *head, hashes[at].tobytes() + at.astype(np.uint8).tobytes())
-            types = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-            names = [x.split()[0] for x in _RUNS.split(", ")]
-            for i in range(0, len(out[0]), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 20_000], t) for c, t in zip(out, types)], names=names)
+                new = np.append(True, (d[1:] != d[:-1]) | (a[1:] > np.maximum.accumulate(b + d * (1 << 40))[:-1] - d[1:] * (1 << 40)))
+                i = np.flatnonzero(new)
+                b = np.maximum.reduceat(b, i)
+                for k in range(0, len(i), 20_000):
+                    part = i[k : k + 20_000]
+                    n = len(part)
+                    known = {"bucket": bucket[at[part]], "k1": k1[d[part]], "k2": k2[d[part]], "start": a[part], "windows": b[k : k + 20_000] - a[part] + 1 - WINDOW}
+                    yield pa.RecordBatch.from_arrays([pa.array(known[c], t) if c in known else pa.nulls(n, t) for c, t in zip(_RUN_NAMES, _RUN_TYPES)], names=_RUN_NAMES)
+            rest = np.flatnonzero(~again)
+            for k in range(0, len(rest), 20_000):
+                i = rest[k : k + 20_000]
+                some = i.tolist()
+                values = (bucket[i], ints(gram[i]), [lead[x] for x in some], ints(context[i]), ints(token[i]), k1[doc[i]], k2[doc[i]], start[i], count[i], anchor[i], ~answered[i], [body[x] for x in some])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(values, _RUN_TYPES)], names=_RUN_NAMES)
 
     return run
 
 
-def _bucket(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-    """Sorts the suffixes of whole groups (gram, part) and returns the bytes that equal neighbours cover."""
-    t = pa.Table.from_batches(rows)
-    gram, part, token, start, windows = (t.column(c).to_numpy() for c in ("gram", "part", "token", "start", "windows"))
-    lead = mix(gram.view(np.uint64) ^ mix(part.astype(np.uint64)))
+_FOUND = "k1 long, k2 long, a long, b long, side int, edge binary"
+
+
+def _spans(k1, k2, a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())], names=["k1", "k2", "a", "b", "side", "edge"])
+
+
+def _bucket(rows: list[pa.RecordBatch], ends: list) -> pa.RecordBatch:
+    """Sorts the suffixes of whole groups (lead, context) and returns the bytes that equal neighbours cover. The least and
+    the greatest suffix are added to `ends`: (bytes, k1, k2, start, whether an answer is wanted)."""
+    t = pa.Table.from_batches(rows).combine_chunks()
+    context, token, start, windows, anchor = (t.column(c).to_numpy() for c in ("context", "token", "start", "windows", "anchor"))
     answer = t.column("answer").to_numpy(zero_copy_only=False)
-    whole, first, inverse, times = np.unique(mix(lead) ^ token.view(np.uint64), return_index=True, return_inverse=True, return_counts=True)
-    body = t.column("body").combine_chunks()
-    many = np.bincount(np.unique(lead[first], return_inverse=True)[1]) if len(first) else np.zeros(0, int)
-    groups = np.unique(lead[first], return_inverse=True)[1]
-    tokens1, tokens2, owner, offset = [], [], [], []
-    for i in first[(many[groups] > 1)] if len(first) else []:
-        raw = np.frombuffer(body[int(i)].as_buffer(), np.uint8)
-        if part[i]:
-            n = len(raw) // 9
-            h, o = raw[: 8 * n].view(np.uint64), raw[8 * n :].astype(np.int64)
-        else:
-            h = window_hashes(raw)
-            o = np.arange(len(h))
-        tokens1.append(np.full(len(h), lead[i]))
-        tokens2.append(h)
-        owner.append(np.full(len(h), i))
-        offset.append(o)
-    spans: list[list] = [[], [], []]
-    resolved = np.flatnonzero((times[inverse] > 1) & answer & (part == 0))
-    spans[0].append(resolved)
-    spans[1].append(start[resolved])
-    spans[2].append(start[resolved] + windows[resolved] - 1 + WINDOW)
-    if tokens1:
-        one, two, own, off = map(np.concatenate, (tokens1, tokens2, owner, offset))
-        order = multikey_quicksort([one, two])
-        one, two = one[order], two[order]
-        equal = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
-        repeated = np.append(equal, False) | np.insert(equal, 0, False)
-        # A run that came several times repeats whole, wherever its windows fall; only hot parts need them singly.
-        repeated |= (times[inverse] > 1)[own[order]]
-        own, off = own[order][repeated], off[order][repeated]
-        by = np.argsort(own * 256 + off, kind="quicksort")
-        own, off = own[by], off[by]
-        if len(own):
-            new = np.ones(len(own), bool)
-            new[1:] = (own[1:] != own[:-1]) | (off[1:] != off[:-1] + 1)
-            a = np.flatnonzero(new)
-            b = np.append(a[1:], len(own)) - 1
-            # every row that shares the run, not only the first, gets what was found for it
-            head = own[a]
-            members = np.argsort(inverse, kind="stable")
-            begins = np.searchsorted(inverse[members], np.arange(len(whole) + 1))
-            k = inverse[head]
-            n = begins[k + 1] - begins[k]
-            span = np.repeat(np.arange(len(a)), n)
-            row = members[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begins[k], n)]
-            ok = answer[row] & ~((times[inverse[row]] > 1) & (part[row] == 0))
-            span, row = span[ok], row[ok]
-            spans[0].append(row)
-            spans[1].append(start[row] + off[a][span])
-            spans[2].append(start[row] + off[b][span] + WINDOW)
-    hot_whole = np.flatnonzero((times[inverse] > 1) & answer & (part > 0) & (many[groups][inverse] <= 1)) if len(first) else np.zeros(0, int)
-    for i in hot_whole:  # a part whose only run came several times
-        raw = np.frombuffer(body[int(i)].as_buffer(), np.uint8)
-        off = raw[8 * (len(raw) // 9) :].astype(np.int64)
-        spans[0].append(np.full(len(off), i))
-        spans[1].append(start[i] + off)
-        spans[2].append(start[i] + off + WINDOW)
-    row, a, b = (np.concatenate(x).astype(np.int64) for x in spans)
-    k1, k2 = t.column("k1").to_numpy(), t.column("k2").to_numpy()
-    return pa.RecordBatch.from_arrays([pa.array(k1[row]), pa.array(k2[row]), pa.array(a), pa.array(b)], names=["k1", "k2", "a", "b"])
-
-
-#: Bytes of runs that a bucket sorts at once; a group (gram, part) is never torn.
+    lead, body = t.column("lead").combine_chunks(), t.column("body").combine_chunks()
+    if isinstance(body, pa.ChunkedArray):
+        lead, body = lead.chunk(0), body.chunk(0)
+    n = len(t)
+    leads = np.frombuffer(lead.buffers()[2], f"V{GRAM}")[lead.offset : lead.offset + n]
+    group = np.cumsum(np.append(False, (leads[1:] != leads[:-1]) | (context[1:] != context[:-1])))[:n]
+    # runs with the same bytes are one class, known by its first; a hash finds them, the bytes decide
+    order = np.lexsort((token, group))
+    new = np.append(True, (token[order][1:] != token[order][:-1]) | (group[order][1:] != group[order][:-1]))
+    head = np.empty(n, np.int64)
+    head[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    alike = pc.equal(body, body.take(pa.array(head))).to_numpy(zero_copy_only=False) & (anchor == anchor[head])
+    head = np.where(alike, head, np.arange(n))
+    heads, of, times = np.unique(head, return_inverse=True, return_counts=True)
+    whole = np.flatnonzero(times[of] > 1)
+    several = np.bincount(group[heads])[group[heads]] > 1
+    sorted_heads = heads[several | (np.arange(len(heads)) == 0) | (np.arange(len(heads)) == len(heads) - 1)]
+    base = np.cumsum(np.append(0, pc.binary_length(body.take(pa.array(sorted_heads))).to_numpy()))
+    text = np.frombuffer(b"".join(body[int(i)].as_buffer() for i in sorted_heads), np.uint8)
+    owner = np.repeat(np.arange(len(sorted_heads)), windows[sorted_heads])
+    off = np.arange(len(owner)) - np.repeat(np.cumsum(windows[sorted_heads]) - windows[sorted_heads], windows[sorted_heads])
+    row = sorted_heads[owner]
+    # equal suffixes have their anchor at the same distance
+    place, same = multikey_quicksort(tokens_at(text), base[owner] + off, group[row] * WINDOW + anchor[row] - off)
+    for at in (place[0], place[-1]):
+        i = row[at]
+        ends.append((text[base[owner[at]] + off[at] :][:WINDOW].tobytes(), t.column("k1")[int(i)].as_py(), t.column("k2")[int(i)].as_py(), int(start[i] + off[at]), bool(answer[i])))
+    repeated = np.zeros(len(place), bool)
+    repeated[place[same | np.append(same[1:], False)]] = True
+    repeated &= times[of[row]] == 1  # a class of several repeats whole
+    row, off = row[repeated], off[repeated]  # in order of run and place
+    new = np.append(True, (row[1:] != row[:-1]) | (off[1:] != off[:-1] + 1))[: len(row)]
+    i = np.flatnonzero(new)
+    j = np.append(i[1:], len(row)) - 1 if len(i) else i
+    hit = np.concatenate([whole, row[i]])
+    a = np.concatenate([start[whole], start[row[i]] + off[i]])
+    b = np.concatenate([start[whole] + windows[whole] - 1 + WINDOW, start[row[i]] + off[j] + WINDOW])
+    ok = answer[hit]
+    return _spans(t.column("k1").to_numpy()[hit[ok]], t.column("k2").to_numpy()[hit[ok]], a[ok], b[ok])
+
+
+#: Bytes of runs that a bucket sorts at once; a group (lead, context) is never torn.
 AT_ONCE = 8 << 20
 
 
 def _sort_buckets(batches):
-    """Partitions arrive sorted by (gram, part). Complete groups are sorted together, about AT_ONCE bytes a time.
-    Bytes that were answered before (gram null) pass through."""
+    """A bucket's runs arrive sorted by (lead, context), spilling where they must. Complete groups are sorted together,
+    about AT_ONCE bytes a time. Bytes that were answered before (gram null) pass through. At the end the bucket's least
+    (side 0) and greatest (side 1) suffix, to be compared with those of the buckets beside it."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    ends: list[tuple] = []
+    size, bucket = 0, 0
     for batch in batches:
-        known = batch.column(0).is_null()
+        known = batch.column("gram").is_null()
         if known.true_count:
             done = batch.filter(known)
             a = done.column("start").to_numpy()
-            yield pa.RecordBatch.from_arrays([done.column("k1"), done.column("k2"), done.column("start"), pa.array(a + done.column("windows").to_numpy() - 1 + WINDOW)], names=["k1", "k2", "a", "b"])
-            batch = batch.filter(batch.column(0).is_valid())
+            yield _spans(done.column("k1").to_numpy(), done.column("k2").to_numpy(), a, a + done.column("windows").to_numpy() - 1 + WINDOW)
+            batch = batch.filter(batch.column("gram").is_valid())
         if not len(batch):
             continue
+        bucket = batch.column("bucket")[0].as_py()
         size += batch.nbytes
         if size > AT_ONCE and held:
-            g, p = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            old = held[-1]
-            same = (g == old.column(0)[-1].as_py()) & (p == old.column(1)[-1].as_py())
+            old = held[-1].slice(len(held[-1]) - 1)
+            same = pc.and_(pc.equal(batch.column("lead"), old.column("lead")[0]), pc.equal(batch.column("context"), old.column("context")[0])).to_numpy(zero_copy_only=False)
             cut = len(batch) if same.all() else int(np.argmin(same))
             if cut < len(batch):
                 held.append(batch.slice(0, cut))
-                yield _bucket([x for x in held if len(x)])
+                yield _bucket([x for x in held if len(x)], ends)
+                ends[1:] = ends[-1:]
                 batch = batch.slice(cut)
                 held, size = [], batch.nbytes
         held.append(batch)
     if held:
-        yield _bucket(held)
+        yield _bucket(held, ends)
+    if ends:
+        two = [(0, *ends[0]), (1, *ends[-1])]
+        sides, edges, k1, k2, a, wanted = zip(*two)
+        yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(a), pa.array([x + WINDOW if w else x for x, w in zip(a, wanted)]), pa.array([2 * bucket + x for x in sides], pa.int32()), pa.array(edges, pa.binary())], names=["k1", "k2", "a", "b", "side", "edge"])
+
+
+def across_buckets(found: DataFrame) -> DataFrame:
+    """Spans of a bucket's last suffix and the next bucket's first where these are equal. Two rows a bucket are compared."""
+    ends = found.where("edge is not null")
+    order = Window.orderBy("side")
+    before, after = F.lag("edge").over(order) == F.col("edge"), F.lead("edge").over(order) == F.col("edge")
+    return ends.withColumn("equal", F.coalesce(before & (F.col("side") % 2 == 0), F.lit(False)) | F.coalesce(after & (F.col("side") % 2 == 1), F.lit(False))).where("equal and b > a").select("k1", "k2", "a", "b")
 
 
 def _cut(batches):
@@ -318,13 +377,16 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
     1. Documents with the same text are found first; all but one per text stay out of the search and lose every byte
        (from 200 bytes on). 2. Every document's suffixes are anchored (see `suffix_runs`); a filter of the anchor grams
-       that occur twice, of bounded size and without false negatives, drops suffixes that can't have a partner.
-    3. The rest is range-partitioned by its leading token, the anchor gram, with splitters from a sample of the repeated
-       grams and their counts; a gram with very many suffixes is split by the second token, the window itself, which is
-       equal for equal suffixes.
-    4. Each bucket sorts by multikey quicksort, and equal neighbours are repeats. A group of equal leading tokens never
-       straddles buckets, and batches within a bucket are cut only between groups, so no boundary hides a neighbour.
-    Tokens are 64-bit hashes. Null or empty text has no bytes; rows that repeat are copies; a null doc_id is as good as
+       that occur twice, of bounded size and without false negatives, drops suffixes that can't have a partner. Beyond
+       its bound a join by gram drops them too.
+    3. The rest is range-partitioned by its leading tokens, the 32 bytes of the anchor: splitters come from a sample of the
+       repeated grams with their counts, and bucket k is partition k. A gram heavier than a bucket is split by its next
+       tokens: suffixes that begin near the anchor by the bytes after it, others by the bytes before it.
+    4. Buckets are sorted, by leading tokens in Spark, which may spill, and then suffix by suffix by multikey quicksort over
+       tokens of 8 bytes; neighbours with the same 200 bytes are repeats. The last suffix of a bucket is compared with the
+       first of the next. Equal suffixes have equal leading and next tokens, so they meet in one bucket.
+    Hashes only deal, filter and find candidates; bytes decide, but for whole texts (128 bits of hash and the length).
+    Null or empty text has no bytes; rows that repeat are copies; a null doc_id is as good as
     any; an empty table gives none."""
     spark = docs.sparkSession
     names = {c: F.col(f"`{c}`") for c in keep}
@@ -340,8 +402,9 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     elif n_gone:
         rows = rows.join(members.where("other").select("k1", "k2").distinct(), ["k1", "k2"], "left_anti").select("k1", "k2", "text")
 
-    grams = arrow_stage(rows, _grams(gone), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
-    grams = stash(grams, "grams")
+    tokens = ("t1", "t2", "t3", "t4")
+    counted = arrow_stage(rows, _grams(gone), "gram long, n long, t1 long, t2 long, t3 long, t4 long")
+    grams = stash(counted.groupBy("gram").agg(F.sum("n").alias("n"), *(F.max(t).alias(t) for t in tokens)).where("n > 1"), "grams")
     n_grams = grams.count()
     filter_bits = min(max(FILTER_BITS[0], int(16 * n_grams).bit_length()), FILTER_BITS[1])
     at = F.shiftrightunsigned("gram", 64 - filter_bits)
@@ -355,18 +418,22 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     while hot.count() > BROADCAST_KEYS:
         floor *= 2
         hot = grams.where(F.col("n") >= floor)
-    frame = pull(hot)
+    frame = pull(hot.select("gram", "n"))
     order = np.argsort(frame.gram.to_numpy(np.int64).view(np.uint64))
-    table = frame.gram.to_numpy(np.int64).view(np.uint64)[order], -(-frame.n.to_numpy(np.int64)[order] // floor)
+    # as many parts as buckets of `floor`, and twice as many, for parts are uneven
+    table = frame.gram.to_numpy(np.int64).view(np.uint64)[order], 1 + 2 * frame.n.to_numpy(np.int64)[order] // floor
+    some = pull(share(grams.where("t1 is not null"), SPLITTERS, "gram")).sort_values(list(tokens))
+    weight = np.cumsum(np.minimum(some.n.to_numpy(np.int64), floor))  # what is beyond is split
+    edges = np.unique(np.searchsorted(weight, weight[-1] * np.arange(1, partitions) / partitions)) if len(weight) else np.zeros(0, int)
+    lead = np.ascontiguousarray((some[list(tokens)].to_numpy(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8")[edges])
     share_out = partial(put, spark)
-    some = pull(share(grams, SPLITTERS, "gram")).sort_values("gram")
-    weight = np.cumsum(some.n.to_numpy(np.int64))
-    buckets = BUCKETS * partitions
-    edges = np.searchsorted(weight, weight[-1] * np.arange(1, buckets) / buckets) if len(weight) else np.zeros(0, int)
-    splitters = share_out(np.unique(some.gram.to_numpy(np.int64)[edges]))
+    splitters = share_out(np.unique(lead.view(f"S{GRAM}").ravel()))
     runs = arrow_stage(rows, _runs(gone, share_out(bits), filter_bits, share_out(table), splitters), _RUNS)
-    bound = runs.repartition(partitions, "bucket").drop("bucket").sortWithinPartitions("gram", "part")
-    found = arrow_stage(bound, _sort_buckets, "k1 long, k2 long, a long, b long")
+    if 16 * n_grams > 1 << FILTER_BITS[1]:
+        runs = runs.where("gram is null").unionByName(runs.where("gram is not null").join(grams.select("gram"), "gram", "left_semi").select(*_RUN_NAMES))
+    bound = runs.repartitionById(partitions, "bucket").sortWithinPartitions("lead", "context")
+    found = stash(arrow_stage(bound, _sort_buckets, _FOUND), "found")
+    found = found.where("edge is null").select("k1", "k2", "a", "b").unionByName(across_buckets(found))
     whole = members.select("k1", "k2", F.lit(0).cast("long").alias("a"), F.col("n").alias("b")).distinct()
     spans = found.unionByName(whole).groupBy("k1", "k2").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     spans = spans.withColumnsRenamed({"k1": "_k1", "k2": "_k2"})

@@ -297,9 +297,11 @@ def brute_spans(texts):
         yield gone
 
 
-@pytest.mark.parametrize("hot", [(4096, 65_536), (2, 2)])
-def test_suffixes(docs, rows, monkeypatch, hot):
+@pytest.mark.parametrize("hot, bits, shown", [((4096, 65_536), (18, 29), 1), ((2, 2), (18, 29), 64), ((2, 2), (6, 8), 1)])
+def test_suffixes(docs, rows, monkeypatch, hot, bits, shown):
     monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "FILTER_BITS", bits)
+    monkeypatch.setattr(suffixes, "SHOWN", shown)
     texts = [(r[1] or "").encode() for r in rows]
     expected = Counter()
     for r, b, gone in zip(rows, texts, brute_spans(texts)):
@@ -311,25 +313,51 @@ def test_suffixes(docs, rows, monkeypatch, hot):
     assert all(r["row"] == 0 for r in got)
 
 
-def test_suffix_buckets_in_small_batches(monkeypatch):
+def suffix_rows(rows):
     import pyarrow as pa
 
+    return [pa.RecordBatch.from_arrays([pa.array([r[i]], t) for i, t in enumerate(suffixes._RUN_TYPES)], names=suffixes._RUN_NAMES) for r in rows]
+
+
+def test_suffix_buckets_in_small_batches(monkeypatch):
     rng = np.random.default_rng(8)
     body = bytes(rng.integers(97, 100, 260).astype(np.uint8))
-    names = [x.split()[0] for x in suffixes._RUNS.split(", ")][1:]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
-    rows = [(g, 0, 1000 + g * 10 + k, k, g, 0, 61, True, body if k < 2 else bytes(rng.integers(97, 123, 260).astype(np.uint8))) for g in range(6) for k in range(4)]
-    batches = [pa.RecordBatch.from_arrays([pa.array([r[i]], t) for i, t in enumerate(types)], names=names) for r in rows]
+    other = lambda: body[:32] + bytes(rng.integers(97, 123, 228).astype(np.uint8))
+    rows = [(0, g, bytes([g]) * 32, 0, 1000 + g * 10 + min(k, 1), k, g, 0, 61, 0, True, body if k < 2 else other()) for g in range(6) for k in range(4)]
     monkeypatch.setattr(suffixes, "AT_ONCE", 1)
-    got = sorted((r["k2"], r["k1"], r["a"], r["b"]) for b in suffixes._sort_buckets(iter(batches)) for r in b.to_pylist())
+    got = sorted((r["k2"], r["k1"], r["a"], r["b"]) for b in suffixes._sort_buckets(iter(suffix_rows(rows))) for r in b.to_pylist() if r["edge"] is None)
     assert got == sorted((g, k, 0, 260) for g in range(6) for k in range(2))
 
 
+def test_equal_suffixes_on_both_sides_of_a_boundary(spark):
+    body = bytes(range(97, 117)) * 10
+    found = []
+    for bucket in (3, 4):  # as if a splitter parted equal leading tokens
+        rows = [(bucket, 1, body[:32], 0, 5, bucket, 9, 40, 1, 0, True, body)]
+        found += [r for b in suffixes._sort_buckets(iter(suffix_rows(rows))) for r in b.to_pylist()]
+    got = suffixes.across_buckets(spark.createDataFrame(found, suffixes._FOUND)).collect()
+    assert sorted(tuple(r) for r in got) == [(3, 9, 40, 240), (4, 9, 40, 240)]
+
+
+def test_equal_hashes_of_different_runs_are_told_apart():
+    one, two = b"a" * 32 + b"x" * 168, b"a" * 32 + b"y" * 168
+    rows = [(0, 1, b"a" * 32, 0, 5, k, 9, 0, 1, 0, True, body) for k, body in enumerate((one, two, one))]
+    got = [(r["k1"], r["a"], r["b"]) for b in suffixes._sort_buckets(iter(suffix_rows(rows))) for r in b.to_pylist() if r["edge"] is None]
+    assert sorted(got) == [(0, 0, 200), (2, 0, 200)]
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(9)
-    a, b = rng.integers(0, 20, 500).astype(np.uint64), rng.integers(0, 9, 500).astype(np.uint64)
-    order = suffixes.multikey_quicksort([a, b])
-    assert sorted(zip(a, b)) == list(zip(a[order], b[order]))
+    text = rng.integers(97, 99, 3000).astype(np.uint8)
+    text[1000:1400] = text[2000:2400]
+    at, group = np.arange(2900), rng.integers(0, 3, 2900)
+    group[1000:1400] = group[2000:2400]
+    for length in (8, 20, 61, 200):
+        some = at[: 3000 - length][:2900]
+        order, same = suffixes.multikey_quicksort(suffixes.tokens_at(text), some, group[: len(some)], length)
+        keys = [(group[i], text[some[i] : some[i] + length].tobytes()) for i in order]
+        assert sorted(order) == list(range(len(some))) and keys == sorted(keys)
+        assert [False, *(x == y for x, y in zip(keys, keys[1:]))] == same.tolist()
 
 
 def test_mixing(docs, rows):
