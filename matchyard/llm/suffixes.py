@@ -23,8 +23,9 @@ FILTER_BITS = (18, 29)
 #: A gram's suffixes are split by their next tokens from as many occurrences on as a partition has at an even deal, but
 #: within these bounds.
 HOT = (512, 65_536)
-#: One repeated gram in SHOWN tells its bytes, for splitters, of which about SPLITTERS are looked at.
-SHOWN, SPLITTERS = 64, 50_000
+#: One gram in SHOWN tells its bytes, for splitters, and every one that a partition holds OFTEN; about SPLITTERS of each
+#: kind are looked at.
+SHOWN, OFTEN, SPLITTERS = 64, 8, 50_000
 #: Suffixes that begin at most so many bytes before their anchor are known by what follows it, others by what precedes it.
 NEAR = 84
 
@@ -126,29 +127,32 @@ def _skip(batch: pa.RecordBatch, gone: np.ndarray | None) -> pa.Array:
 
 
 def _grams(gone):
-    """(gram, count, the gram's four tokens where it is shown), added up by partition."""
+    """(gram, count, 1 where that is at least OFTEN, the gram's four tokens where it is shown), added up by partition."""
 
     def run(batches):
-        found, shown = [], []
+        found: list[tuple] = []  # gram, count, tokens
+
+        def add_up() -> tuple:
+            g, first, inverse = np.unique(np.concatenate([x for x, _, _ in found]), return_index=True, return_inverse=True)
+            n = np.bincount(inverse, np.concatenate([x for _, x, _ in found]), minlength=len(g)).astype(np.int64)
+            return g, n, np.concatenate([x for _, _, x in found])[first]
+
         for batch in batches:
             for _, _, data, offsets in text_blocks(_skip(batch, gone.value if gone else None)):
                 for _, _, _, anchor, grams in suffix_runs(data, offsets):
-                    found.append(grams)
-                    at = np.flatnonzero(grams % np.uint64(SHOWN) == 0)
-                    tokens = data[anchor[at][:, None] + np.arange(GRAM)].view(">u8").astype(np.uint64) ^ np.uint64(1 << 63)
-                    shown.append((grams[at], tokens.view(np.int64).reshape(-1, GRAM // TOKEN)))
-            if len(found) > 64:
-                found = [np.concatenate(found)]
-                g, first = np.unique(np.concatenate([x for x, _ in shown]), return_index=True)
-                shown = [(g, np.concatenate([t for _, t in shown])[first])]
-        g, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        lead, known = np.zeros((len(g), GRAM // TOKEN), np.int64), np.zeros(len(g), bool)
-        for x, t in shown:
-            at = np.searchsorted(g, x)
-            lead[at], known[at] = t, True
+                    g, first, n = np.unique(grams, return_index=True, return_counts=True)
+                    found.append((g, n, np.ascontiguousarray(data[anchor[first][:, None] + np.arange(GRAM)]).view(f"V{GRAM}").ravel()))
+            if len(found) > 32:
+                found = [add_up()]
+        if not found:
+            return
+        g, n, lead = add_up()
+        often = n >= OFTEN
+        shown = often | (g % np.uint64(SHOWN) == 0)
         for i in range(0, len(g), 1 << 16):
             part = slice(i, i + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(ints(g[part])), pa.array(n[part].astype(np.int64)), *(pa.array(lead[part, k], mask=~known[part]) for k in range(GRAM // TOKEN))], names=["gram", "n", "t1", "t2", "t3", "t4"])
+            tokens = (lead[part].view(">u8").astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64).reshape(-1, GRAM // TOKEN)
+            yield pa.RecordBatch.from_arrays([pa.array(ints(g[part])), pa.array(n[part]), pa.array(often[part].astype(np.int32)), *(pa.array(tokens[:, k], mask=~shown[part]) for k in range(GRAM // TOKEN))], names=["gram", "n", "often", "t1", "t2", "t3", "t4"])
 
     return run
 
@@ -403,8 +407,8 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         rows = rows.join(members.where("other").select("k1", "k2").distinct(), ["k1", "k2"], "left_anti").select("k1", "k2", "text")
 
     tokens = ("t1", "t2", "t3", "t4")
-    counted = arrow_stage(rows, _grams(gone), "gram long, n long, t1 long, t2 long, t3 long, t4 long")
-    grams = stash(counted.groupBy("gram").agg(F.sum("n").alias("n"), *(F.max(t).alias(t) for t in tokens)).where("n > 1"), "grams")
+    counted = arrow_stage(rows, _grams(gone), "gram long, n long, often int, t1 long, t2 long, t3 long, t4 long")
+    grams = stash(counted.groupBy("gram").agg(F.sum("n").alias("n"), F.max("often").alias("often"), *(F.max(t).alias(t) for t in tokens)).where("n > 1"), "grams")
     n_grams = grams.count()
     filter_bits = min(max(FILTER_BITS[0], int(16 * n_grams).bit_length()), FILTER_BITS[1])
     at = F.shiftrightunsigned("gram", 64 - filter_bits)
@@ -422,8 +426,11 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     order = np.argsort(frame.gram.to_numpy(np.int64).view(np.uint64))
     # as many parts as buckets of `floor`, and twice as many, for parts are uneven
     table = frame.gram.to_numpy(np.int64).view(np.uint64)[order], 1 + 2 * frame.n.to_numpy(np.int64)[order] // floor
-    some = pull(share(grams.where("t1 is not null"), SPLITTERS, "gram")).sort_values(list(tokens))
-    weight = np.cumsum(np.minimum(some.n.to_numpy(np.int64), floor))  # what is beyond is split
+    # grams that are frequent somewhere are all shown; of the others each stands for SHOWN. What is beyond `floor` is split
+    shown = grams.where("t1 is not null").withColumn("weight", F.least("n", F.lit(floor)) * F.when(F.col("often") == 1, 1).otherwise(SHOWN))
+    some = [pull(share(shown.where(F.col("often") == k), SPLITTERS, "gram")) for k in (0, 1)]
+    some = some[0].merge(some[1], how="outer").sort_values(list(tokens))
+    weight = np.cumsum(some.weight.to_numpy(np.int64))
     edges = np.unique(np.searchsorted(weight, weight[-1] * np.arange(1, partitions) / partitions)) if len(weight) else np.zeros(0, int)
     lead = np.ascontiguousarray((some[list(tokens)].to_numpy(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8")[edges])
     share_out = partial(put, spark)
