@@ -8,6 +8,7 @@ import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ TOKENIZER = "word_bpe_49k.json"
 #: Words met in several texts whose ids a Python worker keeps, about 30 MB, and words that it keeps within
 #: a task until they are as many.
 WORD_CACHE, PASSING = 150_000, 250_000
-#: Nodes visited before the best packing found so far is taken.
-NODES = 20_000
+#: Nodes visited before the best packing found so far is taken; levels of the search that keep their place in memory.
+NODES, LEVELS = 20_000, 64
 
 Pattern = tuple[tuple[int, int], ...]
 
@@ -159,9 +160,13 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
         waste -= (capacity - sum(filling)) * times
         bins -= times
 
-    stack = [options()]
+    # Of each level how many fillings were tried. Only the deepest levels keep their enumeration; others begin it anew.
+    stack: list[list] = [[options(), 0]]
     while stack and (nodes is None or seen < nodes):
-        chosen = next(stack[-1], None)
+        if stack[-1][0] is None:
+            stack[-1][0] = islice(options(), stack[-1][1], None)
+        stack[-1][1] += 1
+        chosen = next(stack[-1][0], None)
         if chosen is None:
             stack.pop()
             if path:
@@ -182,7 +187,9 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
         elif waste > (best_n - 1) * capacity - total:
             undo()
         else:
-            stack.append(options())
+            stack.append([options(), 0])
+            if len(stack) > LEVELS:
+                stack[-1 - LEVELS][0] = None
     return best
 
 
