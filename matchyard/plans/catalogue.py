@@ -416,7 +416,7 @@ bar AS (SELECT *, {'size': size, 'count': "count", 'spacing_mm': spacing_mm} AS
 l AS (SELECT id AS note, "row", col, level, type AS kind, [b] AS bars FROM bar WHERE source = 'plan'),
 r AS (SELECT id AS slot, "row", col, level, NULL AS level_to, type AS kind, [b] AS bars FROM bar WHERE source = 'shop'),
 pr AS (SELECT l.note, r.slot, l.level AS ll, r.level AS rl, l.kind AS lk, r.kind AS rk, l."row" AS lr, r."row" AS rr, l.col AS lc, r.col AS rc, l.bars[1] AS x, r.bars[1] AS y FROM l JOIN r ON l."row" = r."row" AND l.col = r.col
-  UNION ALL SELECT l.note, r.slot, l.level, r.level, l.kind, r.kind, l."row", r."row", l.col, r.col, l.bars[1], r.bars[1] FROM l JOIN r ON l."row" = r."row" AND floor(r.col) BETWEEN floor(l.col) - 1 AND floor(l.col) + 1
+  UNION ALL SELECT l.note, r.slot, l.level, r.level, l.kind, r.kind, l."row", r."row", l.col, r.col, l.bars[1], r.bars[1] FROM l JOIN r ON l."row" = r."row" AND abs(l.col - r.col) < 4.0  -- 4 columns apart cost 1.95 at least
    WHERE NOT EXISTS (SELECT 1 FROM r q WHERE q."row" = l."row" AND q.col = l.col)),
 sh AS (SELECT *, (CASE WHEN x.size = y.size THEN 1 ELSE 0 END + CASE WHEN x."count" = y."count" THEN 1 ELSE 0 END + CASE WHEN abs(x.spacing_mm - y.spacing_mm) <= greatest(5.0, 0.04::DOUBLE * greatest(x.spacing_mm, y.spacing_mm)) THEN 1 ELSE 0 END)
   / (CASE WHEN x.size IS NOT NULL AND y.size IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN x."count" IS NOT NULL AND y."count" IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN x.spacing_mm IS NOT NULL AND y.spacing_mm IS NOT NULL THEN 1 ELSE 0 END)::DOUBLE AS share FROM pr),
@@ -568,17 +568,16 @@ def _boxes(spark, sf_dir):
 
 
 @query(with_tables(BOXES_SQL) + """, p AS (SELECT a.id AS a, b.id AS b, greatest(0.0, b.x0 - a.x1, a.x0 - b.x1) AS dx, greatest(0.0, b.y0 - a.y1, a.y0 - b.y1) AS dy, greatest(0.0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0.0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS s,
- (a.x1 - a.x0) * (a.y1 - a.y0) AS sa, (b.x1 - b.x0) * (b.y1 - b.y0) AS sb FROM boxes a JOIN boxes b ON a.page = b.page AND a.id < b.id AND a.id % 5 = b.id % 5)
- SELECT a, b, round(sqrt(dx * dx + dy * dy), 3)::DOUBLE AS gap, round(s / (sa + sb - s), 4)::DOUBLE AS overlap, round(s / sa, 4)::DOUBLE AS inside FROM p""")
+ (a.x1 - a.x0) * (a.y1 - a.y0) AS sa, (b.x1 - b.x0) * (b.y1 - b.y0) AS sb FROM boxes a JOIN boxes b ON a.page = b.page AND a.id < b.id)
+ SELECT a, b, round(sqrt(dx * dx + dy * dy), 3)::DOUBLE AS gap, round(s / (sa + sb - s), 4)::DOUBLE AS overlap, round(s / sa, 4)::DOUBLE AS inside FROM p WHERE sqrt(dx * dx + dy * dy) <= 50.0""")
 def box_relations(spark, sf_dir):
     from matchyard.operators import geometry as g
 
-    b = _boxes(spark, sf_dir)
-    p = b.withColumnsRenamed({c: f"a_{c}" for c in b.columns}).join(b.withColumnsRenamed({c: f"b_{c}" for c in b.columns}), (F.col("a_page") == F.col("b_page")) & (F.col("a_id") < F.col("b_id")))
+    p = g.near_boxes(_boxes(spark, sf_dir), 50.0)
     return p.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(g.gap("a_", "b_"), 3).alias("gap"), F.round(g.overlap("a_", "b_"), 4).alias("overlap"), F.round(g.inside_share("a_", "b_"), 4).alias("inside"))
 
 
-@query(with_tables(BOXES_SQL) + ", pt AS (SELECT o_orderkey AS point, o_custkey % 25 AS page, ((o_orderkey * 29) % 950)::DOUBLE AS x, ((o_orderkey * 61) % 650)::DOUBLE AS y FROM orders) SELECT point, page, x, y FROM pt WHERE EXISTS (SELECT 1 FROM boxes b WHERE b.id % 10 = 0 AND b.page = pt.page AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)")
+@query(with_tables(BOXES_SQL) + ", pt AS (SELECT o_orderkey AS point, o_custkey % 25 AS page, ((o_orderkey * 29) % 950)::DOUBLE AS x, ((o_orderkey * 61) % 650)::DOUBLE AS y FROM orders) SELECT point, page, x, y FROM pt WHERE EXISTS (SELECT 1 FROM boxes b WHERE b.page = pt.page AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)")
 def points_in_regions(spark, sf_dir):
     from matchyard.operators import geometry as g
 
@@ -613,8 +612,8 @@ def line_crossings(spark, sf_dir):
     return g.crossings(h, v, 2.0)
 
 
-@query(with_tables(BOXES_SQL) + """, w AS (SELECT page, 'S-' || lpad(CAST(id % 1000 AS VARCHAR), 3, '0') AS text, x0, y0, id FROM boxes WHERE id % 3 = 0)
- SELECT page, text AS sheet FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY round(y0) DESC, x0 DESC) AS k FROM w WHERE x0 > 540.0 AND y0 > 420.0) WHERE k = 1""")
+@query(with_tables(BOXES_SQL) + """, w AS (SELECT page, 'S-' || lpad(CAST(id % 1000 AS VARCHAR), 3, '0') AS text, x0, y0, id FROM boxes)
+ SELECT page, text AS sheet FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY round(y0) DESC, x0 DESC, text DESC) AS k FROM w WHERE x0 > 540.0 AND y0 > 420.0) WHERE k = 1""")
 def sheet_numbers(spark, sf_dir):
     from matchyard.functions import sheets
 
@@ -670,7 +669,7 @@ def planted_recall(spark, sf_dir):
     return evaluate.recall(verdicts)
 
 
-@query(with_tables(ELEMENTS_SQL, PRIMARY_SQL, CROSS_SQL) + """, places AS (SELECT DISTINCT level, "row" || '-' || regexp_replace(CAST(col AS VARCHAR), '\\.0$', '') AS grid FROM elements WHERE page = 3)
+@query(with_tables(ELEMENTS_SQL, PRIMARY_SQL, CROSS_SQL) + """, places AS (SELECT DISTINCT level, "row" || '-' || regexp_replace(CAST(col AS VARCHAR), '\\.0$', '') AS grid FROM elements)
  SELECT k.level, k.grid, EXISTS (SELECT 1 FROM findings f WHERE f.level = k.level AND f.grid = k.grid AND f.status IN ('non_compliant', 'missing', 'added')) AS found FROM places k""")
 def known_items(spark, sf_dir):
     from matchyard.operators import evaluate
