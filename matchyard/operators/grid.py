@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left
 from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchyard.operators.layout import clusters
+from matchyard.operators.matching import letter_rank
+
 # What a gridline's label looks like, and where between two lines a note may belong to either.
 ROW_LABEL, COLUMN_LABEL = r"[A-Z]{1,2}(?:\.\d|')?", r"\d{1,2}(?:\.\d)?"
 EITHER = (0.2, 0.8)
@@ -46,70 +47,48 @@ def snap_confidence(d: Column, runner_up: Column, tolerance: float) -> Column:
     return F.when(d > tolerance, F.lit(None)).when(d < TIGHT * tolerance, 1.0).otherwise(F.round(F.greatest(F.lit(0.0), margin), 3))
 
 
-def rank(label: str) -> float:
-    """Order of row labels: A to Z, AA, BB and so on; decimals and primes lie between."""
-    base = re.match("[A-Z]+", label)[0]
-    tenths = re.search(r"\.(\d)", label)
-    return 26 * (len(base) - 1) + ord(base[-1]) - 64 + (int(tenths[1]) / 10 if tenths else 0) + (0.05 if label.endswith("'") else 0)
-
-
-def longest_run(values: list[float]) -> int:
-    """Length of the longest subsequence that only rises or only falls."""
-
-    def rising(seq) -> int:
-        tails: list[float] = []
-        for v in seq:
-            i = bisect_left(tails, v)
-            tails[i : i + 1] = [v]
-        return len(tails)
-
-    return max(rising(values), rising([-v for v in values]), 0)
-
-
-def _axis(labels: list[tuple[float, float, float, str]], tolerance: float, apart: float) -> tuple[tuple[int, int, int], list[tuple[float, str]]]:
-    """labels: (across, along, value, text). The line of labels with the longest monotonic run, then the most labels that
-    have a twin on the opposite edge, then the most labels: its score and its (position, text)."""
-    groups: list[list] = []
-    for item in sorted(labels):
-        if groups and item[0] - groups[-1][-1][0] <= tolerance:
-            groups[-1].append(item)
-        else:
-            groups.append([item])
-    best: tuple[tuple[int, int, int], list] = ((0, 0, 0), [])
-    for group in groups:
-        along = sorted(group, key=lambda x: x[1])
-        twins = {v for a, p, v, _ in group if any(v2 == v and abs(a2 - a) >= apart and abs(p2 - p) <= tolerance for a2, p2, v2, _ in labels)}
-        score = (longest_run([v for _, _, v, _ in along]), len(twins), len(group))
-        if score > best[0]:
-            best = (score, along)
-    seen: dict[str, float] = {}
-    for _, p, _, text in best[1]:
-        seen.setdefault(text, round(p, 2))
-    return best[0], [(p, t) for t, p in seen.items()]
+def longest_run(values: Column) -> Column:
+    """Length of the longest subsequence of an array that only rises or only falls; 0 for an empty one.
+
+    For each value in turn the best run that ends in it: one longer than the best among lower values before it."""
+    state = "array<struct<v:double,n:int>>"
+
+    def rising(array: Column) -> Column:
+        step = lambda seen, v: F.concat(seen, F.array(F.struct(v.alias("v"), (F.coalesce(F.array_max(F.transform(F.filter(seen, lambda x: x["v"] < v), lambda x: x["n"])), F.lit(0)) + 1).alias("n"))))
+        return F.aggregate(array, F.array().cast(state), step, lambda seen: F.coalesce(F.array_max(F.transform(seen, lambda x: x["n"])), F.lit(0)))
+
+    return F.greatest(rising(values.cast("array<double>")), rising(F.transform(values, lambda v: -v).cast("array<double>")))
 
 
 def fit(words: DataFrame, tolerance: float, apart: float = 200.0) -> DataFrame:
     """Gridlines of each page: page, letters_on (the axis along which letters run), axis (row, column), label, pos.
 
-    words: page, text, cx, cy. Rows are letters and columns small numbers; both ways of drawing are tried, and the one
-    whose labels are in better order wins. Pages with fewer than four labels of a kind have no grid."""
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        kinds = {"row": (ROW_LABEL, rank), "column": (COLUMN_LABEL, float)}
-        labels = {k: [(x, y, value(t), t) for t, x, y in zip(frame.text, frame.cx, frame.cy) if re.fullmatch(pattern, t)] for k, (pattern, value) in kinds.items()}
-        best, out = (0, 0, 0), []
-        for letters_on in ("y", "x"):
-            found = {}
-            for kind, items in labels.items():
-                upright = (kind == "row") == (letters_on == "y")  # a vertical line of labels
-                found[kind] = _axis([(x, y, v, t) if upright else (y, x, v, t) for x, y, v, t in items], tolerance, apart)
-            score = tuple(a + b for a, b in zip(found["row"][0], found["column"][0]))
-            if min(len(found["row"][1]), len(found["column"][1])) >= LEAST_LABELS and score > best:
-                best = score
-                out = [(frame.page.iloc[0], letters_on, kind, t if kind == "row" else f"{float(t):g}", p) for kind in found for p, t in found[kind][1]]
-        return pd.DataFrame(out, columns=["page", "letters_on", "axis", "label", "pos"])
-
-    return words.select("page", "text", "cx", "cy").where("text is not null").groupBy("page").applyInPandas(one, f"page {words.schema['page'].dataType.simpleString()}, letters_on string, axis string, label string, pos double")
+    words: page, text, cx, cy. Rows are letters and columns small numbers. Both ways of drawing are tried: labels that
+    stand in one line are clustered, a line is scored by its longest ordered run, by its labels that come again at the
+    opposite edge, and by its size, and the way whose best lines score more wins. Pages with fewer than four labels of a
+    kind have no grid. Labels of a page are few; everything else is grouped and windowed."""
+    text = F.col("text")
+    kind = F.when(text.rlike(f"^(?:{ROW_LABEL})$"), "row").when(text.rlike(f"^(?:{COLUMN_LABEL})$"), "column")
+    labels = words.select("page", "text", "cx", "cy", kind.alias("axis")).where("axis is not null")
+    labels = labels.withColumn("value", F.when(F.col("axis") == "row", letter_rank(text)).otherwise(text.cast("double")))
+    labels = labels.withColumn("letters_on", F.explode(F.array(F.lit("x"), F.lit("y"))))
+    upright = (F.col("axis") == "row") == (F.col("letters_on") == "y")  # a vertical line of labels
+    labels = labels.withColumns({"across": F.when(upright, F.col("cx")).otherwise(F.col("cy")), "along": F.when(upright, F.col("cy")).otherwise(F.col("cx"))})
+    way = ["page", "letters_on", "axis"]
+    lined = clusters(labels, way, "across", tolerance)
+    other = labels.select(*way, "value", F.col("across").alias("_a"), F.col("along").alias("_p"))
+    twins = lined.join(other, [*way, "value"]).where((F.abs(F.col("_a") - F.col("across")) >= apart) & (F.abs(F.col("_p") - F.col("along")) <= tolerance))
+    twins = twins.groupBy(*way, "cluster").agg(F.count_distinct("value").alias("twins"))
+    lines = lined.groupBy(*way, "cluster").agg(F.sort_array(F.collect_list(F.struct("along", "across", "value", "text"))).alias("labels")).join(twins, [*way, "cluster"], "left")
+    score = F.struct(longest_run(F.col("labels.value")).alias("run"), F.coalesce("twins", F.lit(0)).alias("twins"), F.size("labels").alias("n"), (-F.col("cluster")).alias("first"))
+    best = lines.groupBy(*way).agg(F.max(F.struct(score.alias("score"), "labels")).alias("b")).select(*way, "b.score", "b.labels")
+    enough = F.size(F.array_distinct("labels.text")) >= LEAST_LABELS
+    pages = best.groupBy("page", "letters_on").agg(*(F.sum(f"score.{c}").alias(c) for c in ("run", "twins", "n")), F.count_if(enough).alias("kinds")).where("kinds = 2")
+    chosen = pages.groupBy("page").agg(F.max(F.struct("run", "twins", "n", "letters_on")).alias("w")).select("page", "w.letters_on")
+    each = best.join(chosen, ["page", "letters_on"]).select("page", "letters_on", "axis", F.posexplode("labels").alias("k", "label"))
+    first = each.groupBy("page", "letters_on", "axis", F.col("label.text").alias("text")).agg(F.min_by(F.col("label.along"), "k").alias("pos"), F.first("label.value").alias("value"))
+    name = F.when(F.col("axis") == "row", F.col("text")).otherwise(F.regexp_replace(F.col("value").cast("string"), r"\.0$", ""))
+    return first.select("page", "letters_on", "axis", name.alias("label"), F.round("pos", 2).alias("pos"))
 
 
 def views(lines: DataFrame) -> DataFrame:

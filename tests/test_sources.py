@@ -97,11 +97,21 @@ def test_line_measures():
     assert read_line("3x4")["section"] is None
 
 
-def test_bar_comparison():
-    plan = [{"role_hint": "main", "count": 8, "size": "25M"}, {"role_hint": "ties", "size": "10M", "spacing_mm": 150.0}]
-    shop = [{"role_hint": "ties", "size": "10M", "spacing_mm": 152.4}, {"role_hint": "main", "count": 6, "size": "25M"}]
-    got = bars.compare(plan, shop)
-    assert ("counted bars count", 8, 6, "different") in got and ("spaced bars spacing_mm", 150.0, 152.4, "equal") in got
-    assert bars.compare([{"count": 8, "size": "25M"}], [{"count": 6, "size": "20M"}])[0][3] == "not_comparable"
-    assert [r[3] for r in bars.compare([{"count": 8, "size": "25M"}], [{"size": "25M", "count": 6}])] == ["possible_difference", "equal"]
-    assert [r[3] for r in bars.compare([{"role_hint": "dowel", "count": 8}], [{"role_hint": "ties", "count": 8}])] == ["plan_only", "shop_only"]
+def test_bar_comparison(spark):
+    kind = "array<struct<role_hint:string,count:int,secondary_count:int,groups:int,size:string,spacing_mm:double>>"
+    bar = lambda role=None, count=None, second=None, groups=None, size=None, spacing=None: (role, count, second, groups, size, spacing)
+    notes = [
+        (1, [bar("main", 8, size="25M"), bar("ties", size="10M", spacing=150.0)], [bar("ties", size="10M", spacing=152.4), bar("main", 6, size="25M")]),
+        (2, [bar(count=8, size="25M")], [bar(count=6, size="20M")]),
+        (3, [bar(count=8, size="25M")], [bar(count=6, size="25M")]),
+        (4, [bar("dowel", 8)], [bar("ties", 8)]),
+        (5, None, [bar(count=8, second=2, groups=3, size="25M")]),
+        (6, [bar(count=8, second=4, size="25M")], [bar(count=6, second=4, size="25M")]),
+    ]
+    got = {r["id"]: r for r in bars.compare_notes(spark.createDataFrame(notes, f"id int, plan_bars {kind}, shop_bars {kind}")).collect()}
+    said = {k: [tuple(x) for x in r["records"]] for k, r in got.items()}
+    assert ("counted bars count", "8", "6", "different") in said[1] and ("spaced bars spacing_mm", "150.0", "152.4", "equal") in said[1]
+    assert said[2] == [("counted bars", "8 25M", "6 20M", "not_comparable")]
+    assert [r[3] for r in said[3]] == ["possible_difference", "equal"] and [r[3] for r in said[4]] == ["plan_only", "shop_only"]
+    assert said[5] == [("bars", None, "3 x 8 (2) 25M", "shop_only")] and ("counted bars count", "8", "6", "different") in said[6]
+    assert {k: r["status"] for k, r in got.items()} == {1: "differs", 2: "uncertain", 3: "uncertain", 4: "uncertain", 5: "uncertain", 6: "differs"}

@@ -166,8 +166,10 @@ def test_grid_is_found_whichever_way_it_is_drawn(spark):
 def test_views_and_levels(spark):
     from matchyard.operators.grid import level_in_view, longest_run, views
 
+
     lines = [(1, 0.0, "N3", 9000.0), (1, 10.0, "N2", 6000.0), (1, 20.0, "N1", None), (1, 30.0, "N3", 9000.0), (1, 40.0, "N2", 6000.0)]
     got = sorted((r["y"], r["level"], r["view"]) for r in views(spark.createDataFrame(lines, "page int, y double, level string, elevation_mm double")).collect())
     assert [v for _, _, v in got] == [0, 0, 0, 1, 1]
     assert [level_in_view(got, y) for y in (-1.0, 5.0, 25.0, 35.0, 50.0)] == ["UNKNOWN", "N2", "FDN", "N2", "FDN"]
-    assert longest_run([3, 1, 2, 5, 4, 9]) == 4 and longest_run([]) == 0
+    runs = spark.createDataFrame([([3.0, 1.0, 2.0, 5.0, 4.0, 9.0],), ([],), ([5.0, 4.0, 4.0, 1.0],)], "v array<double>").select(longest_run(F.col("v")).alias("n"))
+    assert [r["n"] for r in runs.collect()] == [4, 0, 3]
