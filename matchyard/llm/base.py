@@ -86,7 +86,7 @@ def crc_mod(column: str, mod: int):
 
 
 _shipped: set[str] = set()
-BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def _gives_back(function):
@@ -149,7 +149,7 @@ def ints(values) -> np.ndarray:
     return np.asarray(values, np.uint64).view(np.int64)
 
 
-def text_blocks(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Consecutive rows of a string column with about `limit` bytes: (first row, row after, bytes, offsets). Null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
