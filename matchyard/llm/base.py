@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import shutil
 import sys
 import tempfile
@@ -76,6 +77,14 @@ def release(spark: SparkSession, paths: list[str]) -> None:
     _written[:] = [e for e in _written if e[0] is not spark or e[1] not in paths]
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Collects garbage of both driver processes and gives the memory back. Spark frees shuffles, broadcasts and tables that
+    nothing refers to any more only after its driver has done so."""
+    gc.collect()
+    spark._jvm.System.gc()
+    _trim()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -141,7 +150,9 @@ def arrow_stage(df: DataFrame, function, schema: str) -> DataFrame:
 
 def pull(df: DataFrame):
     """A result of bounded size as a pandas frame, by Arrow."""
-    return df.toArrow().to_pandas()
+    frame = df.toArrow().to_pandas()
+    _trim()
+    return frame
 
 
 def ints(values) -> np.ndarray:
