@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchyard.llm import jaccard, mixing, packing, quality, suffixes
-from matchyard.llm.base import documents, release, scratch_root, small, stash, written
+from matchyard.llm.base import collect_garbage, documents, release, scratch_root, small, stash, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: No SQL states a trained classifier's decisions, so none states the rows of run().
@@ -22,12 +22,14 @@ _finished: dict[str, list[str]] = {}
 
 
 def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]):
-    """Deletes the intermediate tables of the stage before, whose result has been written when the next stage begins."""
+    """Deletes the intermediate tables and broadcasts of the stage before, whose result must have been written when the
+    next stage is called, and gives memory back."""
 
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         session = spark.sparkContext.applicationId
         release(spark, _finished.pop(session, []))
+        collect_garbage(spark)
         before = set(written(spark))
         out = function(spark, docs, sf_dir)
         _finished[session] = [p for p in written(spark) if p not in before]
@@ -38,7 +40,8 @@ def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]):
 
 @_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. Null and empty texts are scored as empty ones, long texts whole,
+    rows that repeat each; other columns pass through; an empty table gives none."""
     others = tuple(c for c in docs.columns if c != "doc_id")
     return quality.classify(spark, docs, sf_dir, keep=others).where("predicted = 1").select(*docs.columns)
 
@@ -48,7 +51,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near duplicates stays, the one with the least id.
 
     Rows are told apart by id and text: of rows that repeat with both one stays, and an id's other texts stay when one of
-    its texts goes. Rows without an id stay."""
+    its texts goes. Rows without an id stay, and so do null and empty texts, which are no one's copies. Other columns pass
+    through; an empty table gives none."""
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
     found = stash(jaccard.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").distinct(), "found")
     groups = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("component_id")
@@ -63,7 +67,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 @_stage
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every text loses the bytes that stand elsewhere too; n_chars follows. A text that loses all stays, empty."""
+    """Every text loses the bytes that stand elsewhere too; n_chars follows. A text that loses all stays,
+    empty; null stays null. Other columns pass through; an empty table gives none."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     out = suffixes.remove_repeats(docs, keep=others).withColumn("text", F.col("kept"))
     if "n_chars" in others:
@@ -74,7 +79,8 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 @_stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents come as often as the mix takes them, 0 to 3 times; the one that a source's target cuts comes whole if at
-    least half of it is taken."""
+    least half of it is taken. Texts without words are never taken, a null source is a source, rows that repeat are taken
+    together; other columns pass through; an empty table gives none."""
     keyed = docs.withColumn("_text", F.xxhash64("text"))
     taken = mixing.mix(keyed, keep=("_text",)).where("size > 0").select("doc_id", "_text", F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
     grouped = stash(taken.groupBy("doc_id", "_text").agg(F.sum("_copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0"), "taken")
@@ -87,7 +93,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all rows, with their token ids, in as few sequences as can be found."""
+    """Pieces of all rows, with their token ids, in as few sequences as can be found. Null and empty texts
+    are the end id alone, long texts are cut into pieces, rows that repeat are packed each; an empty table gives none."""
     return packing.pack(docs, payload=True)
 
 
