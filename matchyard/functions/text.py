@@ -148,3 +148,14 @@ def clip(text: Column, n: int) -> Column:
     """At most n characters, white space collapsed, an ellipsis for the rest."""
     t = F.trim(F.regexp_replace(text, r"\s+", " "))
     return F.when(F.length(t) <= n, t).otherwise(F.concat(F.substring(t, 1, n - 1), F.lit("…")))
+
+
+def quantity_line(text: Column) -> Column:
+    """How many pieces a line asks for: a number and then a word for it."""
+    return part(F.upper(F.trim(text)), r"^(\d+)\s*(?:REQUIS|REQ|QTY|PCS)\b", 1).try_cast("int")
+
+
+def scale_of(text: Column) -> Column:
+    """`ECHELLE: 1:50`: the ratio behind a word for scale."""
+    word = part(plain(text), r"(?:ECHELLE|ECH|SCALE)[\s.:]*(1\s*[:/]\s*\d+)", 1)
+    return F.trim(word)

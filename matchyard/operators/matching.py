@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from matchyard import schema as S
 from matchyard.operators.assignment import on_a_line, with_opting_out
 from matchyard.operators.checks import key_of
+from matchyard.operators.durable import settled
 
 KEY = ("type", "level", "row", "col")
 
@@ -167,7 +168,7 @@ def numbered(rows: DataFrame, name: str, pattern: str, *order: str, ranges: int
     """Consecutive ids by a total order, without one task that sorts all: rows are range-partitioned, counted by
     partition, and numbered within."""
     # kept, as sampling anew would deal rows otherwise than they were counted
-    placed = rows.repartitionByRange(ranges, *order).withColumn("_p", F.spark_partition_id()).persist()
+    placed = settled(rows.repartitionByRange(ranges, *order).withColumn("_p", F.spark_partition_id()))
     counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     within = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
