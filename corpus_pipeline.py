@@ -38,12 +38,19 @@ def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]):
     return run_stage
 
 
+def _aliased(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """doc_id and text, and all columns under names that an operator's own can't clash with; these names and the columns'."""
+    names = {f"_column_{i}": c for i, c in enumerate(docs.columns)}
+    return docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(k) for k, c in names.items())), names
+
+
 @_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go. Null and empty texts are scored as empty ones, long texts whole,
     rows that repeat each; other columns pass through; an empty table gives none."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    return quality.classify(spark, docs, sf_dir, keep=others).where("predicted = 1").select(*docs.columns)
+    rows, names = _aliased(docs)
+    kept = quality.classify(spark, rows, sf_dir, keep=tuple(names)).where("predicted = 1")
+    return kept.select(*(F.col(k).alias(c) for k, c in names.items()))
 
 
 @_stage
@@ -69,11 +76,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every text loses the bytes that stand elsewhere too; n_chars follows. A text that loses all stays,
     empty; null stays null. Other columns pass through; an empty table gives none."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = suffixes.remove_repeats(docs, keep=others).withColumn("text", F.col("kept"))
-    if "n_chars" in others:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    rows, names = _aliased(docs)
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept")}
+    out = suffixes.remove_repeats(rows, keep=tuple(k for k, c in names.items() if c not in new))
+    return out.select(*(new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(k).alias(c) for k, c in names.items()))
 
 
 @_stage
