@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 import __spark_entry__
 from matchyard.llm import jaccard, mixing, packing, quality
@@ -44,4 +46,21 @@ def test_rows_that_repeat_and_nulls(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         out.write.parquet(f"{tmp_path}/{i}")
         docs = spark.read.parquet(f"{tmp_path}/{i}")
-    assert docs.count() >= 0
+    rows = docs.collect()
+    assert rows and all(len(r["ids"]) == 4 * r["length"] for r in rows)
+
+
+def test_empty_tables_and_extra_columns(spark, tmp_path):
+    spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    names = ("row", "key", "n", "size", "at", "score", "token", "before", "k1", "kept", "predicted", "n_bytes", "_rows")
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(i, f"text {i} " * (1 + i), "en", "s", 0) for i in range(40)] + [(60, long, "en", "t", 0), (61, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *(F.lit(i).alias(c) for i, c in enumerate(names)))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns, name
+        ids = Counter(r["doc_id"] for r in got.collect())
+        assert set(ids) <= {r[0] for r in rows} and (name != "suffix_dedup" or ids == Counter(r[0] for r in rows))
+        assert got.where("row <> 0 or k1 <> 8").count() == 0
