@@ -273,55 +273,64 @@ def learn(encoder: Encoder, words: set[bytes], known: dict[bytes, bytes]) -> Non
         known[w] = known[head] + known[tail]
 
 
+def token_ids(path: str, end: int, batches) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Each batch, and the ids (little-endian, 4 bytes each) of the texts in its third column, `end` after each. Ids are
+    looked up by words between ASCII white space; the tokenizer drops white space and never joins words over it, so that
+    is exact. A worker keeps the ids of words that several texts hold, WORD_CACHE of them at most; where fewer than half
+    of the words are known, it starts anew."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if path not in _known:
+        _known[path] = Encoder(path), {}
+    encoder, known = _known[path]
+    last = end.to_bytes(4, "little")
+    passing: dict[bytes, bytes] = {}
+    for batch in batches:
+        asked = missed = 0
+        out: list[bytes] = []
+        texts = batch.column(2).cast(pa.large_binary() if pa.types.is_large_string(batch.schema.field(2).type) else pa.binary())
+        for text in texts.to_pylist():
+            text = text or b""
+            if not (b"<|" in text or b"\xcc" in text or b"\xcd" in text):
+                text = text.lower()  # the tokenizer does so too; only its own marks and combining marks come before
+            words = text.split()
+            found = list(map(known.get, words))
+            asked += len(words)
+            if None in found:
+                at = [i for i, f in enumerate(found) if f is None]
+                missed += len(at)
+                if len(passing) > PASSING:
+                    passing.clear()
+                missing = {words[i] for i in at}
+                seen = [w for w in missing if w in passing]
+                if len(known) < WORD_CACHE:
+                    known.update((w, passing[w]) for w in seen)
+                if len(seen) < len(missing):
+                    learn(encoder, missing.difference(seen), passing)
+                for i in at:
+                    found[i] = passing[words[i]]
+            out.append(b"".join([*found, last]))
+        if len(known) >= WORD_CACHE and 2 * missed > asked:  # another kind of text
+            known.clear()
+        yield batch, out
+
+
 def tokenize(path: str, capacity: int, payload: bool):
-    """A mapInArrow function: (row, doc_id, text) to pieces. Ids are looked up by words between ASCII white space; the
-    tokenizer drops white space and never joins words over it, so that is exact. A worker keeps the ids of words that
-    several texts hold, WORD_CACHE of them at most; where fewer than half of the words are known, it starts anew."""
+    """A mapInArrow function: (row, doc_id, text) to pieces."""
 
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path not in _known:
-            _known[path] = Encoder(path), {}
-        encoder, known = _known[path]
-        end = (0).to_bytes(4, "little")
         types = (pa.int64(), None, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         names = ("row", "doc_id", "piece", "start", "length", "ids_crc32", "ids")
         keep = 7 if payload else 6
-        passing: dict[bytes, bytes] = {}
-        for batch in batches:
-            asked = missed = 0
+        for batch, found in token_ids(path, 0, batches):
             out: list[list] = [[], [], [], [], [], [], []]
-            texts = batch.column(2).cast(pa.large_binary() if pa.types.is_large_string(batch.schema.field(2).type) else pa.binary())
-            for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts.to_pylist()):
-                text = text or b""
-                if not (b"<|" in text or b"\xcc" in text or b"\xcd" in text):
-                    text = text.lower()  # the tokenizer does so too; only its own marks and combining marks come before
-                words = text.split()
-                found = list(map(known.get, words))
-                asked += len(words)
-                if None in found:
-                    at = [i for i, f in enumerate(found) if f is None]
-                    missed += len(at)
-                    if len(passing) > PASSING:
-                        passing.clear()
-                    missing = {words[i] for i in at}
-                    seen = [w for w in missing if w in passing]
-                    if len(known) < WORD_CACHE:
-                        known.update((w, passing[w]) for w in seen)
-                    if len(seen) < len(missing):
-                        learn(encoder, missing.difference(seen), passing)
-                    for i in at:
-                        found[i] = passing[words[i]]
-                ids = b"".join([*found, end])
+            for row, doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), found):
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for column, x in zip(out, (row, doc, piece, at // 4, len(part) // 4, zlib.crc32(part), part if payload else None)):
                         column.append(x)
             arrays = [pa.array(x, t or batch.schema.field(1).type) for x, t in zip(out, types)]
-            if len(known) >= WORD_CACHE and 2 * missed > asked:  # another kind of text
-                known.clear()
             yield pa.RecordBatch.from_arrays(arrays[:keep], names=names[:keep])
 
     return run

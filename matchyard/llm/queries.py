@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchyard.llm import jaccard, language, lm, mixing, packing, quality, suffixes, tiles, topk, toxicity
+from matchyard.llm import jaccard, language, lm, mixing, packing, quality, slack, suffixes, tiles, topk, toxicity
 from matchyard.llm.base import documents
 from matchyard.llm.vectors import embeddings
 
@@ -49,7 +49,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_exact_topk, op4_language_id, op5_quality_classifier, op6_embedding_near_dedup, op7_suffix_dedup, op8_toxicity, op9_source_mixing, op10_lm_scoring)}
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slack.pack(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_exact_topk, op4_language_id, op5_quality_classifier, op6_embedding_near_dedup, op7_suffix_dedup, op8_toxicity, op9_source_mixing, op10_lm_scoring, op12_packing)}
 
 OP9_SQL = r"""
 WITH sizes AS (
