@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchyard.llm import jaccard, language, lm, mixing, packing, quality, slack, suffixes, tiles, topk, toxicity
+from matchyard.llm import jaccard, language, lm, mixing, packing, phrases, quality, slack, suffixes, tiles, topk, toxicity
 from matchyard.llm.base import documents
 from matchyard.llm.vectors import embeddings
 
@@ -49,11 +49,15 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir))
 
 
+def op11_phrase_collocation_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slack.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_exact_topk, op4_language_id, op5_quality_classifier, op6_embedding_near_dedup, op7_suffix_dedup, op8_toxicity, op9_source_mixing, op10_lm_scoring, op12_packing)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_exact_topk, op4_language_id, op5_quality_classifier, op6_embedding_near_dedup, op7_suffix_dedup, op8_toxicity, op9_source_mixing, op10_lm_scoring, op11_phrase_collocation_mining, op12_packing)}
 
 OP9_SQL = r"""
 WITH sizes AS (
@@ -91,4 +95,30 @@ SELECT q.doc_id, q.size, q.source_size, q.target, CAST(COALESCE(k.taken, 0) AS B
 FROM q LEFT JOIN k USING (rowid)
 """
 
-ORACLE_SQL = {"op9_source_mixing": OP9_SQL}
+OP11_SQL = r"""
+WITH w AS (
+  SELECT COALESCE(lang, 'und') AS lang, regexp_extract_all(UNNEST(regexp_split_to_array(
+         translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws
+  FROM documents),
+t AS (SELECT lang, CAST(SUM(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (  -- frequencies of one to five words
+  SELECT lang, ph, COUNT(*) AS a
+  FROM (SELECT lang, list_slice(ws, i, i + k - 1) AS ph FROM w, UNNEST(range(1, 6)) AS ks(k), UNNEST(range(1, len(ws) - k + 2)) AS s(i))
+  GROUP BY lang, ph HAVING COUNT(*) >= 100),
+c AS (
+  SELECT f.lang, f.ph, f.a, x.a AS l, y.a AS r, t.n, k, CAST((1000::HUGEINT * f.a * t.n) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM f, UNNEST(range(1, len(f.ph))) AS ks(k), f AS x, f AS y, t
+  WHERE x.lang = f.lang AND x.ph = list_slice(f.ph, 1, k) AND y.lang = f.lang AND y.ph = list_slice(f.ph, k + 1, len(f.ph)) AND t.lang = f.lang),
+b AS (SELECT * FROM c QUALIFY ROW_NUMBER() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
+held AS (  -- candidates inside longer ones
+  SELECT DISTINCT g.lang, g.ph
+  FROM f AS o, UNNEST(range(2, len(o.ph))) AS ks(k), UNNEST(range(1, len(o.ph) - k + 2)) AS s(i), f AS g
+  WHERE g.lang = o.lang AND g.ph = list_slice(o.ph, i, i + k - 1) AND 100 * o.a >= 100 * g.a),
+e AS (
+  SELECT b.lang, array_to_string(b.ph, ' ') AS phrase, b.a, l, r, n, score
+  FROM b LEFT JOIN held ON held.lang = b.lang AND held.ph = b.ph WHERE held.ph IS NULL)
+SELECT lang, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM e QUALIFY rank <= 2000
+"""
+
+ORACLE_SQL = {"op9_source_mixing": OP9_SQL, "op11_phrase_collocation_mining": OP11_SQL}
