@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchyard.llm import jaccard, language, lm, mixing, packing, phrases, quality, slack, suffixes, tiles, topk, toxicity
+from matchyard.llm import jaccard, language, lm, mixing, packing, phrases, quality, slack, suffixes, tiles, topk, toxicity, tries
 from matchyard.llm.base import documents
 from matchyard.llm.vectors import embeddings
 
@@ -57,7 +57,11 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slack.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_exact_topk, op4_language_id, op5_quality_classifier, op6_embedding_near_dedup, op7_suffix_dedup, op8_toxicity, op9_source_mixing, op10_lm_scoring, op11_phrase_collocation_mining, op12_packing)}
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_exact_topk, op4_language_id, op5_quality_classifier, op6_embedding_near_dedup, op7_suffix_dedup, op8_toxicity, op9_source_mixing, op10_lm_scoring, op11_phrase_collocation_mining, op12_packing, op13_conversation_prefix_trie)}
 
 OP9_SQL = r"""
 WITH sizes AS (
@@ -121,4 +125,31 @@ SELECT lang, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM e QUALIFY rank <= 2000
 """
 
-ORACLE_SQL = {"op9_source_mixing": OP9_SQL, "op11_phrase_collocation_mining": OP11_SQL}
+OP13_SQL = r"""
+WITH c AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS own,
+         -- crc32 of the id's digits, bit by bit
+         xor(list_reduce(list_prepend(4294967295, flatten([[CAST(ascii(d) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] FOR d IN string_split(CAST(conv_id AS VARCHAR), '')])),
+           lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) ELSE xor(acc >> 1, 3988292384 * (acc & 1)) END), 4294967295) % 6 AS h
+  FROM (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+  GROUP BY conv_id),
+r AS (
+  SELECT c.conv_id, list_concat(COALESCE(list_slice(b.own, 1, c.h), []), list_slice(c.own, c.h + 1, len(c.own))) AS turns
+  FROM c LEFT JOIN c AS b ON b.conv_id = c.conv_id - c.conv_id % 100),
+p AS (SELECT conv_id, turns, d, list_slice(turns, 1, d) AS node FROM r, UNNEST(range(0, len(turns) + 1)) AS ds(d)),
+n AS (
+  SELECT d, node, MIN(conv_id) AS conv_id, COUNT(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(turns) = d) AS ends
+  FROM p GROUP BY d, node),
+k AS (SELECT d - 1 AS d, list_slice(node, 1, d - 1) AS node, COUNT(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+v AS (
+  SELECT n.*, COALESCE(k.n_children, 0) AS n_children, CASE WHEN n.d > 0 THEN (n_convs - 1) * length(n.node[n.d].text) ELSE 0 END AS saved
+  FROM n LEFT JOIN k ON k.d = n.d AND k.node = n.node),
+s AS (  -- every node to all above it and itself
+  SELECT up AS d, list_slice(node, 1, up) AS node, SUM(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, SUM(saved) AS saved_tokens
+  FROM v, UNNEST(range(0, d + 1)) AS us(up) GROUP BY 1, 2)
+SELECT v.conv_id, v.d AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(COALESCE(v.ends, '')) AS ends_sha256
+FROM v JOIN s ON s.d = v.d AND s.node = v.node LEFT JOIN n AS u ON u.d = v.d - 1 AND u.node = list_slice(v.node, 1, v.d - 1) AND v.d > 0
+"""
+
+ORACLE_SQL = {"op9_source_mixing": OP9_SQL, "op11_phrase_collocation_mining": OP11_SQL, "op13_conversation_prefix_trie": OP13_SQL}
