@@ -6,7 +6,7 @@ import duckdb
 import pyarrow as pa
 import pytest
 
-from matchyard.plans import catalogue, findings  # noqa: F401  findings registers its queries
+from matchyard.plans import catalogue, drawings, findings  # noqa: F401  they register their queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
