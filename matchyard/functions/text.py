@@ -47,61 +47,74 @@ def count_size(text: Column) -> tuple[Column, Column]:
     return part(text, pattern, 1).cast("int"), F.upper(part(text, pattern, 2))
 
 
-def after(text: Column, words: tuple[str, ...]) -> Column:
-    """What follows the word, without the dot and colon behind it; null if none of the words, in their order, is there."""
-    upper = F.upper(text)
-    ends = [F.when(F.instr(upper, w) > 0, F.instr(upper, w) + len(w)) for w in words]
-    begin = F.coalesce(*ends)
-    return F.when(begin.isNotNull(), F.ltrim(F.substr(text, begin), F.lit(". :")))
+def first_of(text: Column, sign: str, read) -> Column:
+    """What read(before, behind) makes of the first place of `sign` where it makes something: a text is cut at every place of
+    the sign, and read() gets the pieces on both sides of each."""
+    pieces = F.split(text, sign, -1)
+    each = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: read(F.get(pieces, i - 1), F.get(pieces, i)))
+    return F.when(F.size(pieces) > 1, F.get(F.filter(each, lambda x: x.isNotNull()), F.lit(0)))
 
 
-def measure(text: Column) -> tuple[Column, Column]:
-    """The number that a text begins with, and the unit right behind it: mm, cm, m or quotes."""
-    digits = part(F.trim(text), r"^(\d+(?:\.\d+)?)", 1)
-    behind = F.ltrim(F.substr(F.trim(text), F.length(digits) + 1))
-    unit = F.coalesce(part(F.lower(behind), r"^([mc]?m)\b", 1), part(behind, rf"^([{QUOTES}]{{1,2}})", 1))
-    return digits.cast("double"), unit
+def first_word(words: tuple[str, ...]) -> str:
+    return rf"(?iu)(?:{'|'.join(sorted(words, key=len, reverse=True))})"
+
+
+# How numbers and the units behind them are written.
+NUMBER, SPACING_UNIT = r"\d+(?:\.\d+)?", rf"mm|cm|[{QUOTES}]{{1,2}}"
+
+
+def fields(text: Column, pattern: str, *kinds: str) -> list[Column]:
+    """The groups of an anchored pattern, cast; null where the pattern doesn't fit."""
+    return [part(text, pattern, i + 1).try_cast(kind) for i, kind in enumerate(kinds)]
 
 
 def size_spacing(text: Column) -> tuple[Column, Column]:
-    """`10M@6"`: a size before the sign and a length behind it, in mm."""
-    sides = F.split(text, "@", 2)
-    size = part(F.upper(F.rtrim(F.get(sides, F.lit(0)))), f"({SIZE})$", 1)
-    value, unit = measure(F.get(sides, F.lit(1)))
-    both = size.isNotNull() & value.isNotNull()
-    return F.when(both, size), F.when(both, bare_spacing(value, F.nullif(unit, F.lit("m"))))
+    """`10M@6"`: a size before a sign and a length behind it, in mm."""
+
+    def read(before: Column, behind: Column) -> Column:
+        size = part(F.upper(F.rtrim(before)), f"({SIZE})$", 1)
+        value, unit = fields(behind, rf"(?i)^\s*({NUMBER})\s*({SPACING_UNIT})?", "double", "string")
+        return F.when(size.isNotNull() & value.isNotNull(), F.struct(size.alias("size"), bare_spacing(value, unit).alias("spacing_mm")))
+
+    found = first_of(text, "@", read)
+    return found["size"], found["spacing_mm"]
 
 
 def section(text: Column) -> tuple[Column, Column]:
     """`COL. 18"x20"`: both sides in mm; inches unless mm is written behind the second."""
-    sides = F.split(after(F.translate(text, "X×", "xx"), SECTION_WORDS), "x")
-    (a, _), (b, unit) = (measure(F.get(sides, F.lit(k))) for k in (0, 1))
-    only = F.rtrim(F.get(sides, F.lit(0))).rlike(rf"^[\d.]+\s*[{QUOTES}]?$")
-    factor = F.when(unit == "mm", 1.0).otherwise(S.INCH_MM)
-    return tuple(F.when(only & b.isNotNull(), F.round(x * factor, 3)) for x in (a, b))
+
+    def read(_: Column, behind: Column) -> Column:
+        a, b, unit = fields(behind, rf"(?i)^\.?\s*({NUMBER})\s*[{QUOTES}]?\s*[x×]\s*({NUMBER})\s*(mm)?", "double", "double", "string")
+        factor = F.when(unit.isNotNull(), 1.0).otherwise(S.INCH_MM)
+        return F.when(b.isNotNull(), F.struct(F.round(a * factor, 3).alias("a"), F.round(b * factor, 3).alias("b")))
+
+    found = first_of(text, first_word(SECTION_WORDS), read)
+    return found["a"], found["b"]
 
 
 def elevation(text: Column) -> Column:
-    """`12.50 m`, `3500 mm` or `143' - 3"` in mm: a foot mark decides which way it is written."""
-    feet_inches = F.split(text, "'", 2)
-    feet = part(F.rtrim(F.get(feet_inches, F.lit(0))), r"(\d+)$", 1).cast("double")
-    inches, _ = measure(F.ltrim(F.get(feet_inches, F.lit(1)), F.lit("- ")))
-    number = r"(-?\d+(?:\.\d+)?)"
-    metres = part(F.rtrim(F.get(F.split(text, r"(?<=[\d\s])m\b", 2), F.lit(0))), rf"{number}$", 1)
-    millis = part(F.rtrim(F.get(F.split(text, r"(?<=[\d\s])mm\b", 2), F.lit(0))), rf"{number}$", 1)
-    metric = F.when(text.rlike(r"\d\s*mm\b"), millis.cast("double")).when(text.rlike(r"\d\s*m\b"), metres.cast("double") * 1000.0)
-    return F.when(F.contains(text, F.lit("'")), F.round(feet * S.FOOT_MM + F.coalesce(inches, F.lit(0.0)) * S.INCH_MM, 3)).otherwise(F.round(metric, 3))
+    """`12.50 m`, `3500 mm` or `143' - 3"` in mm: a foot mark anywhere decides which way it is written."""
+
+    def feet(before: Column, behind: Column) -> Column:
+        whole = part(F.rtrim(before), r"(\d+)$", 1).cast("double")
+        (inches,) = fields(behind, rf"^\s*-?\s*({NUMBER})", "double")
+        return F.round(whole * S.FOOT_MM + F.coalesce(inches, F.lit(0.0)) * S.INCH_MM, 3)
+
+    value, unit = fields(text, rf"(-?{NUMBER})\s*(mm|m)\b", "double", "string")
+    metric = F.round(F.when(unit == "mm", value).otherwise(value * 1000.0), 3)
+    return F.when(F.contains(text, F.lit("'")), first_of(text, "'", feet)).otherwise(metric)
 
 
 def shop_bars(text: Column, words: tuple[str, ...]) -> dict[str, Column]:
-    """`VERT: 4 25M B7-01`: count, size, mark, and spacing if it is printed behind a sign."""
-    sides = F.split(after(text, words), "@", 2)
-    said = F.split(F.trim(F.get(sides, F.lit(0))), r"\s+")
-    count, size, mark = (F.get(said, F.lit(k)) for k in range(3))
-    fits = count.rlike(r"^\d{1,3}$") & F.upper(size).rlike(f"^{SIZE}$") & mark.isNotNull()
-    value, unit = measure(F.get(sides, F.lit(1)))
-    fields = {"count": count.try_cast("int"), "size": F.upper(size), "mark": mark, "spacing_mm": bare_spacing(value, F.nullif(unit, F.lit("m")))}
-    return {k: F.when(fits, v) for k, v in fields.items()}
+    """`VERT: 4 25M B7-01`: count, size, mark, and spacing if it is printed behind a sign. Count and size may touch."""
+
+    def read(_: Column, behind: Column) -> Column:
+        bars = rf"(?i)^\.?:?\s*(\d{{1,3}})\s*({SIZE})\s*([^\s@]+)"
+        count, size, mark, value, unit = fields(behind, rf"{bars}(?:\s*@\s*({NUMBER})\s*({SPACING_UNIT})?)?", "int", "string", "string", "double", "string")
+        return F.when(count.isNotNull(), F.struct(count.alias("count"), F.upper(size).alias("size"), mark.alias("mark"), bare_spacing(value, unit).alias("spacing_mm")))
+
+    found = first_of(text, first_word(words), read)
+    return {k: found[k] for k in ("count", "size", "mark", "spacing_mm")}
 
 
 def grid_label(text: Column) -> tuple[Column, Column]:

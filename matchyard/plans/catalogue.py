@@ -249,46 +249,41 @@ def parse_count_size(spark, sf_dir):
     count, size = text.count_size(F.col("t"))
     return n.withColumn("t", t).select("note", count.alias("n"), size.alias("size"))
 
-_SPACING = r"(?i)((?:10|15|20|25|30|35)M)\s*@\s*([0-9]+(?:\.[0-9]+)?)\s*(mm|cm|[\"'']{1,2})?"
+# The SQL of the next four says what was printed, not how it is read: texts that vary by row, and the numbers in them.
 
-@query(with_tables(NOTES_SQL) + f""", t AS (SELECT note, s || ' @ ' || q || CASE note % 4 WHEN 0 THEN 'mm' WHEN 1 THEN 'cm' WHEN 2 THEN '"' ELSE '' END AS x FROM notes),
- p AS (SELECT note, nullif(upper(regexp_extract(x, '{_SPACING}', 1)), '') AS size, TRY_CAST(nullif(regexp_extract(x, '{_SPACING}', 2), '') AS DOUBLE) AS v, nullif(lower(regexp_extract(x, '{_SPACING}', 3)), '') AS u FROM t)
- SELECT note, size, CASE WHEN u = 'mm' THEN v WHEN u = 'cm' THEN round(v * 10.0::DOUBLE, 3) WHEN u IS NOT NULL THEN round(v * 25.4::DOUBLE, 3) WHEN v >= 30 THEN v ELSE round(v * 25.4::DOUBLE, 3) END AS spacing_mm FROM p""")
+_S_SQL = "CASE WHEN s <> '45M' THEN upper(s) END"
+
+@query(with_tables(NOTES_SQL) + f""" SELECT note, {_S_SQL} AS size, CASE WHEN s = '45M' THEN NULL WHEN note % 4 = 0 THEN q::DOUBLE WHEN note % 4 = 1 THEN round(q * 10.0::DOUBLE, 3) WHEN note % 4 = 3 AND q >= 30 THEN q::DOUBLE ELSE round(q * 25.4::DOUBLE, 3) END AS spacing_mm FROM notes""")
 def parse_size_spacing(spark, sf_dir):
     n = notes(spark, sf_dir)
     unit = F.when(F.col("note") % 4 == 0, "mm").when(F.col("note") % 4 == 1, "cm").when(F.col("note") % 4 == 2, '"').otherwise("")
+    before = F.element_at(F.array(*map(F.lit, ("", "TYP @ EDGE ", "VOIR @ 3 NIVEAUX, ", "12M@4 / ", "@@ "))), (F.col("l_partkey") % 5 + 1).cast("int"))
     size, spacing = text.size_spacing(F.col("t"))
-    return n.withColumn("t", F.concat("s", F.lit(" @ "), "q", unit)).select("note", size.alias("size"), spacing.alias("spacing_mm"))
-
-_SECTION = r"(?i)(?:COLUMN|COL)\.?\s*([0-9]+(?:\.[0-9]+)?)\s*[\"'']?\s*[xX×]\s*([0-9]+(?:\.[0-9]+)?)\s*(mm)?"
+    return n.withColumn("t", F.concat(before, "s", F.lit(" @ "), "q", unit, F.lit(" c/c"))).select("note", size.alias("size"), spacing.alias("spacing_mm"))
 
-@query(with_tables(NOTES_SQL) + f""", t AS (SELECT note, CASE note % 3 WHEN 0 THEN 'COL. ' WHEN 1 THEN 'column ' ELSE 'BEAM ' END || q || 'x' || (l_partkey % 90) || CASE WHEN note % 2 = 0 THEN 'mm' ELSE '' END AS x FROM notes)
- SELECT note, round(TRY_CAST(nullif(regexp_extract(x, '{_SECTION}', 1), '') AS DOUBLE) * f, 3) AS a, round(TRY_CAST(nullif(regexp_extract(x, '{_SECTION}', 2), '') AS DOUBLE) * f, 3) AS b
- FROM (SELECT *, CASE WHEN regexp_extract(x, '{_SECTION}', 3) <> '' THEN 1.0::DOUBLE ELSE 25.4::DOUBLE END AS f FROM t)""")
+@query(with_tables(NOTES_SQL) + """, f AS (SELECT *, CASE WHEN l_suppkey % 2 = 0 THEN 1.0::DOUBLE ELSE 25.4::DOUBLE END AS f FROM notes)
+ SELECT note, CASE WHEN note % 6 <> 2 THEN round(q * f, 3) END AS a, CASE WHEN note % 6 <> 2 THEN round((l_partkey % 90) * f, 3) END AS b FROM f""")
 def parse_section(spark, sf_dir):
     n = notes(spark, sf_dir)
-    word = F.when(F.col("note") % 3 == 0, "COL. ").when(F.col("note") % 3 == 1, "column ").otherwise("BEAM ")
-    t = F.concat(word, "q", F.lit("x"), F.col("l_partkey") % 90, F.when(F.col("note") % 2 == 0, "mm").otherwise(""))
+    word = F.element_at(F.array(*map(F.lit, ("COL. ", "column ", "BEAM ", "SEE COLUMN SCHEDULE, COL. ", "COLUMN TYPE / col ", "PROTOCOL 9, COLUMN. A / Col."))), (F.col("note") % 6 + 1).cast("int"))
+    t = F.concat(word, "q", F.when(F.col("l_orderkey") % 2 == 0, '"').otherwise(""), F.lit("x"), F.col("l_partkey") % 90, F.when(F.col("l_suppkey") % 2 == 0, "mm").otherwise('"'))
     a, b = text.section(F.col("t"))
     return n.withColumn("t", t).select("note", a.alias("a"), b.alias("b"))
 
-@query(with_tables(NOTES_SQL) + """, t AS (SELECT note, CASE note % 3 WHEN 0 THEN 'EL. ' || q || '.5 m' WHEN 1 THEN q || '00 mm' ELSE q || ''' - ' || (l_partkey % 12) || '"' END AS x FROM notes),
- p AS (SELECT note, x, TRY_CAST(nullif(regexp_extract(x, '(-?[0-9]+(?:\\.[0-9]+)?)\\s*(mm|m)\\b', 1), '') AS DOUBLE) AS v, regexp_extract(x, '(-?[0-9]+(?:\\.[0-9]+)?)\\s*(mm|m)\\b', 2) AS u,
-  TRY_CAST(nullif(regexp_extract(x, '([0-9]+)\\s*''\\s*-?\\s*([0-9]+(?:\\.[0-9]+)?)?', 1), '') AS DOUBLE) AS ft, COALESCE(TRY_CAST(nullif(regexp_extract(x, '([0-9]+)\\s*''\\s*-?\\s*([0-9]+(?:\\.[0-9]+)?)?', 2), '') AS DOUBLE), 0) AS inch FROM t)
- SELECT note, CASE WHEN v IS NOT NULL AND NOT contains(x, '''') THEN round(CASE WHEN u = 'mm' THEN v ELSE v * 1000.0::DOUBLE END, 3) ELSE round(ft * 304.8::DOUBLE + inch * 25.4::DOUBLE, 3) END AS elevation_mm FROM p""")
+@query(with_tables(NOTES_SQL) + """ SELECT note, CASE note % 6 WHEN 0 THEN round((q + 0.5) * 1000.0::DOUBLE, 3) WHEN 1 THEN q * 100.0::DOUBLE WHEN 5 THEN round(q * 304.8::DOUBLE, 3) ELSE round(q * 304.8::DOUBLE + (l_partkey % 12) * 25.4::DOUBLE, 3) END AS elevation_mm FROM notes""")
 def parse_elevation(spark, sf_dir):
     n = notes(spark, sf_dir)
-    t = F.when(F.col("note") % 3 == 0, F.concat(F.lit("EL. "), "q", F.lit(".5 m"))).when(F.col("note") % 3 == 1, F.concat("q", F.lit("00 mm"))).otherwise(F.concat("q", F.lit("' - "), F.col("l_partkey") % 12, F.lit('"')))
+    inches = F.concat("q", F.lit("' - "), F.col("l_partkey") % 12, F.lit('"'))
+    shapes = (F.concat(F.lit("EL. "), "q", F.lit(".5 m")), F.concat(F.lit("2 murs, "), "q", F.lit("00 mm")), inches, F.concat(F.lit("L'AXE, EL "), inches), F.concat(F.lit("HAUT D'UN MUR DE 3 m: "), inches), F.concat(F.lit("EL "), "q", F.lit("'")))
+    t = F.element_at(F.array(*shapes), (F.col("note") % 6 + 1).cast("int"))
     return n.withColumn("t", t).select("note", text.elevation(F.col("t")).alias("elevation_mm"))
 
-_TIES = r"(?i)(?:ÉTRI|ETRI|TIES|STIRRUP)\.?:?\s*([0-9]{1,3})\s*((?:10|15|20|25|30|35)M)\s*([^\s@]+)(?:\s*@\s*([0-9]+(?:\.[0-9]+)?)\s*(mm|cm|[\"'']{1,2})?)?"
-
-@query(with_tables(NOTES_SQL) + f""", t AS (SELECT note, CASE WHEN note % 5 = 0 THEN 'NOTE ' ELSE 'TIES: ' END || q || ' ' || s || ' T' || (l_partkey % 9) || CASE WHEN note % 2 = 0 THEN ' @' || (l_suppkey % 40) ELSE '' END AS x FROM notes),
- p AS (SELECT note, TRY_CAST(nullif(regexp_extract(x, '{_TIES}', 1), '') AS INTEGER) AS n, nullif(upper(regexp_extract(x, '{_TIES}', 2)), '') AS size, nullif(regexp_extract(x, '{_TIES}', 3), '') AS mark, TRY_CAST(nullif(regexp_extract(x, '{_TIES}', 4), '') AS DOUBLE) AS v FROM t)
- SELECT note, n, size, mark, CASE WHEN v >= 30 THEN v ELSE round(v * 25.4::DOUBLE, 3) END AS spacing_mm FROM p""")
+@query(with_tables(NOTES_SQL) + f""" SELECT note, CASE WHEN ok THEN q::INTEGER END AS n, CASE WHEN ok THEN upper(s) END AS size, CASE WHEN ok THEN 'T' || (l_partkey % 9) END AS mark,
+  CASE WHEN NOT ok OR note % 2 = 1 THEN NULL WHEN l_suppkey % 40 >= 30 THEN (l_suppkey % 40)::DOUBLE ELSE round((l_suppkey % 40) * 25.4::DOUBLE, 3) END AS spacing_mm FROM (SELECT *, note % 5 > 0 AND s <> '45M' AS ok FROM notes)""")
 def parse_shop_ties(spark, sf_dir):
     n = notes(spark, sf_dir)
-    t = F.concat(F.when(F.col("note") % 5 == 0, "NOTE ").otherwise("TIES: "), "q", F.lit(" "), "s", F.lit(" T"), F.col("l_partkey") % 9, F.when(F.col("note") % 2 == 0, F.concat(F.lit(" @"), F.col("l_suppkey") % 40)).otherwise(""))
+    before = F.element_at(F.array(*map(F.lit, ("NOTE ", "TIES: ", "TIES AS SHOWN; TIES: ", "étri. ", "STIRRUP BARS 3 / ETRI:"))), (F.col("note") % 5 + 1).cast("int"))
+    t = F.concat(before, "q", F.when(F.col("l_partkey") % 4 == 0, "").otherwise(" "), "s", F.lit(" T"), F.col("l_partkey") % 9, F.when(F.col("note") % 2 == 0, F.concat(F.lit(" @"), F.col("l_suppkey") % 40)).otherwise(""))
     b = text.shop_bars(F.col("t"), text.TIE_WORDS)
     return n.withColumn("t", t).select("note", b["count"].alias("n"), b["size"].alias("size"), b["mark"].alias("mark"), b["spacing_mm"].alias("spacing_mm"))
 
