@@ -58,18 +58,24 @@ def written(spark: SparkSession) -> list[str]:
     return [path for owner, path in _written if owner is spark]
 
 
+def shared(spark: SparkSession) -> list[Broadcast]:
+    """The values of this session that were broadcast and not released."""
+    return [value for owner, value in _shared if owner is spark]
+
+
 def put(spark: SparkSession, value) -> Broadcast:
     """Broadcasts a value; release() frees it on all executors."""
     _shared.append((spark, spark.sparkContext.broadcast(value)))
     return _shared[-1][1]
 
 
-def release(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes intermediate tables and this session's broadcast values; call it once what was computed from them is written
-    elsewhere."""
-    for _, value in (e for e in _shared if e[0] is spark):
+def release(spark: SparkSession, paths: list[str], values: list[Broadcast]) -> None:
+    """Deletes intermediate tables and broadcast values, which written() and shared() name; call it once what was computed
+    from them is written elsewhere. Others of the session stay."""
+    gone = {id(v) for v in values}
+    for value in values:
         value.destroy()
-    _shared[:] = [e for e in _shared if e[0] is not spark]
+    _shared[:] = [e for e in _shared if id(e[1]) not in gone]
     conf = spark._jsc.hadoopConfiguration()
     for name in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)

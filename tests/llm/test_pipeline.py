@@ -64,3 +64,15 @@ def test_empty_tables_and_extra_columns(spark, tmp_path):
         ids = Counter(r["doc_id"] for r in got.collect())
         assert set(ids) <= {r[0] for r in rows} and (name != "suffix_dedup" or ids == Counter(r[0] for r in rows))
         assert got.where("row <> 0 or k1 <> 8").count() == 0
+
+
+def test_a_stage_leaves_other_results_alone(spark):
+    """A result that was made before and not read yet outlives a stage, and a second run the first one's result."""
+    docs = spark.createDataFrame([(i, f"some words {i} and more of them {i % 7}", "en", f"s{i % 3}", 30) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    from matchyard.llm import language
+
+    earlier = language.identify(docs)
+    packed = [corpus_pipeline.packing_stage(spark, docs, "") for _ in range(2)]
+    corpus_pipeline.suffix_stage(spark, docs, "").collect()
+    corpus_pipeline.mixing_stage(spark, docs, "").collect()
+    assert earlier.count() == 60 and [p.count() for p in packed] == [60, 60]
