@@ -12,27 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchyard.llm import jaccard, mixing, packing, quality, suffixes
-from matchyard.llm.base import collect_garbage, documents, release, scratch_root, small, stash, written
+from matchyard.llm.base import collect_garbage, documents, release, scratch_root, shared, small, stash, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: No SQL states a trained classifier's decisions, so none states the rows of run().
 ORACLE_SQL = None
 
-_finished: dict[str, list[str]] = {}
+#: Tables and broadcast values that the stage before made, by session.
+_finished: dict[str, tuple[list[str], list]] = {}
 
 
 def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]):
-    """Deletes the intermediate tables and broadcasts of the stage before, whose result must have been written when the
-    next stage is called, and gives memory back."""
+    """Deletes the intermediate tables and broadcasts that the stage before made, whose result must have been written when
+    the next stage is called, and gives memory back. What others made in the session stays, and so does what packing, the
+    last stage, made: nothing tells when its result has been read."""
 
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         session = spark.sparkContext.applicationId
-        release(spark, _finished.pop(session, []))
+        release(spark, *_finished.pop(session, ([], [])))
         collect_garbage(spark)
-        before = set(written(spark))
+        tables, values = set(written(spark)), {id(v) for v in shared(spark)}
         out = function(spark, docs, sf_dir)
-        _finished[session] = [p for p in written(spark) if p not in before]
+        if function.__name__ != "packing_stage":
+            _finished[session] = [p for p in written(spark) if p not in tables], [v for v in shared(spark) if id(v) not in values]
         return out
 
     return run_stage
