@@ -75,11 +75,36 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
+def smeared(bits: int, by: int) -> int:
+    """The set with everything up to `by` above its members."""
+    step = 1
+    while by:
+        step = min(step, by)
+        bits |= bits << step
+        by -= step
+        step *= 2
+    return bits
+
+
+def dominated(filling: tuple[int, ...], left: dict[int, int], waste: int) -> bool:
+    """Whether one piece that is left, not shorter than some of the filling's pieces together, fits in their place: the
+    filling with it is no emptier, and the pieces that it frees are no harder to place. (One piece of the same length in
+    place of another is no other filling.)"""
+    used = Counter(filling)
+    others = sum(1 << x for x, n in left.items() if n > used.get(x, 0))
+    alone, sums = 0, [1, 0, 0]  # sums of none, of one, and of two pieces and more
+    for x in filling:
+        alone |= 1 << x
+        sums = [sums[0], sums[1] | sums[0] << x, sums[2] | (sums[2] | sums[1]) << x]
+    fits = smeared(sums[2], waste) | (smeared(alone << 1, waste - 1) if waste else 0)
+    return bool(others & fits)
+
+
 def completions(sizes: list[int], left: dict[int, int], room: int, most_waste: int) -> Iterator[tuple[int, ...]]:
     """Undominated fillings of `room` that waste `most_waste` at most, one by one, fullest first, then with the longest
-    pieces first. None is left out: a filling isn't given if a piece that is left would still fit into it, or if one
-    piece would fill the room exactly. The sums that can be reached with the shorter pieces lead the search, so that it
-    never runs into a dead end."""
+    pieces first. A filling isn't given if a piece that is left would still fit into it or in place of some of its pieces,
+    as dominated() says, or if one piece would fill the room exactly. The sums that can be reached with the shorter pieces
+    lead the search, so that it never runs into a dead end."""
     usable = sizes[: bisect_right(sizes, room)]
     if usable and usable[-1] == room:
         yield (room,)
@@ -111,7 +136,7 @@ def completions(sizes: list[int], left: dict[int, int], room: int, most_waste: i
         if reach[-1] >> (room - waste) & 1:
             small_ones = usable[: bisect_right(usable, waste)]
             for filling in fill(len(usable), room - waste):
-                if all(filling.count(x) == left[x] for x in small_ones):
+                if all(filling.count(x) == left[x] for x in small_ones) and not dominated(filling, left, waste):
                     yield filling
 
 

@@ -1,0 +1,51 @@
+"""Bin completion: which fillings count, against all fillings there are."""
+
+from collections import Counter
+from itertools import product
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from matchyard.llm import packing
+
+
+def parts_fit(small, large):
+    """Whether the pieces of `small` can be grouped into the pieces of `large`, some of which may stay empty."""
+    if not small:
+        return True
+    return any(small[0] <= x and parts_fit(small[1:], (*large[:i], x - small[0], *large[i + 1 :])) for i, x in enumerate(large))
+
+
+def fillings(left, room):
+    lengths = sorted(left)
+    for take in product(*(range(left[x] + 1) for x in lengths)):
+        if sum(x * n for x, n in zip(lengths, take)) <= room:
+            yield tuple(sorted((x for x, n in zip(lengths, take) for _ in range(n)), reverse=True))
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.dictionaries(st.integers(1, 9), st.integers(1, 3), min_size=1, max_size=4), st.integers(1, 14))
+def test_every_filling_is_dominated_by_one_that_is_given(left, room):
+    given_ = list(packing.completions(sorted(left), left, room, room))
+    assert len(set(given_)) == len(given_)
+    everything = list(fillings(left, room))
+    assert set(given_) <= set(everything)
+    for f in everything:
+        assert any(parts_fit(f, g) for g in given_), (f, given_)
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.dictionaries(st.integers(1, 9), st.integers(1, 3), min_size=1, max_size=4), st.integers(1, 14))
+def test_no_given_filling_gains_by_one_piece(left, room):
+    for f in packing.completions(sorted(left), left, room, room):
+        spare = Counter(left) - Counter(f)
+        for x in spare:
+            for keep in product((0, 1), repeat=len(f)):
+                out = [p for p, k in zip(f, keep) if not k]
+                fits = sum(f) - sum(out) + x <= room and sum(out) <= x
+                assert not fits or out == [x] or x == room, (f, x, out)
+
+
+def test_the_named_case():
+    assert list(packing.completions([2, 4], {2: 2, 4: 1}, 4, 4)) == [(4,)]
+    assert list(packing.completions([2, 3, 4], {2: 2, 3: 1, 4: 1}, 5, 5)) == [(3, 2), (4,)]  # 2, 2 yields to 4
