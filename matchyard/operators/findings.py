@@ -50,7 +50,7 @@ def slots(elements: DataFrame) -> DataFrame:
 def level_vetoes(entities: DataFrame, pool: DataFrame) -> DataFrame:
     """Entities without a level in whose cell slots of a fitting kind stand on several levels, no level being one too: they
     can't be told apart. entities: note, cell, level, kind; pool: cell, level, kind."""
-    p = pool.select("cell", F.col("level").alias("_level"), F.col("kind").alias("_kind"))
+    p = pool.select("cell", F.col("level").alias("_level"), F.col("kind").alias("_kind")).distinct()  # not every slot: a cell has few levels and kinds
     near = entities.where("level is null").join(p, "cell").where(kind_cost(F.col("kind"), F.col("_kind")) < 1.0)
     return near.groupBy("note").agg(F.count_distinct(F.coalesce("_level", F.lit(""))).alias("levels")).where("levels > 1")
 

@@ -38,7 +38,7 @@ def coverage(records: DataFrame, types: Sequence[str]) -> DataFrame:
 def shop_file_of(findings: DataFrame, records: DataFrame) -> DataFrame:
     """The shop file each finding is listed under: its own, else the first shop file that covers its level, else none."""
     first = records.where("source = 'shop'").groupBy("level").agg(F.min("file").alias("level_file"))
-    return findings.join(F.broadcast(first), "level", "left").select("id", "level", F.coalesce("shop_file", "level_file").alias("file"))
+    return findings.join(first, "level", "left").select("id", "level", F.coalesce("shop_file", "level_file").alias("file"))
 
 
 def natural_key(text: Column) -> Column:
@@ -74,7 +74,7 @@ def witness_rates(records: DataFrame) -> DataFrame:
     place = ["level", "row", "col"]
     said = [*place, "count", "size"]
     control = shop.select("level", "row", (F.col("col") - 1).alias("col"), "count", "size").distinct()
-    p = plan.join(cells, place).join(F.broadcast(usual), "level")
+    p = plan.join(cells, place).join(usual, "level")
     p = p.join(shop.withColumn("agrees", F.lit(1)), said, "left").join(control.withColumn("chance", F.lit(1)), said, "left")
     typical = (F.col("count") == F.col("mode.count")) & (F.col("size") == F.col("mode.size"))
     rate = lambda c, hit: F.round(F.sum(F.when(c & F.col(hit).isNotNull(), 1).otherwise(0)) / F.nullif(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)), 4)

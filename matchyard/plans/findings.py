@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matchyard.functions import text
-from matchyard.operators import comparing, findings, matching
+from matchyard.operators import answers, comparing, findings, graph, matching, verdicts
+from matchyard.operators.durable import settled
 from matchyard.plans.catalogue import COMMON_SIZES, CROSS_SQL, ENTITY_SQL, HEIGHTS_SQL, PEER_SQL, PLAUSIBLE_SQL, PRIMARY_SQL, TIES_SQL, TWICE_SQL, _candidates, _cross, query, with_tables
 from matchyard.sources.adapters import ELEMENTS_SQL, LEVELS_SQL, NOTES_SQL, elements, levels, notes, table
 
@@ -167,3 +168,67 @@ def spacing_feedback(spark, sf_dir):
 def shown_types(spark, sf_dir):
     kind = F.element_at(F.array(*map(F.lit, ("column", "pier", "beam", "wall", "raft", "stair"))), (F.col("c_custkey") % 6 + 1).cast("int"))
     return table(spark, sf_dir, "customer").select("c_custkey", kind.alias("kind"), findings.shown_type(kind).alias("type"))
+
+
+# ---- the cost model's path from notes to findings
+
+def _members(spark, sf_dir, source):
+    """Notes of one side (id, row, col, level, kind, bars) and the members that they make up."""
+    e = elements(spark, sf_dir).where(F.col("source") == source)
+    bar = lambda role, count, size, spacing, said: F.struct(F.lit(role).alias("role_hint"), count.cast("int").alias("count"), F.lit(None).cast("int").alias("secondary_count"), F.lit(None).cast("int").alias("groups"), size.alias("size"), spacing.cast("double").alias("spacing_mm"), said.alias("said"))
+    none = F.lit(None)
+    main = bar("main", F.col("count"), F.col("size"), none, F.concat_ws(" ", F.lit("VERT"), "count", "size"))
+    ties = F.when(F.col("spacing_mm").isNotNull(), bar("ties", none, F.col("tie_size"), F.col("spacing_mm"), F.concat_ws(" ", F.lit("LIG"), "tie_size", F.lit("@"), "spacing_mm")))
+    level = F.when((F.col("file") == 4) & (F.col("page") == 6), None).otherwise(F.col("level")) if source == "plan" else F.col("level")
+    notes_ = e.select("id", "row", "col", level.alias("level"), F.col("type").alias("kind"), F.array_compact(F.array(main, ties)).alias("bars"), F.concat(F.lit("T"), (F.col("file") % 2).cast("string")).alias("type_key"), (F.col("tie_count") - 20).alias("quantity"))
+    keys = ["row", "col", "level", "kind"]
+    facts = notes_.groupBy(*keys).agg(F.min_by("type_key", "id").alias("type_key"), F.min_by("quantity", "id").alias("quantity"), F.min("id").alias("first")).select("first", F.when(F.hash("first") % 3 == 0, F.col("type_key")).alias("type_key"), "quantity")
+    whole = verdicts.combined(notes_, keys).withColumn("first", F.get("said_by", F.lit(0))["id"]).join(facts, "first")
+    return whole.withColumn("cell", F.concat_ws("-", "row", F.regexp_replace(F.col("col").cast("string"), r"\.0$", "")))
+
+
+def _found(spark, sf_dir):
+    plan = settled(_members(spark, sf_dir, "plan").withColumnRenamed("first", "note"))
+    shop = settled(_members(spark, sf_dir, "shop").withColumnRenamed("first", "slot").withColumns({"level_to": F.lit(None).cast("string"), "listed": F.lit(1)}))
+    vetoed = settled(findings.level_vetoes(plan, shop))
+    known = plan.join(vetoed.select("note"), "note", "left_anti")  # the others can't be told apart, so none is guessed
+    edges = settled(matching.candidates(known.select("note", "row", "col", "level", "kind", "bars"), shop.select("slot", "row", "col", "level", "level_to", "kind", "bars")).select("note", "slot", "cost"))
+    pairs = settled(matching.assign(edges, graph.components(edges, "note", "slot")).select("note", "slot", "cost"))
+    return verdicts.build_findings(pairs, plan, shop, vetoed)
+
+
+@query()
+def build_findings(spark, sf_dir):
+    return _found(spark, sf_dir)[0]
+
+
+@query()
+def systematic_differences(spark, sf_dir):
+    return _found(spark, sf_dir)[1]
+
+
+ASKED_SQL = """
+near AS (SELECT c.note, c.slot, c.cost, c.place, l."row" = r."row" AND l.col = r.col AS same, lead(c.cost) OVER (PARTITION BY c.note ORDER BY c.place) AS next FROM candidates c JOIN l USING (note) JOIN r USING (slot)),
+asked AS (SELECT note, slot, cost FROM near WHERE place = 1 AND (NOT same OR COALESCE(next - cost < 0.2, false)))"""
+
+
+def _asked(spark, sf_dir):
+    edges, e = _candidates(spark, sf_dir), elements(spark, sf_dir)
+    at = lambda key: e.select(F.col("id").alias(key), F.struct("row", "col").alias(f"{key}_at"))
+    edges = settled(edges.join(at("note"), "note").join(at("slot"), "slot").select("note", "slot", "cost", "place", (F.col("note_at") == F.col("slot_at")).alias("same_cell")))
+    asked = answers.close_calls(edges)
+    # what a model would say, by the ids alone: yes, no, nothing
+    said = F.pmod(F.crc32(F.col("note").cast("binary")), F.lit(4))
+    told = asked.withColumns({"option": F.when(said == 0, "yes").when(said == 1, "no").when(said == 2, "yes"), "certainty": F.when(said == 0, 0.9)})
+    return edges, told
+
+
+@query(with_tables(ELEMENTS_SQL, ENTITY_SQL, ASKED_SQL) + " SELECT note, slot, cost FROM asked")
+def close_calls(spark, sf_dir):
+    return _asked(spark, sf_dir)[1].select("note", "slot", "cost")
+
+
+@query()
+def assigned_after_answers(spark, sf_dir):
+    edges, told = _asked(spark, sf_dir)
+    return answers.assigned_after(edges, told)
