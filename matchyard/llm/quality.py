@@ -143,18 +143,24 @@ def fit(x: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed
     return w | fixed
 
 
+def spread(n: int, most: int | None = None) -> np.ndarray:
+    """Which of n passages a document is learnt from: all up to MOST_PASSAGES, else so many, evenly spread. It is scored by all."""
+    most = MOST_PASSAGES if most is None else most
+    return np.arange(n) if n <= most else np.arange(most) * n // most
+
+
 def _sampled(batches):
     for batch in batches:
         bags, labels = [], batch.column(1).to_pylist()
         for row, after, data, offsets in text_blocks(batch.column(0)):
             x, at = passages(data, offsets)
-            bags += [x[at[i] : at[i + 1]].tobytes() if at[i + 1] - at[i] <= MOST_PASSAGES else None for i in range(after - row)]
+            bags += [x[at[i] + spread(at[i + 1] - at[i])].tobytes() for i in range(after - row)]
         yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(bags, pa.binary())], names=["y", "bag"])
 
 
 def train(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = SAMPLE) -> dict:
     """Learns from a bounded sample of labelled documents; passages are encoded where the documents are."""
-    table = pull(arrow_stage(sample(spark, docs, sf_dir, "quality", most), _sampled, "y int, bag binary").where("bag is not null"))
+    table = pull(arrow_stage(sample(spark, docs, sf_dir, "quality", most), _sampled, "y int, bag binary"))
     order = sorted(range(len(table)), key=lambda i: (table.bag[i], table.y[i]))  # no matter how partitions came in
     bags = [np.frombuffer(table.bag[i], np.float32).reshape(-1, FEATURES) for i in order]
     at = np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(int)
