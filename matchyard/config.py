@@ -17,7 +17,7 @@ class Config:
     near_column_limit: float = S.NEAR_COLUMN_LIMIT
     trust_for_verdict: float = S.TRUST_FOR_VERDICT
     partial_every_s: float = 20.0
-    #: Part of a folder's or file's name and the type it stands for; the first that fits counts.
+    #: Part of a folder's or file's name and the type it stands for; the first that fits counts.
     folder_types: tuple[tuple[str, str], ...] = (
         ("colonne", "colonne"), ("column", "colonne"), ("poutre", "poutre"), ("beam", "poutre"), ("dalle", "dalle"), ("slab", "dalle"), ("fondation", "fondation"),
         ("foundation", "fondation"), ("semelle", "fondation"), ("radier", "fondation"), ("refend", "mur_refend"), ("mur", "mur_refend"), ("wall", "mur_refend"),
