@@ -70,6 +70,7 @@ def fit(words: DataFrame, tolerance: float, apart: float = 200.0) -> DataFrame:
     text = F.col("text")
     kind = F.when(text.rlike(f"^(?:{ROW_LABEL})$"), "row").when(text.rlike(f"^(?:{COLUMN_LABEL})$"), "column")
     labels = words.select("page", "text", "cx", "cy", kind.alias("axis")).where("axis is not null")
+    labels = labels.groupBy("page", "text", "cx", "cy", "axis").agg(F.count(F.lit(1)).alias("times"))  # a label drawn twice at one place is one
     labels = labels.withColumn("value", F.when(F.col("axis") == "row", letter_rank(text)).otherwise(text.cast("double")))
     labels = labels.withColumn("letters_on", F.explode(F.array(F.lit("x"), F.lit("y"))))
     upright = (F.col("axis") == "row") == (F.col("letters_on") == "y")  # a vertical line of labels
@@ -79,8 +80,8 @@ def fit(words: DataFrame, tolerance: float, apart: float = 200.0) -> DataFrame:
     other = labels.select(*way, "value", F.col("across").alias("_a"), F.col("along").alias("_p"))
     twins = lined.join(other, [*way, "value"]).where((F.abs(F.col("_a") - F.col("across")) >= apart) & (F.abs(F.col("_p") - F.col("along")) <= tolerance))
     twins = twins.groupBy(*way, "cluster").agg(F.count_distinct("value").alias("twins"))
-    lines = lined.groupBy(*way, "cluster").agg(F.sort_array(F.collect_list(F.struct("along", "across", "value", "text"))).alias("labels")).join(twins, [*way, "cluster"], "left")
-    score = F.struct(longest_run(F.col("labels.value")).alias("run"), F.coalesce("twins", F.lit(0)).alias("twins"), F.size("labels").alias("n"), (-F.col("cluster")).alias("first"))
+    lines = lined.groupBy(*way, "cluster").agg(F.sort_array(F.collect_list(F.struct("along", "across", "value", "text"))).alias("labels"), F.sum("times").alias("times")).join(twins, [*way, "cluster"], "left")
+    score = F.struct(longest_run(F.col("labels.value")).alias("run"), F.coalesce("twins", F.lit(0)).alias("twins"), F.col("times").alias("n"), (-F.col("cluster")).alias("first"))
     best = lines.groupBy(*way).agg(F.max(F.struct(score.alias("score"), "labels")).alias("b")).select(*way, "b.score", "b.labels")
     enough = F.size(F.array_distinct("labels.text")) >= LEAST_LABELS
     pages = best.groupBy("page", "letters_on").agg(*(F.sum(f"score.{c}").alias(c) for c in ("run", "twins", "n")), F.count_if(enough).alias("kinds")).where("kinds = 2")
