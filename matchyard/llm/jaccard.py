@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchyard.llm.base import arrow_stage, BROADCAST_KEYS, ints, pull, put, small, stash, text_blocks, trimmed
+from matchyard.llm.base import arrow_stage, BROADCAST_KEYS, collect_garbage, ints, pull, put, release, small, stash, text_blocks, trimmed
 from matchyard.llm.components import components
 from matchyard.llm.words import mix, shingle_sets, word_hashes
 
@@ -111,7 +111,7 @@ def _add_counters(batches):
             part = np.frombuffer(zlib.decompress(c), np.uint8).astype(np.uint64)
             held[k] = held[k] + part if k in held else part
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.minimum(c, 2**16 - 1).astype(np.uint16).tobytes() for c in held.values()], pa.binary())], names=["slice", "counters"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(np.minimum(c, 2**16 - 1).astype(np.uint16).tobytes(), 1) for c in held.values()], pa.binary())], names=["slice", "counters"])
 
 
 def levels(sketch: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -374,6 +374,8 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
         else:
             chosen = rest.select("a", "b")
         found = test_pairs(chosen, docs, classes)
+        # rounds are many small jobs, whose plans and broadcasts would fill the driver until it happens to collect them
+        collect_garbage(docs.sparkSession)
         links = found if links is None else links.unionByName(found)
         if turn == TEST_ROUNDS:
             break
@@ -408,7 +410,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     counters = np.zeros((2 * SKETCH // SLICE, SLICE), np.uint16)
     summed = arrow_stage(parts.repartition(2 * SKETCH // SLICE, "slice"), _add_counters, "slice int, counters binary")
     for r in summed.collect():  # as many rows as the sketch has slices
-        counters[r["slice"]] = np.frombuffer(r["counters"], np.uint16)
+        counters[r["slice"]] = np.frombuffer(zlib.decompress(r["counters"]), np.uint16)
     counters = counters.reshape(2, SKETCH)
     grouped = shapes.groupBy("fp").agg(F.min("doc_id").alias("one"), F.first("n").alias("n"), F.count(F.lit(1)).alias("times"), F.first("signature").alias("signature"), F.first("tokens").alias("tokens"))
     classes = stash(grouped, "classes")
@@ -425,6 +427,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if 0 < copies.count() <= BROADCAST_KEYS:
         gone = put(spark, np.sort(pull(copies).pair.to_numpy(np.int64)))
     sketch = put(spark, counters)
+    del counters
+    collect_garbage(spark)
     entries = arrow_stage(rows, _entries(gone, sketch, small_size), "token long, fp long, place long")
 
     edges = []
@@ -435,6 +439,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         edges.append(subsets.join(least, "token").where("fp <> least.fp and 4 * (n + least.n) <= 9 * pos").select(F.col("fp").alias("a"), F.col("least.fp").alias("b")))
     ordered = entries.repartition("token").sortWithinPartitions("token", "fp")
     read = stash(arrow_stage(ordered, _lists(small_size), "a long, b long, token long, fp long, n int, pos int, p_fp long, p_n int, p_pos int"), "lists")
+    release(spark, [], [v for v in (gone, sketch) if v is not None])  # what was read with them is written
+    collect_garbage(spark)
     lists = read.where("token is not null").drop("a", "b")
     stars = lists.where((F.col("fp") != F.col("p_fp")) & _may_link("", "p_", small_size)).select(F.greatest("fp", "p_fp").alias("a"), F.least("fp", "p_fp").alias("b"))
     pairs = stash(read.where("a is not null").select("a", "b").unionByName(stars).distinct(), "pairs")

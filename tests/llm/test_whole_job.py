@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from matchyard.llm import language, lm
+from matchyard.llm import base, jaccard, language, lm
 
 
 def test_words_beyond_the_first_are_clustered(spark):
@@ -75,3 +75,11 @@ def test_the_pipeline_writes_token_ids(spark):
     docs = spark.createDataFrame([(i, f"some text {i} " * (1 + i)) for i in range(20)], "doc_id long, text string")
     got = corpus_pipeline.packing_stage(spark, docs, "").collect()
     assert got and all(len(r["ids"]) == 4 * r["length"] for r in got)
+
+
+def test_the_join_frees_what_it_broadcast(spark):
+    before = len(base.shared(spark))
+    rows = [(i, " ".join(f"w{i % 7}x{k}" for k in range(30 + i % 2))) for i in range(40)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i % 7 for i, _ in rows}
+    assert len(base.shared(spark)) == before
