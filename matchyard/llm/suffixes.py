@@ -296,8 +296,15 @@ def _bucket(rows: list[pa.RecordBatch], ends: list) -> pa.RecordBatch:
     return _spans(t.column("k1").to_numpy()[hit[ok]], t.column("k2").to_numpy()[hit[ok]], a[ok], b[ok])
 
 
-#: Bytes of runs that a bucket sorts at once; a group (lead, context) is never torn.
-AT_ONCE = 8 << 20
+#: Bytes of runs that a bucket sorts at once, which takes some thirty times as many; a group (lead, context) is never torn.
+AT_ONCE = 1 << 20
+
+
+def _pieces(batches):
+    """The same rows in batches of AT_ONCE bytes at most, if a row isn't longer."""
+    for batch in batches:
+        step = max(1, len(batch) * AT_ONCE // max(1, batch.nbytes))
+        yield from (batch.slice(i, step) for i in range(0, len(batch), step))
 
 
 def _sort_buckets(batches):
@@ -307,7 +314,7 @@ def _sort_buckets(batches):
     held: list[pa.RecordBatch] = []
     ends: list[tuple] = []
     size, bucket = 0, 0
-    for batch in batches:
+    for batch in _pieces(batches):
         known = batch.column("gram").is_null()
         if known.true_count:
             done = batch.filter(known)
