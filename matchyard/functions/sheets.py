@@ -21,21 +21,29 @@ LOST_TEXT = 0.5
 
 def title(page_text: Column) -> Column:
     """The text after the first known marker of a title block, else empty."""
-    t = text.plain(page_text)
-    out = F.when(F.lit(False), "")
-    for m in MARKERS:
-        out = out.when(F.instr(t, m) > 0, F.substring(t, F.instr(t, m) + len(m), F.lit(TITLE_LENGTH)))
-    return out.otherwise("")
+
+    def behind(t: Column) -> Column:
+        out = F.when(F.lit(False), "")
+        for m in MARKERS:
+            out = out.when(F.instr(t, m) > 0, F.substring(t, F.instr(t, m) + len(m), F.lit(TITLE_LENGTH)))
+        return out.otherwise("")
+
+    return text.once(text.plain(page_text), behind)
 
 
 def sheet_type(title: Column, sheet: Column) -> tuple[Column, Column]:
     """Type and confidence: of the word that comes first in the title, else of the sheet number's series."""
-    t = text.plain(title)
-    found = F.array_compact(F.array(*(F.when(F.instr(t, w) > 0, F.struct(F.instr(t, w).alias("at"), F.lit(k).alias("type"))) for w, k in TITLE_WORDS)))
-    by_word = F.array_min(found)["type"]
+    found = sheet_type_of(title, sheet)
+    return found["type"], found["confidence"]
+
+
+def sheet_type_of(title: Column, sheet: Column) -> Column:
+    """sheet_type() as one struct. A query that takes both from a column of it reads the title once."""
+    first = lambda t: F.array_min(F.array_compact(F.array(*(F.when(F.instr(t, w) > 0, F.struct(F.instr(t, w).alias("at"), F.lit(k).alias("type"))) for w, k in TITLE_WORDS))))["type"]
     digit = text.part(F.coalesce(sheet, F.lit("")), r"(\d)\d\d", 1).cast("int")
     by_series = F.element_at(F.create_map(*(F.lit(x) for kv in SERIES for x in kv)), digit)
-    return F.coalesce(by_word, by_series), F.when(by_word.isNotNull(), 1.0).when(by_series.isNotNull(), 0.7).otherwise(0.0)
+    said = lambda x: F.struct(F.coalesce(x["word"], x["series"]).alias("type"), F.when(x["word"].isNotNull(), 1.0).when(x["series"].isNotNull(), 0.7).otherwise(0.0).alias("confidence"))
+    return text.once(F.struct(text.once(text.plain(title), first).alias("word"), by_series.alias("series")), said)
 
 
 def sheet_number(words: DataFrame, pattern: str = r"^S-\d{3}$", right: float = 0.6, low: float = 0.7) -> DataFrame:
