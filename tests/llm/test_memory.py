@@ -45,3 +45,33 @@ def test_a_bucket_is_sorted_in_small_pieces(bucket):
     expected = np.ones(1500, bool)
     expected[700] = False
     assert (covered == expected).all()
+
+
+def test_counts_of_many_keys_are_summed_in_little_memory():
+    from matchyard.llm import phrases
+
+    rng = np.random.default_rng(9)
+    parts = [rng.integers(0, 1 << 40, 200_000, np.uint64) << np.uint64(24) for _ in range(14)]
+    tally = phrases.Tally()
+    for part in parts:
+        assert not list(tally.add(part))  # 2.8 million keys are held
+    tracemalloc.start()
+    try:
+        keys, counts = tally.total()
+        rows, largest = 0, 0
+        for batch in phrases._counted(keys, counts, 6):
+            rows, largest = rows + sum(len(x) // 8 for x in batch.column(1).to_pylist()), max(largest, batch.nbytes)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert counts.sum() == 2_800_000 and rows == len(keys) and (keys[1:] > keys[:-1]).all()
+    assert largest < 5e6 and peak < 120e6
+
+
+def test_filters_are_freed(spark):
+    from matchyard.llm import base, phrases
+
+    before = len(base.shared(spark))
+    docs = spark.createDataFrame([("to be or not to be, to be or not",)] * 30, "text string").selectExpr("text", "'en' as lang")
+    assert phrases.collocations(docs, least=10).count()
+    assert len(base.shared(spark)) == before
