@@ -37,3 +37,23 @@ def test_lines_say_the_same_among_others_of_their_kind(spark):
         want = freeform.read_line(t)
         assert {k: r[k] for k in ("label", "section", "strength", "length_mm", "rest")} == {k: want[k] for k in ("label", "section", "strength", "length_mm", "rest")}
         assert [{k: v for k, v in b.items() if v is not None} for b in r["bars"]] == [{k: v for k, v in b.items() if v is not None} for b in want["bars"]]
+
+
+def test_equal_texts_of_a_schedule_are_read_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from matchyard.functions import statements
+    from matchyard.operators import schedules
+
+    read = []
+    keep = statements.specifications
+    monkeypatch.setattr(statements, "specifications", lambda t: read.append(1) or keep(t))
+    word = lambda x0, y0, text: F.struct(F.lit(x0).alias("x0"), F.lit(y0).alias("y0"), F.lit(0).alias("word"), F.lit(x0 + 90.0).alias("x1"), F.lit(y0 + 8.0).alias("y1"), F.lit(text).alias("text"))
+    runs = spark.range(500).select(F.col("id").alias("page"), F.lit(8.0).alias("h"), F.array(word(5.0, 70.0, "2x4 25M B7.")).alias("words"), F.when(F.col("id") < 400, "2x4 25M B7.").when(F.col("id") < 450, "nothing").alias("text"), F.lit(5.0).alias("x0"), F.lit(70.0).alias("y0"))
+    asked = []
+    monkeypatch.setattr(schedules, "read_once", lambda rows, column, f, own=schedules.read_once: own(rows, column, lambda t: asked.append(t.count()) or f(t)))
+    for most in (schedules.ONCE, 0):
+        monkeypatch.setattr(schedules, "ONCE", most)
+        found = schedules.located(runs)
+        assert found.count() == 400 and {(r["count"], r["size"], r["line"]) for r in found.collect()} == {(4, "25M", 0)}
+    assert asked == [2, 2]
